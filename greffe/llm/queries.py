@@ -5,18 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, shards
+from . import bpe, mixing, shards, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page is its document's, and is to be blocked if the document's quality is 0."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow").alias("label"))
+    return urls.judge(read(spark, sf_dir, "pages"), labels)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
