@@ -119,10 +119,9 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
             ids, comps = group.column(1).to_numpy(), group.column(2).to_numpy()
             tokens, starts = sets.shingle_sets(group.column(3), n)
             sizes = np.diff(starts)
-            flips = np.zeros((len(ids), bits), dtype=bool)
-            rows = np.repeat(np.arange(len(ids)), sizes)
-            np.bitwise_xor.at(flips, (rows, (tokens % U(bits)).astype(np.int64)), True)
-            packed = np.packbits(flips, axis=1).view(np.uint64)
+            cells = np.repeat(np.arange(len(ids)) * bits, sizes) + (tokens % U(bits)).astype(np.int64)
+            odd = (np.bincount(cells, minlength=len(ids) * bits) & 1).astype(bool).reshape(len(ids), bits)
+            packed = np.packbits(odd, axis=1).view(np.uint64)
             root = {c: c for c in comps.tolist()}
 
             def top(x):
@@ -133,7 +132,7 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
             found = []
             for i in range(len(ids) - 1):
                 far = np.bitwise_count(packed[i + 1 :] ^ packed[i]).sum(axis=1)
-                near = (100 + percent) * far <= 2 * (100 - percent) / 2 * (sizes[i + 1 :] + sizes[i]) * 2
+                near = (100 + percent) * far.astype(np.int64) <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
                 near &= comps[i + 1 :] != comps[i]
                 for j in (np.flatnonzero(near) + i + 1).tolist():
                     one, two = top(comps[i]), top(comps[j])
