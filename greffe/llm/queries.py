@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, shards, urls
+from . import bpe, mixing, neardup, shards, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
 
 
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"), 16)
 

@@ -72,11 +72,12 @@ class Words:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.docs))
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
+def split(texts: pa.Array, lower: bool = False, gaps: np.ndarray = SEPARATOR) -> Words:
+    """gaps: which bytes part words."""
     data, offsets = flat(texts)
     if lower:
         data = LOWER[data]
-    gap = SEPARATOR[data]
+    gap = gaps[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(len(data), dtype=bool)
