@@ -199,23 +199,28 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "to
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), and the columns in keep."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), and the columns in keep.
+
+    with_ids: token_ids (binary) too.
+    """
     work.arrow_batches(docs.sparkSession)
-    keep = keep or []
-    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *[docs[c] for c in keep if c not in (id_col,)])
-    names = [c for c in chosen.columns if c not in ("doc_id", "__text")]
-    schema = T.StructType([*chosen.select("doc_id", *names).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    names = [c for c in keep or [] if c != id_col]
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *[docs[c] for c in names])
+    added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({"token_ids": T.BinaryType()} if with_ids else {})
+    schema = T.StructType([*chosen.select("doc_id", *names).schema.fields, *(T.StructField(k, v) for k, v in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
         for batch in batches:
-            many, ids_sha, text_sha = [], [], []
+            many, ids_sha, text_sha, every = [], [], [], []
             for text in batch.column(1):
                 ids = code.encode(text.as_py() or "")
                 many.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(code.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(many, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", *names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                every.append(ids if with_ids else b"")
+            found = [pa.array(many, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(every, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found[: len(added)]], schema.names)
 
     return chosen.mapInArrow(run, schema)

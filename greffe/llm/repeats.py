@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words, work
 from .words import mix
@@ -41,13 +42,6 @@ FAN_IN = 4
 BATCHES = 2
 
 
-def text_key(texts: pa.Array) -> np.ndarray:
-    """64 bits that tell different texts of one doc_id, and copies of one text, apart from others."""
-    data, offsets = words.flat(texts)
-    raw = data.tobytes()
-    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.int64)
-
-
 def anchors(word: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word positions at which windows start, and the fingerprint of each window's anchor."""
     at = words.inside(docs, WINDOW)
@@ -61,7 +55,7 @@ def owners(at: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, first: bool) -> DataFrame:
-    """fp, doc_id, digest, shared of docs(doc_id, text).
+    """fp, doc_id, digest, shared of docs(doc_id, text, digest).
 
     first: for each fingerprint of an Arrow batch its first document; shared says whether other texts of the batch have
     it too. Otherwise those others.
@@ -71,7 +65,7 @@ def fingerprints(docs: DataFrame, first: bool) -> DataFrame:
         for batch in batches:
             split = words.split(batch.column(1))
             at, fp = anchors(words.hashes(split), split.docs)
-            ids, digest = batch.column(0).to_numpy(), text_key(batch.column(1))
+            ids, digest = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             owner = owners(at, split.docs)
             changed = np.ones(len(at), dtype=bool)
             changed[1:] = (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
@@ -96,7 +90,7 @@ def fingerprints(docs: DataFrame, first: bool) -> DataFrame:
                 flag = np.ones(int(pick.sum()), dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(fp[pick].view(np.int64)), pa.array(ids[owner[pick]]), pa.array(digest[owner[pick]]), pa.array(flag)], ["fp", "doc_id", "digest", "shared"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, digest long, shared boolean")
+    return docs.where("doc_id is not null").select("doc_id", "text", "digest").mapInArrow(run, "fp long, doc_id long, digest long, shared boolean")
 
 
 class FingerprintIndex:
@@ -171,22 +165,20 @@ def kept_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.n
     return b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
 
-SCAN = "doc_id long, digest long, n_words long, kept string, text string, gone array<int>, windows array<struct<one: long, two: long, at: int>>"
-
+def scan(docs: DataFrame, with_text: bool) -> DataFrame:
+    """One row a document of docs(doc_id, text, copy, fps, digest, extra): what is settled at once, and the windows to look up elsewhere.
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row a document of docs(doc_id, text, copy, fps): what is settled at once, and the windows to look up elsewhere.
-
-    copy: an earlier document has the same text. fps: the document's shared anchors. Settled documents have kept (their
-    remaining text) and no text. The others have text, gone (starts of windows that an earlier document of the Arrow
-    batch has too) and windows (digests of the others).
+    copy: an earlier document has the same text. fps: the document's shared anchors. Settled documents have
+    kept_sha256. The others have text, gone (starts of windows that an earlier document of the Arrow batch has too) and
+    windows (digests of the others).
     """
+    schema = T.StructType([*docs.select("doc_id", "digest", "extra").schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string, text string, gone array<int>, windows array<struct<one: long, two: long, at: int>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             split = words.split(texts)
-            hashed, digest = words.hashes(split), text_key(texts)
+            hashed = words.hashes(split)
             at, fp = anchors(hashed, split.docs)
             one = words.windows(hashed, WINDOW, seed=1)[at] if len(at) else np.zeros(0, U)
             two = words.windows(mix(hashed ^ U(0x5851F42D4C957F2D)), WINDOW, seed=2)[at] if len(at) else np.zeros(0, U)
@@ -209,34 +201,35 @@ def scan(docs: DataFrame) -> DataFrame:
             lost = ids[owner[order]] > least
             gone, look = np.sort(order[lost]), np.sort(order[~lost])
             gone_cuts, look_cuts = np.searchsorted(at[gone], split.docs), np.searchsorted(at[look], split.docs)
-            kept, text, gones, looks = [], [], [], []
+            removed, kept, text, gones, looks = [], [], [], [], []
             raw = split.data.tobytes()
             for i in range(batch.num_rows):
                 a, b = int(split.docs[i]), int(split.docs[i + 1])
                 copy = batch.column(2)[i].as_py()
                 mine, theirs = gone[gone_cuts[i] : gone_cuts[i + 1]], look[look_cuts[i] : look_cuts[i + 1]]
                 if copy or not len(mine) and not len(theirs):
-                    stays = b"" if copy and b - a >= WINDOW else b" ".join([raw[x:y] for x, y in zip(split.starts[a:b].tolist(), split.ends[a:b].tolist())])
-                    kept.append(f"{0 if not (copy and b - a >= WINDOW) else b - a}:{hashlib.sha256(stays).hexdigest()}")
-                    text.append(None)
+                    bare = copy and b - a >= WINDOW
+                    stays = b"" if bare else b" ".join([raw[x:y] for x, y in zip(split.starts[a:b].tolist(), split.ends[a:b].tolist())])
+                    removed.append(b - a if bare else 0)
+                    kept.append(hashlib.sha256(stays).hexdigest())
+                    text.append(("" if bare else texts[i].as_py()) if with_text else None)
                     gones.append([])
                     looks.append([])
                 else:
+                    removed.append(None)
                     kept.append(None)
                     text.append(texts[i].as_py())
                     gones.append((at[mine] - a).tolist())
                     looks.append([{"one": x, "two": y, "at": z} for x, y, z in zip(one[theirs].view(np.int64).tolist(), two[theirs].view(np.int64).tolist(), (at[theirs] - a).tolist())])
-            many = np.diff(split.docs)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest), pa.array(many), pa.array(kept, pa.string()), pa.array(text, pa.string()), pa.array(gones, pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("at", pa.int32())])))],
-                ["doc_id", "digest", "n_words", "kept", "text", "gone", "windows"],
-            )
+            found = [pa.array(np.diff(split.docs)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.string()), pa.array(gones, pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("at", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), *found], schema.names)
 
-    return docs.select("doc_id", "text", "copy", "fps").mapInArrow(run, SCAN)
+    return docs.select("doc_id", "text", "copy", "fps", "digest", "extra").mapInArrow(run, schema)
 
 
 def finish(rows: DataFrame, with_text: bool) -> DataFrame:
-    """rows(doc_id, text, gone, found): remove the windows that start at gone and found."""
+    """rows(doc_id, text, gone, found, n_words, extra): remove the windows that start at gone and found."""
+    schema = T.StructType([*rows.select("doc_id", "n_words", "extra").schema.fields, *T._parse_datatype_string("n_removed long, kept_sha256 string, kept_text string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,18 +243,23 @@ def finish(rows: DataFrame, with_text: bool) -> DataFrame:
                 stays = kept_text(split.data[low:high], split.starts[a:b] - low, split.ends[a:b] - low, gone)
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(stays).hexdigest())
-                texts.append(stays.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                texts.append((stays.decode() if gone.any() else batch.column(1)[i].as_py()) if with_text else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], schema.names)
+
+    return rows.select("doc_id", "text", "gone", "found", "n_words", "extra").mapInArrow(run, schema)
 
-    return rows.select("doc_id", "text", "gone", "found", "digest", "n_words").mapInArrow(run, "doc_id long, digest long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, extra: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, with_text: bool = False) -> DataFrame:
-    """doc_id, digest, n_words, n_removed, kept_sha256 for every row; with_text: kept_text too, null where nothing went."""
+    with_text: kept_text too, the text itself where nothing went. extra: columns to carry along in a struct of that name.
+    """
     spark = docs.sparkSession
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "repeats")
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    carried = F.struct(*[docs[c] for c in extra]) if extra else F.lit(None).cast("boolean")
+    text = docs[text_col]
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), carried.alias("extra"))
 
     index = FingerprintIndex(spark, tables)
     hits = None
@@ -270,27 +268,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hits = found if hits is None else hits.unionByName(found)
     per_doc = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
 
-    copies = tables.keep(copies_of(docs), "copies")
-    facts = per_doc.join(copies, "doc_id", "full").select("doc_id", "fps", F.coalesce("copy", F.lit(False)).alias("copy"))
-    facts = facts.select("doc_id", "copy", F.when(~F.col("copy"), F.col("fps")).alias("fps"))
-    asked = docs.join(facts, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    seen = tables.keep(scan(asked), "scan")
+    facts = per_doc.join(copies_of(docs), "doc_id", "full").select("doc_id", "fps", F.coalesce("copy", F.lit(False)).alias("copy"))
+    facts = tables.keep(facts.select("doc_id", "copy", F.when(~F.col("copy"), F.col("fps")).alias("fps")), "facts")
     index.drop()
+    asked = docs.join(facts, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    seen = tables.keep(scan(asked, with_text), "scan")
 
     windows = seen.where("size(windows) > 0").select("doc_id", "digest", F.inline("windows"))
-    least = F.min("doc_id").over(_same_window())
-    found = windows.withColumn("first", least).where("first < doc_id").groupBy("doc_id", "digest").agg(F.collect_list("at").alias("found"))
+    least = F.min("doc_id").over(Window.partitionBy("one", "two"))
+    found = windows.withColumn("first", least).where("first < doc_id").groupBy("doc_id", "digest").agg(F.collect_set("at").alias("found"))
     found = tables.keep(found, "found")
-    settled = seen.where("kept is not null").select("doc_id", "digest", "n_words", F.substring_index("kept", ":", 1).cast("long").alias("n_removed"), F.substring_index("kept", ":", -1).alias("kept_sha256"), F.when((F.substring_index("kept", ":", 1) != "0") & F.lit(with_text), F.lit("")).alias("kept_text"))
-    # Rows with one doc_id and one text have the same windows, so both find them.
-    rest = seen.where("kept is null").select("doc_id", "digest", "n_words", "text", "gone").join(found.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"], "left")
-    return settled.unionByName(finish(rest, with_text))
-
-
-def _same_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("one", "two")
+    settled = seen.where("kept_sha256 is not null").select("doc_id", "n_words", "extra", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
+    rest = seen.where("kept_sha256 is null").select("doc_id", "digest", "n_words", "text", "gone", "extra").join(found, ["doc_id", "digest"], "left")
+    done = settled.unionByName(finish(rest, with_text))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *["extra"] * bool(extra))
 
 
 def in_order(docs: DataFrame, batches: int) -> list[DataFrame]:
