@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All white space that a script engine trims: ASCII, next line, separators, byte-order mark.
 SPACE = r"[\s\u0085\p{Z}﻿]"
@@ -132,7 +133,7 @@ def thought_and_answer(reply: Column | str) -> Column:
     return F.struct(strip(thought).alias("thought"), strip(F.regexp_replace(reply, r"(?s)<think>.*?(?:</think>|$)", "")).alias("answer"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
