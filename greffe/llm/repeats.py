@@ -172,7 +172,7 @@ def scan(docs: DataFrame, with_text: bool) -> DataFrame:
     kept_sha256. The others have text, gone (starts of windows that an earlier document of the Arrow batch has too) and
     windows (digests of the others).
     """
-    schema = T.StructType([*docs.select("doc_id", "digest", "extra").schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string, text string, gone array<int>, windows array<struct<one: long, two: long, at: int>>").fields])
+    schema = T.StructType([*docs.select("doc_id", "digest", "extra").schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, text string, gone array<int>, windows array<struct<one: long, two: long, at: int>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +229,7 @@ def scan(docs: DataFrame, with_text: bool) -> DataFrame:
 
 def finish(rows: DataFrame, with_text: bool) -> DataFrame:
     """rows(doc_id, text, gone, found, n_words, extra): remove the windows that start at gone and found."""
-    schema = T.StructType([*rows.select("doc_id", "n_words", "extra").schema.fields, *T._parse_datatype_string("n_removed long, kept_sha256 string, kept_text string").fields])
+    schema = T.StructType([*rows.select("doc_id", "n_words", "extra").schema.fields, *T.StructType.fromDDL("n_removed long, kept_sha256 string, kept_text string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
