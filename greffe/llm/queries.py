@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, repeats, shards, toxicity, urls
+from . import bpe, mixing, neardup, repeats, semantic, shards, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
 
 
+def op5_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
