@@ -21,7 +21,7 @@ from . import work
 #: Content types that stand for topics: the first pattern that a text holds names it.
 TOPICS = (
     ("licence", r"(?i)licen[cs]ed?\b|copyright|warranty"),
-    ("contact", r"(?i)[a-z0-9._-]+@[a-z0-9-]+\.[a-z]|https?://"),
+    ("contact", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]|https?://"),
     ("table", r" \| .* \| "),
     ("shouting", r"[!&$%*#]{2}"),
     ("list", r"(?m)^\s*(?:[-*]|[0-9]+[.)])\s"),
