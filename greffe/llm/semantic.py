@@ -1,10 +1,11 @@
 """Operator 5: near-duplicate embeddings by spherical k-means and blocked cosines within cells.
 
-Spark runs Lloyd's rounds over all vectors; only the centroids (MOST_CELLS at most) pass through the driver. A vector
-belongs to its nearest centroid's cell and, as a guest, to each cell whose boundary is within half the angle of the
-threshold. Two vectors within that angle have their midpoint in some cell, and both belong to that cell, so no link is
-lost however the centroids lie. A cell's vectors are dealt to blocks, and every pair of blocks is one matrix product.
-A pair that meets in several cells counts in the first of them. A task returns a row for each vector that has links:
+Spark runs Lloyd's rounds over all vectors; only the centroids (MOST_CELLS at most) pass through the driver. A vector is at
+home in its nearest centroid's cell and a guest in each cell whose boundary is within half the distance of the threshold.
+Of two linked vectors with different homes, the boundary between them is within that distance of one at least, which is
+a guest in the other's home; so no link is lost however the centroids lie, and guests need not meet guests. A cell's
+vectors are dealt to blocks, and a pair of blocks is one matrix product. A pair that meets in both homes counts in the
+smaller cell. A task returns a row for each vector that has links:
 their number, and the smallest vector of its group within the task; so a group's pairs are never emitted.
 
 Equal vectors are one until the end, where their number counts as links. Vectors that are null, zero, hold null or
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import sets, vectors, work
 
 #: Vectors a cell that the number of cells aims at, most cells, Lloyd's rounds, and vectors a block.
-CELL_SIZE, MOST_CELLS, ROUNDS, BLOCK = 256, 1_024, 4, 2_048
+CELL_SIZE, MOST_CELLS, ROUNDS, BLOCK = 1_024, 1_024, 4, 2_048
 #: Products in single precision this near the threshold are taken again in double precision.
 DOUBT = 1e-4
 
@@ -62,8 +63,8 @@ def kmeans(units: DataFrame, cells: int) -> np.ndarray:
 
 
 def memberships(units: DataFrame, centroids: np.ndarray, least: float) -> DataFrame:
-    """vec_id, copies, vector, cells (bits), cell: a row for each cell that a vector belongs to."""
-    reach = math.sin(math.acos(least) / 2) + 1e-5
+    """vec_id, copies, vector, cells (bits), home, cell: a row for each cell that a vector belongs to."""
+    reach = math.sqrt(2 - 2 * least) / 2 + 1e-5
     sent = units.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,33 +78,48 @@ def memberships(units: DataFrame, centroids: np.ndarray, least: float) -> DataFr
             at, cell = np.nonzero(member)
             bits = np.packbits(np.pad(member, ((0, 0), (0, -member.shape[1] % 64))), axis=1, bitorder="little")
             pick = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(3)), vectors.as_blobs(bits).take(pick), pa.array(cell.astype(np.int32))], ["vec_id", "copies", "vector", "cells", "cell"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(3)), vectors.as_blobs(bits).take(pick), pa.array(home[at].astype(np.int32)), pa.array(cell.astype(np.int32))], ["vec_id", "copies", "vector", "cells", "home", "cell"])
 
-    return units.select("vec_id", "copies", "vector", "unit").mapInArrow(run, "vec_id long, copies long, vector binary, cells binary, cell int")
+    return units.select("vec_id", "copies", "vector", "unit").mapInArrow(run, "vec_id long, copies long, vector binary, cells binary, home int, cell int")
 
 
-def linked(ids: np.ndarray, rows: np.ndarray, bits: np.ndarray, cell: int, crossed: np.ndarray | None, least: float) -> np.ndarray:
-    """Which pairs of a task are linked and count in this cell. crossed: the block of each row, if only pairs across count."""
+def tasks_of(members: DataFrame) -> DataFrame:
+    """members with task: pairs of a cell's blocks, of which one at least is of vectors at home there."""
+    own = F.col("home") == F.col("cell")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = members.groupBy("cell").agg(blocks(F.count_if(own)).alias("h"), blocks(F.count_if(~own)).alias("g"))
+    placed = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(own, F.col("h")).otherwise(F.col("g"))).cast("int"))
+    homes, guests = F.sequence(F.lit(0), F.col("h") - 1), F.sequence(F.lit(0), F.col("g") - 1)
+    at_home = F.concat(F.transform(homes, lambda j: F.struct(F.lit(0).alias("kind"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))), F.transform(guests, lambda j: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), j.alias("j"))))
+    visiting = F.transform(homes, lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("block").alias("j")))
+    dealt = placed.withColumn("t", F.explode(F.when(own, at_home).otherwise(visiting)))
+    return dealt.withColumn("task", F.xxhash64("cell", "t.kind", "t.i", "t.j")).withColumn("part", F.when(F.col("t.kind") == 1, own.cast("int")).when(F.col("t.i") == F.col("t.j"), -1).otherwise(F.col("block")))
+
+
+def linked(rows: np.ndarray, bits: np.ndarray, home: np.ndarray, cell: int, part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a task that are linked and count in this cell. part: rows of one part don't meet, unless it is -1."""
     units = vectors.unit(rows)
-    close = units.astype(np.float32) @ units.astype(np.float32).T
-    a, b = np.nonzero(np.triu(close >= least - DOUBT, 1))
-    if crossed is not None:
-        keep = crossed[a] != crossed[b]
-        a, b = a[keep], b[keep]
-    sure = close[a, b] >= least + DOUBT
-    doubtful = np.flatnonzero(~sure)
-    for at in range(0, len(doubtful), 65_536):
-        part = doubtful[at : at + 65_536]
-        sure[part] = np.einsum("ij,ij->i", units[a[part]], units[b[part]]) >= least
-    a, b = a[sure], b[sure]
-    first = np.ones(len(a), dtype=bool)
-    word, bit = divmod(cell, 64)
-    for at in range(0, len(a), 262_144):
-        part = slice(at, at + 262_144)
-        common = bits[a[part], : word + 1] & bits[b[part], : word + 1]
-        common[:, word] &= np.uint64((1 << bit) - 1)
-        first[part] = ~common.any(axis=1)
-    return np.stack([a[first], b[first]])
+    small = units.astype(np.float32)
+    left = np.arange(len(rows)) if part[0] == -1 else np.flatnonzero(part == part.max())
+    right = left if part[0] == -1 else np.flatnonzero(part != part.max())
+    out = []
+    for at in range(0, len(left), 512):
+        close = small[left[at : at + 512]] @ small[right].T
+        a, b = np.nonzero(close >= least - DOUBT)
+        sure = close[a, b] >= least + DOUBT
+        a, b = left[at + a], right[b]
+        keep = (a < b) | (part[0] != -1)
+        a, b, sure = a[keep], b[keep], sure[keep]
+        doubtful = np.flatnonzero(~sure)
+        sure[doubtful] = np.einsum("ij,ij->i", units[a[doubtful]], units[b[doubtful]]) >= least
+        a, b = a[sure], b[sure]
+        away = home[b] != cell
+        if away.any():  # a is at home here, b is not; the pair may meet in b's home too
+            also = (bits[a, home[b] // 64] >> (home[b] % 64).astype(np.uint64)) & np.uint64(1)
+            keep = ~away | (also == 0) | (cell < home[b])
+            a, b = a[keep], b[keep]
+        out.append((a, b))
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (left[:0], left[:0])
 
 
 def smallest_in_group(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,7 +134,7 @@ def smallest_in_group(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
             return label
 
 
-def block_links(tasks: DataFrame, least: float) -> DataFrame:
+def block_links(tasks: DataFrame, least: float, dtype) -> DataFrame:
     """vec_id, root, links: a row for each vector with links in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +142,15 @@ def block_links(tasks: DataFrame, least: float) -> DataFrame:
             if group.num_rows < 2:
                 continue
             group = group.combine_chunks()
-            ids, copies, block = (group.column(i).to_numpy() for i in (1, 2, 6))
-            rows, bits = vectors.blobs(group.column(3), np.float64), vectors.blobs(group.column(4), np.uint64)
-            a, b = linked(ids, rows, bits, group.column(5)[0].as_py(), block if group.column(7)[0].as_py() else None, least)
+            ids, copies, home, part = (group.column(i).combine_chunks().to_numpy() for i in (1, 2, 5, 7))
+            rows, bits = vectors.blobs(group.column(3), dtype).astype(np.float64), vectors.blobs(group.column(4), np.uint64)
+            a, b = linked(rows, bits, home, group.column(6)[0].as_py(), part, least)
             if len(a):
                 links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
                 roots, some = smallest_in_group(ids, a, b), np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(roots[some]), pa.array(links[some].astype(np.int64))], ["vec_id", "root", "links"])
 
-    columns = ["task", "vec_id", "copies", "vector", "cells", "cell", "block", "across"]
+    columns = ["task", "vec_id", "copies", "vector", "cells", "home", "cell", "part"]
     return tasks.select(columns).repartition("task").sortWithinPartitions("task").mapInArrow(run, "vec_id long, root long, links long")
 
 
@@ -144,6 +160,7 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "semantic")
     every = vectors.prepared(df, id_col, vector_col)
+    dtype = np.float32 if df.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64  # as read, without loss
     own = tables.keep(every.select("vec_id", "one", "two", "vector"), "vectors")
     classes = own.groupBy("one", "two").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = tables.keep(classes, "classes")
@@ -152,21 +169,15 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = vectors.matrix(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors.as_blobs(rows), vectors.as_blobs(vectors.unit(rows).astype(np.float32))], ["vec_id", "copies", "vector", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors.as_blobs(rows.astype(dtype)), vectors.as_blobs(vectors.unit(rows).astype(np.float32))], ["vec_id", "copies", "vector", "unit"])
 
     units = tables.keep(heads.select("vec_id", "copies", "vector").mapInArrow(packed, "vec_id long, copies long, vector binary, unit binary"), "units")
     many = units.count()
     links = None
     if many:
         centroids = kmeans(units, max(1, min(MOST_CELLS, many // CELL_SIZE)))
-        members = memberships(units, centroids, least)
-        members = tables.keep(members, "members")
-        sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        tasks = placed.withColumn("other", F.explode(other)).withColumn("task", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))).withColumn("across", F.col("block") != F.col("other"))
-        # A block meets itself in the tasks with other = block, and each other block in a task to which both send.
-        links = tables.keep(block_links(tasks, least), "links")
+        members = tables.keep(memberships(units, centroids, least), "members")
+        links = tables.keep(block_links(tasks_of(members), least, dtype), "links")
     edges = own.join(classes.where("copies > 1"), ["one", "two"]).select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
     counts = own.join(classes, ["one", "two"]).select("vec_id", "first", (F.col("copies") - 1).alias("same"))
     if links is not None:
