@@ -87,11 +87,11 @@ def is_long(text: Column | str) -> Column:
 def rtf_escape(text: Column | str) -> Column:
     """Backslash and braces escaped, other than ASCII as signed 16-bit \\u escapes; beyond 16 bits as a surrogate pair."""
     def one(c: Column) -> Column:
-        code = F.ascii(c)
-        signed = lambda x: F.when(x > 32767, x - 65536).otherwise(x).cast("string")
-        unit = lambda x: F.concat(F.lit("\\u"), signed(x), F.lit("?"))
-        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000) % 1024
-        return F.when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        code, over = F.ascii(c), F.ascii(c) - 0x10000
+        unit = F.concat(F.lit("\\u"), (code - F.when(code > 32767, 65536).otherwise(0)).cast("string"), F.lit("?"))
+        # As signed numbers the halves of a pair start at -10240 and -9216.
+        pair = F.concat(F.lit("\\u"), (F.shiftright(over, 10) - 10240).cast("string"), F.lit("?\\u"), (over % 1024 - 9216).cast("string"), F.lit("?"))
+        return F.when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).when(code < 128, c).when(code < 0x10000, unit).otherwise(pair)
 
     return F.array_join(F.transform(F.split(F.coalesce(col(text), F.lit("")), ""), one), "")
 

@@ -13,9 +13,9 @@ def numbered_groups(df: DataFrame, keys: list[str], order: str, name: str = "gro
     """Adds the number of each row's group of two or more with equal keys, null for rows alone.
 
     Groups are numbered from 1 in the order of their first member. They are aggregated before they are joined back, so a
-    large group is no window of its own.
+    large group is no window of its own. Rows with a null key are alone.
     """
-    groups = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__first")).where("__n >= 2")
+    groups = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__first")).where("__n >= 2")
     numbers = groups.withColumn(name, F.row_number().over(Window.orderBy("__first")).cast("int")).select(*keys, name)
     return df.join(numbers, keys, "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import colour_emoji
@@ -38,10 +38,12 @@ def display(df: DataFrame, rapporteur: bool = False) -> DataFrame:
 
 
 def rtf_lines(df: DataFrame, position: str = "_pos", title: Column | None = None, date: Column | None = None) -> DataFrame:
-    """The document as ordered lines: block, position, part, line. Lines are made in parallel; only runs need order."""
-    rows = with_headers(decorated(df, position), position)
-    header = F.when(F.col("new_section"), F.concat(F.lit(r"\pard\f0\fs24\b "), rtf_escape("header"), F.lit(r"\b0\par")))
-    header = F.when(F.col(position) == F.min(position).over(_all()), header).otherwise(F.concat(F.lit("\\par\n"), header))
+    """The document as ordered lines: block, position, part, line.
+
+    Runs and headers follow one order, so a document's rows meet in one window; texts are made after it, in parallel.
+    """
+    rows = with_headers(decorated(df, position), position).withColumn("__first", F.lag(position).over(Window.partitionBy().orderBy(position)).isNull())
+    header = F.when(F.col("new_section"), F.concat(F.when(F.col("__first"), "").otherwise("\\par\n"), F.lit(r"\pard\f0\fs24\b "), rtf_escape("header"), F.lit(r"\b0\par")))
     body = F.concat(F.lit(r"\pard\f0\fs22\tx851\tx1321\tx1985 "), rtf_line("label", "glyph", content_line("numero", "rectification", "auteurs")), F.lit(r"\par"))
     parts = rows.select(F.lit(1).alias("block"), F.col(position).alias("position"), F.posexplode(F.array_compact(F.array(header, body))).alias("part", "line"))
     date = F.date_format(F.current_date(), "dd/MM/yyyy") if date is None else date
@@ -53,12 +55,6 @@ def rtf_lines(df: DataFrame, position: str = "_pos", title: Column | None = None
     return head.unionByName(parts.withColumn("position", F.col("position").cast("long"))).unionByName(foot)
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def write_rtf(df: DataFrame, path: str, **options) -> None:
     """Write the document: the lines range-sorted by position, so that the files in order are the document."""
     rtf_lines(df, **options).orderBy("block", "position", "part").select("line").write.text(path)
