@@ -178,8 +178,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str
 
     # One document stands for all with the same set.
     key = ["n_shingles", "one", "two"]
-    first = known.groupBy(key).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    copies = tables.keep(known.join(first.where("copies > 1"), key).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
+    first = known.groupBy(key).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # As a table of its own it is shuffled anew for the join, so that Spark can split a set with very many copies.
+    first = tables.keep(first, "classes")
+    copies = tables.keep(known.join(first, key).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
     standing = known.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
 
     placed = standing.select("doc_id", "n_shingles", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
