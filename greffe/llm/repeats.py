@@ -165,6 +165,16 @@ def kept_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.n
     return b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
 
+def by_window(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> list[dict]:
+    """One entry a window, with all places of a document where it starts."""
+    order = np.lexsort((at, two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    first = np.flatnonzero(new)
+    places = at[order].tolist()
+    return [{"one": x, "two": y, "at": places[i:j]} for x, y, i, j in zip(one[order[first]].tolist(), two[order[first]].tolist(), first.tolist(), [*first[1:].tolist(), len(order)])]
+
+
 def scan(docs: DataFrame, with_text: bool) -> DataFrame:
     """One row a document of docs(doc_id, text, copy, fps, digest, extra): what is settled at once, and the windows to look up elsewhere.
 
@@ -172,7 +182,7 @@ def scan(docs: DataFrame, with_text: bool) -> DataFrame:
     kept_sha256. The others have text, gone (starts of windows that an earlier document of the Arrow batch has too) and
     windows (digests of the others).
     """
-    schema = T.StructType([*docs.select("doc_id", "digest", "extra").schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, text string, gone array<int>, windows array<struct<one: long, two: long, at: int>>").fields])
+    schema = T.StructType([*docs.select("doc_id", "digest", "extra").schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, text string, gone array<int>, windows array<struct<one: long, two: long, at: array<int>>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +230,8 @@ def scan(docs: DataFrame, with_text: bool) -> DataFrame:
                     kept.append(None)
                     text.append(texts[i].as_py())
                     gones.append((at[mine] - a).tolist())
-                    looks.append([{"one": x, "two": y, "at": z} for x, y, z in zip(one[theirs].view(np.int64).tolist(), two[theirs].view(np.int64).tolist(), (at[theirs] - a).tolist())])
-            found = [pa.array(np.diff(split.docs)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.string()), pa.array(gones, pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("at", pa.int32())])))]
+                    looks.append(by_window(one[theirs].view(np.int64), two[theirs].view(np.int64), at[theirs] - a))
+            found = [pa.array(np.diff(split.docs)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.string()), pa.array(gones, pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("at", pa.list_(pa.int32()))])))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), *found], schema.names)
 
     return docs.select("doc_id", "text", "copy", "fps", "digest", "extra").mapInArrow(run, schema)
@@ -268,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hits = found if hits is None else hits.unionByName(found)
     per_doc = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
 
-    facts = per_doc.join(copies_of(docs), "doc_id", "full").select("doc_id", "fps", F.coalesce("copy", F.lit(False)).alias("copy"))
+    facts = per_doc.join(copies_of(docs, tables), "doc_id", "full").select("doc_id", "fps", F.coalesce("copy", F.lit(False)).alias("copy"))
     facts = tables.keep(facts.select("doc_id", "copy", F.when(~F.col("copy"), F.col("fps")).alias("fps")), "facts")
     index.drop()
     asked = docs.join(facts, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
@@ -276,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     windows = seen.where("size(windows) > 0").select("doc_id", "digest", F.inline("windows"))
     least = F.min("doc_id").over(Window.partitionBy("one", "two"))
-    found = windows.withColumn("first", least).where("first < doc_id").groupBy("doc_id", "digest").agg(F.collect_set("at").alias("found"))
+    found = windows.withColumn("first", least).where("first < doc_id").groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("found"))
     found = tables.keep(found, "found")
     settled = seen.where("kept_sha256 is not null").select("doc_id", "n_words", "extra", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
     rest = seen.where("kept_sha256 is null").select("doc_id", "digest", "n_words", "text", "gone", "extra").join(found, ["doc_id", "digest"], "left")
@@ -294,9 +304,10 @@ def in_order(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [*out, docs if low is None else docs.where(F.col("doc_id") > low)]
 
 
-def copies_of(docs: DataFrame) -> DataFrame:
+def copies_of(docs: DataFrame, tables: work.WorkTables) -> DataFrame:
     """doc_id and copy (true) of documents with one text each, which an earlier document has too."""
     own = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("md5"))
     first = own.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = tables.keep(first, "first-copies")
     flagged = own.join(first, "md5", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
     return flagged.where("copy")
