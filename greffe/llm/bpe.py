@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import work
 
 #: Pre-tokens and token pairs that a Python worker remembers at most; then it starts afresh.
-REMEMBER_WORDS, REMEMBER_PAIRS = 600_000, 1_000_000
+REMEMBER_WORDS, REMEMBER_PAIRS = 300_000, 400_000
 #: Longer pre-tokens are encoded each time.
 REMEMBER_BYTES = 64
 

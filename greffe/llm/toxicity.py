@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import work, words
 
 #: Bounds of the training sample: rows a class, and bytes of a text (larger ones are not in the sample, but are scored).
-SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 32_768
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 32_768
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 6, 0.15, 7
 TABLE_SCALE = 0.02
@@ -50,7 +50,7 @@ def features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     for most in (None, 6, 4):
         ends = split.ends if most is None else np.minimum(split.ends, split.starts + most)
         hashed = words.hashes(words.Words(split.data, split.starts, ends, split.docs))
-        columns.append((hashed >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        columns.append(((hashed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.uint16))
     return columns, split.docs
 
 

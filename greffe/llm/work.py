@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory is bounded.
-ARROW_ROWS, ARROW_BYTES = "2000", "16777216"
+ARROW_ROWS, ARROW_BYTES = "1000", "8388608"
 
 
 def arrow_batches(spark: SparkSession) -> None:
