@@ -53,7 +53,6 @@ def suffix_index(text: Column | str) -> Column:
 def legal_key(article: Column | str) -> Column:
     """Struct that sorts articles as in a bill: 5 A, 5, 5 bis, 22, 22 bis, 22 ter, 22 quater, 23; without a number last."""
     article = F.coalesce(col(article), F.lit(""))
-    number = F.expr("try_cast(null as int)")
     digits = F.regexp_extract(article, r"([0-9]+)", 1)
     number = F.coalesce(digits.try_cast("int"), F.lit(2147483647))
     letter = F.regexp_extract(article, r"^\s*[0-9]+\s+([A-Z]{1,2})\b", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, norm_text, suffix_index
 
-#: The window a duplicate group is looked at through needs its rows; the counts come from aggregates.
+#: How texts cite codes and laws.
 CODE = r"(?i)\bcode\s+(?:général\s+|de\s+|du\s+|des\s+|d['’]\s*)*([a-zéèàêûîôç' -]{3,40})"
 LAW = r"(?i)\bloi\s+n°\s*([0-9]{2,4})-([0-9]+)"
 

@@ -169,8 +169,8 @@ def group_decorations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.decorated(rows, "turn", ["conv_id"]).select("conv_id", "turn", "label", "glyph")
 
 
-@query(f"""WITH {RANKED}, h AS (SELECT id, rang, article, na, CASE WHEN numero % 5 = 0 THEN 'APRÈS L''ARTICLE ' || regexp_extract(article, '^([0-9]+)', 1) ELSE 'ARTICLE ' || article END AS header FROM r)
- SELECT id, header, header IS DISTINCT FROM lag(header) OVER (PARTITION BY article ORDER BY rang) AS new_section FROM h""".replace("numero % 5", "pos % 5").replace("SELECT id, rang, article, na", "SELECT pos, id, rang, article, na"))
+@query(f"""WITH {RANKED}, h AS (SELECT id, rang, article, CASE WHEN pos % 5 = 0 THEN 'APRÈS L''ARTICLE ' || regexp_extract(article, '^([0-9]+)', 1) ELSE 'ARTICLE ' || article END AS header FROM r)
+ SELECT id, header, header IS DISTINCT FROM lag(header) OVER (PARTITION BY article ORDER BY rang) AS new_section FROM h""")
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-5, STR-8, for each article's list."""
     rows = ranking.presort(amendments(spark, sf_dir), "B").withColumn("base", F.col("article"))
@@ -383,14 +383,14 @@ def mechanical_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doctrine.mechanical_falls(ranking.with_priority(amendments(spark, sf_dir)))
 
 
-@query(f"""WITH {AMENDMENTS}, p AS (SELECT *, {prio("dispositif")} AS p FROM am WHERE pos % 50 < 5)
- SELECT c.id AS cause, x.id AS fallen FROM p c JOIN p x ON x.article = c.article AND x.id <> c.id WHERE c.p = 1 OR (x.alinea = c.alinea AND (c.p = 3 OR (c.p = 4 AND x.p = 5)))""".replace(" WHERE pos % 50 < 5", " WHERE alinea = 4"))
+@query(f"""WITH {AMENDMENTS}, p AS (SELECT *, {prio("dispositif")} AS p FROM am WHERE alinea = 4)
+ SELECT c.id AS cause, x.id AS fallen FROM p c JOIN p x ON x.article = c.article AND x.id <> c.id WHERE c.p = 1 OR (x.alinea = c.alinea AND (c.p = 3 OR (c.p = 4 AND x.p = 5)))""")
 def fallen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-9 as pairs, among the amendments of alinéa 4."""
     return doctrine.fallen_pairs(ranking.with_priority(amendments(spark, sf_dir)).where("alinea = 4"))
 
 
-@query("""SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus = 'F' THEN 'missing:numero' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'enum:priority' END], lambda x: x IS NOT NULL) AS v FROM orders""".replace("AS v FROM", "AS x FROM").replace("SELECT o_orderkey, ", "SELECT o_orderkey, array_to_string(").replace(" AS x FROM", ", ',') AS violations FROM"))
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'missing:numero' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'enum:priority' END], lambda x: x IS NOT NULL), ',') AS violations FROM orders""")
 def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-1."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("numero"), F.col("o_orderpriority").alias("priority"))
@@ -503,7 +503,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1, JSN-5, as lines."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_pos"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("nom"))
-    return report.json_lines(nation).withColumn("json", F.col("json"))
+    return report.json_lines(nation)
 
 
 @query(f"""WITH s AS (SELECT d.doc_id, coalesce({STATUS}, 'Erreur') AS statut FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
