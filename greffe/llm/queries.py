@@ -63,5 +63,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+REACH = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id AS node, id AS comp FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node)"""
+SQL = {
+    "op2_log_structured_repeats": f"""WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM w, unnest(range(1, len(w) - 11)) t(i)), f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+ gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (g), unnest(range(0, 13)) t(k) WHERE first < doc_id),
+ o AS (SELECT doc_id, pos, w[pos] AS word FROM w, unnest(range(1, len(w) + 1)) t(pos)),
+ k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM o ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op5_spherical_kmeans": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id AS id FROM v),
+ u AS (SELECT vec_id, v FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95), {REACH},
+ d AS (SELECT a, count(*) AS k FROM e GROUP BY a), c AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+ SELECT id AS vec_id, coalesce(k, 0) AS n_links, comp AS component_id, id = comp AS kept FROM n JOIN c ON node = id LEFT JOIN d ON d.a = id""",
+    "op10_chosen_path": f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+ n AS (SELECT doc_id AS id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS "both" FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * "both" >= 85 * (na.n + nb.n - "both")), {REACH}, c AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+ SELECT id AS doc_id, n AS n_shingles, comp AS component_id, id = comp AS kept FROM n JOIN c ON node = id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
