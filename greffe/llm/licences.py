@@ -162,8 +162,11 @@ def train(background: list[str]) -> Model:
 
 def fit(docs: DataFrame) -> Model:
     """A model whose background is a bounded sample of paragraphs of docs(doc_id, text)."""
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text").limit(SAMPLE_ROWS).select("text").toArrow()
-    lines = [" ".join(own[at : at + PIECE]) for text in rows["text"].to_pylist() for line in text.split("\n") if (own := line.split()) for at in range(0, len(own), PIECE)]
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
+    # Ids are chosen without their texts; SAMPLE_ROWS of them are broadcast.
+    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_ROWS)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
+    lines = [" ".join(own[at : at + PIECE]) for text in sorted(set(rows["text"].to_pylist())) for line in text.split("\n") if (own := line.split()) for at in range(0, len(own), PIECE)]
     return train(lines[:SAMPLE_PIECES])
 
 

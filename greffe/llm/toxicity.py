@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         some = own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_ROWS)
         chosen = some if chosen is None else chosen.unionByName(some)
     # 2 * SAMPLE_ROWS rows at most
-    rows = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").toArrow()
+    rows = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.text", "x.lang").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py() * 0x9E3779B1 % (1 << 32), rows["doc_id"][i].as_py(), rows["text"][i].as_py()))
     order = order[: 2 * SAMPLE_ROWS]
     rows = rows.take(pa.array(order, pa.int64()))
