@@ -7,8 +7,8 @@ at its own node and repeatedly expands all unexpanded nodes of its beam, over li
 improves the beam. The last candidates are scored in double precision on the original vectors.
 
 Lists, beams and rounds are bounded parameters of the method; every vector is a node and can be found. Visitors of a node
-that very many list meet in parts of PART, and adjacency rows hold PART links of a node each. Vectors are compared as
-bytes until the last step.
+that very many list meet in parts of PART, and adjacency rows hold PART links of a node each. Vectors are compared in
+single precision until the last step; what single precision cannot tell from the last candidates is scored too.
 
 Equal vectors are one node; the smallest ids of a node (as many as a result can hold, and one) come back with it. Null, zero
 and non-finite vectors, those not of the most frequent length, and rows without an id take no part. With fewer candidates
@@ -39,16 +39,17 @@ SALTS = 16
 
 
 def coded(rows: np.ndarray) -> np.ndarray:
-    """Unit vectors as signed bytes with a common scale."""
-    return np.clip(np.rint(vectors.unit(rows) * 127 * SCALE), -127, 127).astype(np.int8)
+    """Unit vectors in single precision."""
+    return vectors.unit(rows).astype(np.float32)
 
 
-#: Components of unit vectors of some length are small; larger ones than 1 / SCALE are cut off in the codes only.
-SCALE = 2.0
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.float32) @ b.astype(np.float32).T) / np.float32((127 * SCALE) ** 2)
+def code_error(length: int) -> float:
+    """How far a product of codes can be from the true one: rounding of the codes and of each addition."""
+    return (length + 4) * 2.0**-24
 
 
 def best(ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def meet(rows: DataFrame, exclude_known: bool) -> DataFrame:
         nodes, ids, sims = [], [], []
         for group in sets.groups(batches):
             own, least = group.column(1).combine_chunks().to_numpy(), group.column(3).combine_chunks().to_numpy()
-            codes = vectors.blobs(group.column(2), np.int8)
+            codes = vectors.blobs(group.column(2), np.float32)
             for at in range(0, len(own), PART):
                 part = slice(at, at + PART)
                 near = products(codes[part], codes[part])
@@ -145,7 +146,7 @@ def first_lists(nodes: DataFrame, many: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = vectors.blobs(batch.column(1), np.int8).astype(np.float32)
+            codes = vectors.blobs(batch.column(1), np.float32)
             for tree in range(TREES):
                 side = (codes @ planes[tree].T > 0) if bits else np.zeros((len(codes), 1), bool)
                 place = (side * (1 << np.arange(side.shape[1]))).sum(axis=1) * TREES + tree
@@ -191,11 +192,11 @@ def search(queries: DataFrame, nodes: DataFrame, links: DataFrame, tables: work.
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             query, least = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            mine, ends, theirs = vectors.blobs(batch.column(1), np.int8), batch.column(3), batch.column(4)
+            mine, ends, theirs = vectors.blobs(batch.column(1), np.float32), batch.column(3), batch.column(4)
             out_nodes, ids, sims = [], [], []
             for i in range(batch.num_rows):
                 other = ends[i].values.to_numpy()
-                near = products(mine[i : i + 1], vectors.blobs(theirs[i].values, np.int8))[0]
+                near = products(mine[i : i + 1], vectors.blobs(theirs[i].values, np.float32))[0]
                 better = (near > least[i]) & (other != query[i])
                 if better.any():
                     out_nodes.append(query[i])
@@ -282,7 +283,12 @@ def nearest(df: DataFrame, is_query: Column, most: int = 5, id_col: str = "vec_i
 
     alike = own.where("copies > 1").select("vec_id", "node")
     members = own.where("copies = 1").select("node", "vec_id").unionByName(smallest_ids(alike, most + 1).select("node", "vec_id"))
-    few = beams.select(F.col("node").alias("asked"), F.concat(F.array("node"), F.slice(F.filter("ids", lambda x: x != F.col("node")), 1, RESCORED)).alias("ids"))
+    # Beyond the first RESCORED, those that the codes cannot tell from the last one wanted.
+    others = beams.select("node", F.filter(F.arrays_zip("ids", "sims"), lambda x: x["ids"] != F.col("node")).alias("x"))
+    doubt = F.element_at("x", F.least(F.lit(most), F.size("x")))["sims"] - 2 * code_error(len(sample[0]["vector"]))
+    others = others.where(F.size("x") > 0).withColumn("x", F.filter("x", lambda x, i: (i < RESCORED) | (x["sims"] >= doubt)))
+    alone = beams.select(F.col("node").alias("asked"), F.array("node").alias("ids"))
+    few = alone.unionByName(others.select(F.col("node").alias("asked"), F.col("x.ids").alias("ids")))
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("asked"), F.col("vector").alias("a")).join(few, "asked").withColumn("node", F.explode("ids")).drop("ids", "asked")
     pairs = pairs.join(heads.select("node", F.col("vector").alias("b")), "node").join(members, "node").where("vec_id <> query_id")
     scored = exact_scores(pairs)

@@ -65,6 +65,22 @@ def test_neighbours(vectors):
     assert hits / total >= 0.95
 
 
+def test_neighbours_in_a_tight_group(spark):
+    """Many near copies of one vector, closer to each other than small codes can tell."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    rows = np.vstack([base + 0.004 * np.linalg.norm(base) * rng.normal(size=(600, 64)), rng.normal(size=(600, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = x @ x.T
+    np.fill_diagonal(near, -2)
+    hits = sum(len(found[q] & set(np.argsort(-near[q])[:5].tolist())) for q in range(0, 600, 20))
+    assert hits / (5 * 30) >= 0.95
+
+
 def test_neighbours_of_few(vectors, spark):
     *_, table = vectors
     few = table.where("vec_id in (0, 5, 10)")
