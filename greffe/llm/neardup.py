@@ -4,8 +4,8 @@ A document is the set of its distinct n-word shingles. In each of several indepe
 path: at every node the document's token of least hash under that node's own hash function names the branch, so that
 two documents of similarity s stay together over a level with probability s. Nodes are not kept; a path's hash is its
 node, and a document knows its nodes of every level. A node of few documents is a leaf; a larger one branches further.
-With depth 2 and the number of trees that tree_count() gives, a pair at the threshold misses every tree with a
-probability of 1 - RECALL at most.
+With the number of trees that tree_count() gives, a pair at the threshold misses every tree with a probability of
+1 - RECALL at most, even where all its nodes branch down to the last level.
 
 Candidates are compared on whole sets. First each document of a node is compared with the node's smallest; linked
 documents form components. Then, in leaves that still hold several components, all pairs of documents from different
@@ -31,7 +31,7 @@ from . import sets, work
 from .words import mix
 
 U = np.uint64
-#: Chance that a pair at the threshold shares a node of level 2 in some tree.
+#: Chance that a pair at the threshold shares a leaf in some tree.
 RECALL = 0.99995
 #: Levels of a tree at most; a node of more documents than LEAF branches again, if a level is left.
 LEVELS, LEAF = 4, 2_048
@@ -40,7 +40,7 @@ BLOCK = 128
 
 
 def tree_count(percent: int, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** 2))
+    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** LEVELS))
 
 
 def paths(tokens: np.ndarray, starts: np.ndarray, trees: int) -> np.ndarray:

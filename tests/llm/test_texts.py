@@ -62,6 +62,20 @@ def test_near_duplicates_odd(with_odd_ids, no_docs, documents):
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("percent, own, shared", [(85, 15, 170), (80, 20, 160)])
+def test_pairs_at_the_threshold_share_a_deepest_leaf(percent, own, shared):
+    """Where every node is large only nodes of the last level are leaves, and RECALL holds for them too."""
+    rng, many = np.random.default_rng(8), 8_000
+    tokens = rng.integers(0, 1 << 63, (many, shared + 2 * own), dtype=np.uint64)
+    one, two = tokens[:, : shared + own], np.hstack([tokens[:, :shared], tokens[:, shared + own :]])
+    trees = neardup.tree_count(percent)
+    starts = np.arange(many + 1) * (shared + own)
+    a, b = (neardup.paths(np.ascontiguousarray(x).ravel(), starts, trees) for x in (one, two))
+    deepest = slice(neardup.LEVELS - 2, None, neardup.LEVELS - 1)
+    missed = int((~(a[:, deepest] == b[:, deepest]).any(axis=1)).sum())
+    assert missed <= 3  # 0.4 are expected
+
+
 def test_blocks_of_open_leaves_lose_no_link(spark, monkeypatch):
     """A chain whose members are not all like the smallest: leaves stay open and blocks find the rest."""
     base = [f"w{i}" for i in range(200)]
