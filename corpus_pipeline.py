@@ -12,6 +12,8 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the tokens that the mixing stage samples.
 SHARE = 0.8
+#: Similarity of near duplicates in percent; operator 10's own query has another contract.
+SIMILAR = 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
+    gone = neardup.near_duplicates(docs, percent=SIMILAR).where("not kept").select("doc_id")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
 
 

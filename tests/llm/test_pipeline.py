@@ -42,3 +42,14 @@ def test_stages(spark, doc_table, tmp_path):
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     expected = {i: hashlib.sha256(np.array(plain.encode_ordinary(t or ""), dtype="<u4").tobytes()).hexdigest() for i, t, *_ in left}
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == expected
+
+
+def test_near_duplicates_from_80_percent_on(spark):
+    """Two of 100 words edited: 86 of 106 shingles are shared, and with three 81 of 111."""
+    words = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join("new" + str(i) if i in at else w for i, w in enumerate(words))
+    docs = [(1, edited()), (2, edited(20, 60)), (3, edited(30, 50, 70)), (4, None)]
+    table = spark.createDataFrame([(*d, "en", "s0", 1) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
+    near = brute.near_duplicates(docs, 80)
+    assert left == {i for i, (_, c) in near.items() if i == c} == {1, 3, 4}
