@@ -49,14 +49,18 @@ def repeated(returned: DataFrame, key: str = "id") -> DataFrame:
     return returned.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def warnings(submitted: DataFrame, returned: DataFrame, key: str = "id", most: int = 1000) -> DataFrame:
-    """One row a kind of trouble: kind, n, and the first ids in order, joined by commas."""
+def warnings(submitted: DataFrame, returned: DataFrame, key: str = "id", block: int = 1000) -> DataFrame:
+    """kind of trouble, n (of all its ids), and the ids in order, joined by commas: about block of them a row, one row if n is no more."""
     kinds = {"missing": missing(submitted, returned, key), "unknown": unknown(submitted, returned, key), "repeated": repeated(returned, key).select(key)}
     rows = None
     for kind, ids in kinds.items():
         text = F.col(key).cast("string")
-        listed = ids.select(text.alias("x")).orderBy("x").limit(most).agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias("ids"))
-        one = ids.agg(F.count("*").alias("n")).crossJoin(listed).where("n > 0").select(F.lit(kind).alias("kind"), "n", "ids")
+        many = ids.count()
+        # Blocks are ranges of ids, so that no task holds all of them; ids of one range are numbered within it.
+        dealt = ids.select(text.alias("x")).repartitionByRange(max(1, min(1000, -(-many // block))), "x").withColumn("__part", F.spark_partition_id())
+        own = F.row_number().over(Window.partitionBy("__part").orderBy("x"))
+        listed = dealt.withColumn("__block", F.floor((own - 1) / block)).groupBy("__part", "__block")
+        one = listed.agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias("ids")).select(F.lit(kind).alias("kind"), F.lit(many).cast("long").alias("n"), "ids")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

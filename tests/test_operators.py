@@ -89,6 +89,14 @@ def test_merges(spark):
     assert pairs.count() == 5 and {r.ref_id for r in pairs.collect()} == {"amdt-185"}
 
 
+def test_warnings_list_every_id(spark):
+    asked, returned = spark.range(2500).selectExpr("cast(id as string) id"), spark.range(2400, 5000).selectExpr("cast(id as string) id")
+    rows = merge.warnings(asked, returned).collect()
+    listed = {k: [x for r in rows if r.kind == k for x in r.ids.split(", ")] for k in ("missing", "unknown")}
+    assert sorted(listed["missing"]) == sorted(str(i) for i in range(2400)) and {r.n for r in rows if r.kind == "missing"} == {2400}
+    assert sorted(listed["unknown"]) == sorted(str(i) for i in range(2500, 5000)) and not [r for r in rows if r.kind == "repeated"]
+
+
 def test_moves_are_undone(spark):
     df = spark.range(12).select(F.col("id").alias("x"), F.col("id").alias("_pos"))
     for a, b in ((2, 9), (9, 2), (0, 11), (5, 5)):
