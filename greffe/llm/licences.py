@@ -1,10 +1,13 @@
 """Operator 3: licence scan by a trained paragraph classifier.
 
-Paragraphs are lines of a text; longer ones are cut into pieces of PIECE words. A multinomial logistic regression on
-hashed word 1- and 2-grams, trained in numpy, gives each piece a licence family or none. It learns from the notices below,
-varied, and from a bounded sample of the corpus's own paragraphs as background. A prediction is confirmed by comparing
-the piece with its family's notices word by word. A piece that the model takes for a licence, but with less than the
-calibrated probability or without a confirming notice, counts as unknown.
+A paragraph's number is its line. A multinomial logistic regression on hashed word 1- and 2-grams, trained in numpy, gives
+a piece of text a licence family or none. It learns from the notices below, varied, and from a bounded sample of the
+corpus's own paragraphs as background. A prediction is confirmed by comparing the piece with its family's notices word by
+word. Two kinds of pieces are looked at: windows of each notice's own length that hold enough of its words, anywhere in a
+run of lines up to a line without words; and then lines, and runs of several lines, cut into pieces of PIECE words that
+overlap by half. Of pieces that overlap, the window that holds most counts, or else the first. A piece of the second kind
+that the model takes for a licence, but with less than the calibrated probability or without a confirming notice, counts
+as unknown.
 
 Null and empty texts have no paragraphs. The model needs no labels; without background it learns from notices alone.
 Repeated rows are scanned alike; further columns are ignored; an empty table gives an empty table.
@@ -46,19 +49,59 @@ BUCKETS, COPIES, ROUNDS, RATE, SEED = 1 << 16, 60, 4, 0.3, 3
 HELD, FILLED, LET_THROUGH = 0.75, 0.4, 0.98
 
 
-def pieces(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray]:
-    """Words, where pieces start among them (and an end), and the paragraph of each piece counted from 0 in its text."""
+def pieces(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the line of each counted from 0 in its text, and where lines and runs of lines start among them (and an end)."""
     split = words.split(texts, lower=True, gaps=PUNCTUATED)
     lines = np.concatenate([[0], np.cumsum(split.data == 10)])
     line = lines[split.starts] if len(split) else np.zeros(0, np.int64)
     owner = split.owner()
     new = np.ones(len(split), dtype=bool)
     new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    place = np.arange(len(split)) - first[np.cumsum(new) - 1] if len(split) else line
-    starts = np.flatnonzero(place % PIECE == 0)
+    apart = np.ones(len(split), dtype=bool)
+    apart[1:] = (line[1:] > line[:-1] + 1) | (owner[1:] != owner[:-1])
     base = lines[words.flat(texts)[1][:-1]] if len(texts) else np.zeros(0, np.int64)
-    return split, np.append(starts, len(split)), (line[starts] - base[owner[starts]] if len(starts) else starts)
+    ends = lambda marks: np.append(np.flatnonzero(marks), len(split))
+    return split, (line - base[owner] if len(split) else line), ends(new), ends(apart)
+
+
+def overlapping(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of pieces of PIECE words, one each half a piece, of the parts between cuts."""
+    sizes = np.diff(cuts)
+    many = -(-sizes // (PIECE // 2))
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    starts = np.repeat(cuts[:-1], many) + within * (PIECE // 2)
+    return starts, np.minimum(starts + PIECE, np.repeat(cuts[1:], many))
+
+
+def windows(hashed: np.ndarray, cuts: np.ndarray) -> list[tuple[float, int, int, int]]:
+    """(held, start, end, label) of windows as long as a notice that hold enough of it; of a notice's own none overlap."""
+    vocabulary = np.array(sorted(set().union(*(x for own in NOTICE_SETS.values() for x in own))), dtype=np.uint64)
+    place = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
+    at = np.flatnonzero(vocabulary[place] == hashed)  # Words that some notice has; a window starts and ends with one.
+    place, high = place[at], cuts[np.searchsorted(cuts, at, side="right")] if len(at) else at
+    out = []
+    for label, family in enumerate(NOTICES, 1):
+        for notice, many in zip(NOTICE_SETS[family], NOTICE_LENGTHS[family]):
+            own = np.isin(vocabulary, list(notice))[place]
+            mine, least = at[own], HELD * len(notice)
+            stop = np.searchsorted(mine, np.minimum(mine + many, high[own]))
+            rows = []
+            for i in np.flatnonzero(stop - np.arange(len(mine)) >= least).tolist():
+                both = len(set(hashed[mine[i : stop[i]]].tolist()))
+                if both >= least:
+                    rows.append((both / len(notice), int(mine[i]), int(mine[stop[i] - 1]) + 1, label))
+            out += apart_from(rows, np.zeros(len(hashed), dtype=bool))
+    return out
+
+
+def apart_from(rows: list, taken: np.ndarray) -> list:
+    """Of (held, start, end, ...) those, the most held and then the longest first, that overlap with none taken; they are taken then."""
+    kept = []
+    for row in sorted(rows, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+        if not taken[row[1] : row[2]].any():
+            taken[row[1] : row[2]] = True
+            kept.append(row)
+    return kept
 
 
 def grams(hashed: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +128,18 @@ class Model:
         return softmax(sums / np.sqrt(np.diff(starts))[:, None] + self.bias)
 
 
+    def of_ranges(self, hashed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Probabilities of pieces that may overlap, none of them empty."""
+        sizes = ends - starts
+        turn, out = np.cumsum(sizes) // AT_ONCE, [np.zeros((0, len(self.bias)))]
+        cuts = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(starts)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            where = np.concatenate([[0], np.cumsum(sizes[a:b])])
+            own = np.arange(where[-1]) + np.repeat(starts[a:b] - where[:-1], sizes[a:b])
+            out.append(self.probabilities(hashed[own], where))
+        return np.concatenate(out)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=1, keepdims=True))
     return x / x.sum(axis=1, keepdims=True)
@@ -97,6 +152,9 @@ def word_sets(texts: list[str]) -> list[frozenset[int]]:
 
 
 NOTICE_SETS = {family: word_sets(list(texts)) for family, texts in NOTICES.items()}
+NOTICE_LENGTHS = {family: np.diff(words.split(pa.array(texts), lower=True, gaps=PUNCTUATED).docs).tolist() for family, texts in NOTICES.items()}
+#: Words whose pieces are judged at once.
+AT_ONCE = 200_000
 
 
 def confirmed(piece: frozenset[int], family: str) -> float:
@@ -185,20 +243,34 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            split, starts, paragraph = pieces(batch.column(1))
-            hashed = words.hashes(split)
-            chance = model.probabilities(hashed, starts)
-            owner = np.searchsorted(split.docs, starts[:-1], side="right") - 1
+            split, line, by_line, by_run = pieces(batch.column(1))
+            hashed, owner = words.hashes(split), split.owner()
             many = np.zeros(batch.num_rows, dtype=np.int64)
             if len(owner):
-                np.maximum.at(many, owner, paragraph + 1)
+                np.maximum.at(many, owner, line + 1)
             rows = [[] for _ in range(batch.num_rows)]
-            for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():
-                label = 1 + int(chance[i, 1:].argmax())
-                piece = frozenset(hashed[starts[i] : starts[i + 1]].tolist())
-                held = confirmed(piece, FAMILIES[label])
-                sure = held > 0 and chance[i, label] >= model.least
-                rows[owner[i]].append({"paragraph": int(paragraph[i]), "family": FAMILIES[label] if sure else "unknown", "probability": float(chance[i, label]), "held": held})
+            taken = np.zeros(len(split), dtype=bool)
+
+            def add(start: int, family: str, probability: float, held: float):
+                rows[owner[start]].append({"paragraph": int(line[start]), "family": family, "probability": float(probability), "held": held})
+
+            seen = windows(hashed, by_run)
+            chance = model.of_ranges(hashed, np.array([x[1] for x in seen], np.int64), np.array([x[2] for x in seen], np.int64))
+            sure = [(*x, p[x[3]]) for x, p in zip(seen, chance) if p[0] < 0.5 and p[1:].argmax() + 1 == x[3] and p[x[3]] >= model.least]
+            for held, start, _, label, probability in apart_from(sure, taken):
+                add(start, FAMILIES[label], probability, held)
+            for cuts in (by_line, by_run):
+                starts, ends = overlapping(cuts)
+                chance = model.of_ranges(hashed, starts, ends)
+                for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():
+                    a, b = int(starts[i]), int(ends[i])
+                    if taken[a:b].any():
+                        continue
+                    taken[a:b] = True
+                    label = 1 + int(chance[i, 1:].argmax())
+                    held = confirmed(frozenset(hashed[a:b].tolist()), FAMILIES[label])
+                    known = held > 0 and chance[i, label] >= model.least
+                    add(a, FAMILIES[label] if known else "unknown", chance[i, label], held)
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("held", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.array(rows, kind)], ["doc_id", "n_paragraphs", "found"])
 

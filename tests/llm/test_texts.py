@@ -235,3 +235,20 @@ def test_licences(spark, with_odd_ids, no_docs, documents):
     assert sum((i, 1, f) in where for i, _, f in rows) >= len(rows) - 1
     assert counts.count() == docs.count()
     assert licences.scan(no_docs)[1].collect() == []
+
+
+def test_licences_in_wrapped_and_long_paragraphs(spark, documents):
+    """Notices over several lines, within longer lines and across the cut of a long line."""
+    filler = " ".join(" ".join(t.split()) for _, t in documents if t and 200 < len(t) < 9_000).split()
+    around = lambda text, before, after: " ".join([*filler[:before], text, *filler[500 : 500 + after]])
+    texts = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+        ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"),
+        ("mit", around("Released under the MIT License.", 20, 20)),
+        *(("apache-2.0", around(licences.NOTICES["apache-2.0"][1], before, 60)) for before in (30, 36, 44)),
+    ]
+    docs = spark.createDataFrame([(5000 + i, t) for i, (_, t) in enumerate(texts)] + [(i, t) for i, t in documents], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan(docs)[1].collect()}
+    assert [got[5000 + i] for i in range(len(texts))] == [f for f, _ in texts]
+    assert not any(got[i] for i, _ in documents)
