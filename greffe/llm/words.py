@@ -6,15 +6,16 @@ every machine and in every run.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes that are hashed at once; a longer word forms a block of its own.
-BLOCK = 1 << 20
-_STEP, _STEP_INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of a word up to which it is hashed along with all others.
+SHORT = 32
+_STEP, _ODD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,19 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-_powers = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(n, BLOCK + 1), base, dtype=np.uint64)
-        x[0] = 1
-        have = np.multiply.accumulate(x)
-        if n <= BLOCK + 1:
-            _powers[base] = have
-    return have[:n]
+#: Masks that keep the first so many bytes of eight.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,20 +80,26 @@ def split(texts: pa.Array, lower: bool = False, gaps: np.ndarray = SEPARATOR) ->
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
-def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in a random odd base, taken from prefix sums, then mixed."""
-    out = np.empty(len(words), dtype=np.uint64)
-    at = 0
-    while at < len(words):
-        low = words.starts[at]
-        to = max(at + 1, int(np.searchsorted(words.ends, low + BLOCK, side="right")))
-        high = words.ends[to - 1]
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[words.data[low:high]] * _power(_STEP, high - low), out=sums[1:])
-        start = words.starts[at:to] - low
-        span = words.ends[at:to] - words.starts[at:to]
-        out[at:to] = mix((sums[words.ends[at:to] - low] - sums[start]) * _power(_STEP_INV, high - low + 1)[start] + span.astype(np.uint64) * _BYTE[7])
-        at = to
+def hashes(words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; hashes with different seeds are independent of each other.
+
+    Words of up to SHORT bytes are taken eight bytes at a time, all words of the batch at once. Longer ones, of which
+    there are few, are digested one by one.
+    """
+    data = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    starts, sizes = words.starts, words.ends - words.starts
+    key = mix(np.array([2 * seed + 1, 2 * seed + 2], dtype=np.uint64) * _STEP)
+    out = mix(sizes.astype(np.uint64) * _STEP ^ key[0])
+    own, at = np.arange(len(words)), 0
+    while len(own):
+        chunk = eights[starts[own] + at] & _FIRST_BYTES[np.minimum(sizes[own] - at, 8)]
+        out[own] = mix((out[own] ^ chunk) * _ODD + key[1])
+        at += 8
+        own = own[(sizes[own] > at) & (sizes[own] <= SHORT)]
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        digest = hashlib.blake2b(words.data[starts[i] : words.ends[i]], digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = np.frombuffer(digest.digest(), "<u8")[0]
     return out
 
 
