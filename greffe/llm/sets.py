@@ -42,16 +42,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """Consecutive rows with the same key, of batches sorted by it."""
+def groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first columns, so many as keys says, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for x in own:
+            new |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[-1].column(key)[0].as_py() != keys[a]:
+            if held and any(held[-1].column(k)[0].as_py() != own[k][a] for k in range(keys)):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory is bounded.
 ARROW_ROWS, ARROW_BYTES = "1000", "8388608"
@@ -19,38 +25,64 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local sessions where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def empty(spark: SparkSession, path: str) -> None:
+    """Free what a Parquet table holds, through Spark's own writer, wherever the path lies."""
+    spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 class WorkTables:
     """Parquet tables of one run of an operator, under one new folder of the shared folder.
 
-    A written table cuts lineage and survives lost executors, as every executor can read it again.
+    A written table cuts lineage and survives lost executors, as every executor can read it again. The tables that an
+    operator's result is read from stay; drop() frees the others.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Free tables that no later step reads."""
+        for name in self.names.intersection(names):
+            empty(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What fit makes of a sample of bounded size, in one task: the driver gets the model alone."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        model = pickle.dumps(fit(pa.Table.from_batches(own) if own else schema.empty_table()))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(schema.empty_table())
 
 
-def has_rows(df: DataFrame) -> bool:
-    return not df.isEmpty()
+def numbered(df: DataFrame, *keys: str, name: str = "node") -> DataFrame:
+    """Adds a distinct number for each row of a table whose keys are distinct; write it before using it twice."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
 
 
 def components(edges: DataFrame, tables: WorkTables, name: str = "components", most_rounds: int = 40) -> DataFrame:
