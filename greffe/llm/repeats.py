@@ -7,8 +7,9 @@ fingerprints as there are windows.
 
 Documents come in batches. A batch's fingerprints are written as an immutable run: a table bucketed and sorted by
 fingerprint, which is merge-joined with the runs before it without another shuffle. Fingerprints that several different
-texts hold name the documents to look at; there, the windows of just these anchors are verified by 128-bit digests of
-their full word sequences. When there are many runs, they are compacted into one.
+texts hold name the documents to look at; there, the windows of just these anchors are verified by two independent
+64-bit digests of their full word sequences, down to the bytes. When there are FAN_IN runs, they are compacted into one.
+An index can outlive its session: a later batch meets the runs of all batches before it.
 
 A fingerprint or window that many documents of one Arrow batch share leaves it once; the other documents go into the
 run's overflow table, or have their words removed on the spot. So a passage that a third of all documents hold meets in
@@ -22,24 +23,25 @@ table.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words, work
-from .words import mix
 
 U = np.uint64
 WINDOW, ANCHOR = 13, 7
 #: Runs after which they are compacted into one.
-FAN_IN = 4
-#: Batches in which the query feeds a table to the index.
-BATCHES = 2
+FAN_IN = 2
+#: Batches in which a whole table is fed to the index: the last one meets a compacted run.
+BATCHES = 3
+#: Bytes of text for each bucket of the runs.
+BUCKET_BYTES = 1 << 30
+FINGERPRINTS = "fp long, doc_id long, digest long, shared boolean"
 
 
 def anchors(word: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,63 +92,98 @@ def fingerprints(docs: DataFrame, first: bool) -> DataFrame:
                 flag = np.ones(int(pick.sum()), dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(fp[pick].view(np.int64)), pa.array(ids[owner[pick]]), pa.array(digest[owner[pick]]), pa.array(flag)], ["fp", "doc_id", "digest", "shared"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", "digest").mapInArrow(run, "fp long, doc_id long, digest long, shared boolean")
+    return docs.where("doc_id is not null").select("doc_id", "text", "digest").mapInArrow(run, FINGERPRINTS)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints: ingest() adds a batch, and finds what it shares with itself and with history."""
-
-    def __init__(self, spark: SparkSession, tables: work.WorkTables):
-        self.spark, self.tables = spark, tables
-        self.label = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.overflow: list[DataFrame] = []
-        self.made = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"{self.label}_{self.made}"
-        self.made += 1
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
-        return name
+    """Sorted immutable runs of fingerprints under a folder: ingest() adds a batch, and finds what it shares with itself and with history.
+
+    save() notes the runs in the folder; open() finds them there again, also in another session.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, numbers: list[int] | None = None, made: int = 0, last: int | None = None):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.numbers, self.made, self.last = list(numbers or []), made, last
+        self.label = f"fingerprints_{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}"
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> "FingerprintIndex":
+        """The index that save() left."""
+        noted = spark.read.parquet(f"{folder.rstrip('/')}/noted").orderBy(F.desc("version")).first()
+        index = FingerprintIndex(spark, folder, noted["buckets"], noted["numbers"], noted["made"], noted["last"])
+        for number in index.numbers:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {index._table(number)} ({FINGERPRINTS}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{index.folder}/run-{number}'")
+        return index
+
+    def save(self) -> None:
+        version = self.spark.createDataFrame([(self.buckets, self.numbers, self.made, self.last)], "buckets int, numbers array<int>, made int, last long")
+        version.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/noted/version={self.made}")
+
+    def _table(self, number: int) -> str:
+        return f"{self.label}_{number}"
+
+    def _run(self, number: int) -> DataFrame:
+        return self.spark.table(self._table(number))
+
+    def _overflow(self, number: int) -> DataFrame:
+        return self.spark.read.schema(FINGERPRINTS).parquet(f"{self.folder}/overflow-{number}")
+
+    def _write(self, rows: DataFrame, more: DataFrame) -> int:
+        number, self.made = self.made, self.made + 1
+        sorted_run = rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet")
+        sorted_run.option("path", f"{self.folder}/run-{number}").saveAsTable(self._table(number))
+        more.write.parquet(f"{self.folder}/overflow-{number}")
+        return number
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """fp, doc_id of the documents, old or new, whose anchors the batch shares with another text."""
-        name = self._write(fingerprints(batch, True))
-        more = self.tables.keep(fingerprints(batch, False), f"overflow-{self.made}")
-        run = self.spark.table(name)
-        within = run.groupBy("fp").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("shared").alias("shared"))
-        hits = [run.join(within.where("shared or low < high").select("fp"), "fp", "left_semi").select("fp", "doc_id"), more.select("fp", "doc_id")]
-        for old, beside in zip(self.runs, self.overflow):
-            history = self.spark.table(old)
-            known = history.groupBy("fp").agg(F.min("digest").alias("old_low"), F.max("digest").alias("old_high"), F.max("shared").alias("old_shared"))
-            both = known.join(within, "fp").where("old_shared or shared or least(low, old_low) < greatest(high, old_high)").select("fp")
-            hits += [x.join(both, "fp", "left_semi").select("fp", "doc_id") for x in (run, history, beside)]
-        found = hits[0]
-        for x in hits[1:]:
-            found = found.unionByName(x)
-        found = self.tables.keep(found, f"hits-{self.made}")
-        self.runs.append(name)
-        self.overflow.append(more)
-        if len(self.runs) >= FAN_IN:
+        number = self._write(fingerprints(batch, True), fingerprints(batch, False))
+        of_run = lambda n: self._run(n).groupBy("fp").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("shared").alias("shared"))
+        agreed = of_run(number)
+        for old in self.numbers:
+            agreed = agreed.join(of_run(old).toDF("fp", "old_low", "old_high", "old_shared"), "fp", "left")
+            together = [F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"), (F.col("shared") | F.coalesce("old_shared", F.lit(False))).alias("shared")]
+            agreed = agreed.select("fp", *together)
+        # As a table it is shuffled anew for each join, so that Spark can split a fingerprint with very many documents.
+        agreed = keep(agreed.where("shared or low < high").select("fp"), f"{self.folder}/agreed-{number}")
+        found = None
+        for n in (*self.numbers, number):
+            for rows in (self._run(n), self._overflow(n)):
+                own = rows.join(agreed, "fp", "left_semi").select("fp", "doc_id")
+                found = own if found is None else found.unionByName(own)
+        found = keep(found, f"{self.folder}/hits-{number}")
+        work.empty(self.spark, f"{self.folder}/agreed-{number}")
+        self.numbers.append(number)
+        highest = batch.agg(F.max("doc_id")).first()[0]
+        self.last = max((x for x in (self.last, highest) if x is not None), default=None)
+        if len(self.numbers) >= FAN_IN:
             self.compact()
         return found
 
     def compact(self) -> None:
         """Merge all runs into one. Rows of every document stay, as a later window may agree with any of them."""
-        rows, more = self.spark.table(self.runs[0]), self.overflow[0]
-        for x, y in zip(self.runs[1:], self.overflow[1:]):
-            rows, more = rows.unionByName(self.spark.table(x)), more.unionByName(y)
-        merged = self._write(rows.dropDuplicates(["fp", "doc_id", "digest"]))
-        beside = self.tables.keep(more, f"overflow-{self.made}-merged")
-        for x in self.runs:
-            self.spark.sql(f"DROP TABLE {x}")
-        self.runs, self.overflow = [merged], [beside]
+        rows = more = None
+        for n in self.numbers:
+            rows = self._run(n) if rows is None else rows.unionByName(self._run(n))
+            more = self._overflow(n) if more is None else more.unionByName(self._overflow(n))
+        merged = self._write(rows, more)
+        self._forget(self.numbers)
+        self.numbers = [merged]
+
+    def _forget(self, numbers: list[int]) -> None:
+        for n in numbers:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(n)}")
+            work.empty(self.spark, f"{self.folder}/run-{n}")
+            work.empty(self.spark, f"{self.folder}/overflow-{n}")
 
     def drop(self) -> None:
-        for x in self.runs:
-            self.spark.sql(f"DROP TABLE {x}")
-        self.runs, self.overflow = [], []
+        self._forget(self.numbers)
+        self.numbers = []
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cover(at: np.ndarray, many: int) -> np.ndarray:
@@ -191,7 +228,7 @@ def scan(docs: DataFrame, with_text: bool) -> DataFrame:
             hashed = words.hashes(split)
             at, fp = anchors(hashed, split.docs)
             one = words.windows(hashed, WINDOW, seed=1)[at] if len(at) else np.zeros(0, U)
-            two = words.windows(mix(hashed ^ U(0x5851F42D4C957F2D)), WINDOW, seed=2)[at] if len(at) else np.zeros(0, U)
+            two = words.windows(words.hashes(split, seed=1), WINDOW, seed=2)[at] if len(at) else np.zeros(0, U)
             owner = owners(at, split.docs)
             lists = batch.column(3)
             asked = np.zeros(len(at), dtype=bool)
@@ -259,49 +296,96 @@ def finish(rows: DataFrame, with_text: bool) -> DataFrame:
     return rows.select("doc_id", "text", "gone", "found", "n_words", "extra").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, extra: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None) -> DataFrame:
+    carried = F.struct(*[docs[c] for c in extra]) if extra else F.lit(None).cast("boolean")
+    text = docs[text_col]
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), carried.alias("extra"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, extra: list[str] | None = None, with_text: bool = False, index_folder: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     with_text: kept_text too, the text itself where nothing went. extra: columns to carry along in a struct of that name.
+    index_folder: a new folder in which the index stays, for remove_repeats_of_batch().
     """
     spark = docs.sparkSession
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "repeats")
-    carried = F.struct(*[docs[c] for c in extra]) if extra else F.lit(None).cast("boolean")
-    text = docs[text_col]
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), carried.alias("extra"))
-
-    index = FingerprintIndex(spark, tables)
+    docs = prepared(docs, id_col, text_col, extra)
+    parts, total = in_order(docs, batches)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
+    index = FingerprintIndex(spark, index_folder or f"{tables.root}/index", buckets)
     hits = None
-    for part in in_order(docs, batches):
+    for part in parts:
         found = index.ingest(part)
         hits = found if hits is None else hits.unionByName(found)
-    per_doc = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    if index_folder:
+        index.save()
+    facts = facts_of(docs, hits, tables)
+    if not index_folder:
+        index.drop()
+    return settled(docs, facts, tables, extra, with_text)
+
+
+def remove_repeats_of_batch(history: DataFrame, batch: DataFrame, index_folder: str, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """As remove_repeats(), for the rows of a later batch: what is in history, whose index is in the folder, goes from it too.
 
+    The batch's ids are larger than all of history's, so nothing that was decided before changes. The batch is added to
+    the index.
+    """
+    spark = batch.sparkSession
+    work.arrow_batches(spark)
+    tables = work.WorkTables(spark, "repeats")
+    old, new = prepared(history, id_col, text_col, None), prepared(batch, id_col, text_col, extra)
+    index = FingerprintIndex.open(spark, index_folder)
+    before, lowest = index.last, new.agg(F.min("doc_id")).first()[0]
+    if before is not None and lowest is not None and lowest <= before:
+        raise ValueError(f"a batch's ids must be above those of the index; {lowest} is not above {before}")
+    hits = index.ingest(new)
+    index.save()
+    every = old.select("doc_id", "text", "digest", F.lit(None).cast(new.schema["extra"].dataType).alias("extra"), F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))
+    facts = facts_of(every, hits, tables)
+    # Of history only documents that share an anchor with the batch are read again.
+    named = facts.where("size(fps) > 0").select("doc_id")
+    asked = new.unionByName(every.where("old").join(named, "doc_id", "left_semi").drop("old"))
+    done = settled(asked, facts, tables, extra, with_text)
+    return done if before is None else done.where(F.col("doc_id").isNull() | (F.col("doc_id") > before))
+
+
+def facts_of(docs: DataFrame, hits: DataFrame, tables: work.WorkTables) -> DataFrame:
+    """doc_id, copy, fps of the documents that are copies or hold shared anchors."""
+    per_doc = hits.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     facts = per_doc.join(copies_of(docs, tables), "doc_id", "full").select("doc_id", "fps", F.coalesce("copy", F.lit(False)).alias("copy"))
-    facts = tables.keep(facts.select("doc_id", "copy", F.when(~F.col("copy"), F.col("fps")).alias("fps")), "facts")
-    index.drop()
+    return tables.keep(facts.select("doc_id", "copy", F.when(~F.col("copy"), F.col("fps")).alias("fps")), "facts")
+
+
+def settled(docs: DataFrame, facts: DataFrame, tables: work.WorkTables, extra: list[str] | None, with_text: bool) -> DataFrame:
+    """The result for docs: their shared anchors' windows are looked up among each other, and removed."""
     asked = docs.join(facts, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     seen = tables.keep(scan(asked, with_text), "scan")
 
     windows = seen.where("size(windows) > 0").select("doc_id", "digest", F.inline("windows"))
-    least = F.min("doc_id").over(Window.partitionBy("one", "two"))
-    found = windows.withColumn("first", least).where("first < doc_id").groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("found"))
+    first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # As a table of its own it is shuffled anew for the join, so that Spark can split a window with very many documents.
+    first = tables.keep(first.select("one", "two", "first"), "first-windows")
+    found = windows.join(first, ["one", "two"]).where("first < doc_id").groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("found"))
     found = tables.keep(found, "found")
-    settled = seen.where("kept_sha256 is not null").select("doc_id", "n_words", "extra", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
+    tables.drop("facts", "first-copies", "first-windows")
+    apart = seen.where("kept_sha256 is not null").select("doc_id", "n_words", "extra", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
     rest = seen.where("kept_sha256 is null").select("doc_id", "digest", "n_words", "text", "gone", "extra").join(found, ["doc_id", "digest"], "left")
-    done = settled.unionByName(finish(rest, with_text))
+    done = apart.unionByName(finish(rest, with_text))
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *["extra"] * bool(extra))
 
 
-def in_order(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """The documents cut into batches by quantiles of doc_id, smallest ids first."""
-    cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("q")).first()["q"] if batches > 1 else []
+def in_order(docs: DataFrame, batches: int) -> tuple[list[DataFrame], int]:
+    """The documents cut into batches by quantiles of doc_id, smallest ids first; and the bytes of all texts."""
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)) if batches > 1 else F.array()
+    row = docs.agg(cuts.alias("cuts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("total")).first()
     out, low = [], None
-    for cut in sorted(set(cuts or [])):
+    for cut in sorted(set(row["cuts"] or [])):
         out.append(docs.where(F.col("doc_id") <= cut) if low is None else docs.where((F.col("doc_id") > low) & (F.col("doc_id") <= cut)))
         low = cut
-    return [*out, docs if low is None else docs.where(F.col("doc_id") > low)]
+    return [*out, docs if low is None else docs.where(F.col("doc_id") > low)], row["total"]
 
 
 def copies_of(docs: DataFrame, tables: work.WorkTables) -> DataFrame:
