@@ -7,13 +7,14 @@ at its own node and repeatedly expands all unexpanded nodes of its beam, over li
 improves the beam. The last candidates are scored in double precision on the original vectors.
 
 Lists, beams and rounds are bounded parameters of the method; every vector is a node and can be found. Visitors of a node
-that very many list meet in parts of PART, and adjacency rows hold PART links of a node each. Vectors are compared in
+that very many list, and the nodes of a cell, are dealt to parts of about PART, and adjacency rows hold PART links of a
+node each. Vectors are compared in
 single precision until the last step; what single precision cannot tell from the last candidates is scored too.
 
 Equal vectors are one node; the smallest ids of a node (as many as a result can hold, and one) come back with it. Null, zero
-and non-finite vectors, those not of the most frequent length, and rows without an id take no part. With fewer candidates
-than asked for, all come back. Rows that repeat an id with the same vector are one. Further columns are ignored; an
-empty table gives an empty table.
+and non-finite vectors and rows without an id take no part; a vector meets only those of its own length. With fewer
+candidates than asked for, all come back. Rows that repeat an id with the same vector are one; with different vectors
+they are candidates, and queries, each for itself. Further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def code_error(length: int) -> float:
+def code_error(length: Column) -> Column:
     """How far a product of codes can be from the true one: rounding of the codes and of each addition."""
     return (length + 4) * 2.0**-24
 
@@ -69,19 +70,27 @@ def list_batch(nodes: list, ids: list[np.ndarray], sims: list[np.ndarray], more:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def dealt(visits: DataFrame) -> DataFrame:
+    """visits(place, node) with part: a place's visitors are dealt to parts of about PART, whatever their number."""
+    parts = visits.groupBy("place").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    return visits.join(parts, "place").select("place", F.pmod(F.xxhash64("node", "place"), "parts").alias("part"), "node")
+
+
 def meet(rows: DataFrame, exclude_known: bool) -> DataFrame:
-    """Lists of candidates from rows(place, node, code, least): nodes of one place compare with each other.
+    """Lists of candidates from rows(place, part, node, code, least): nodes of one part of a place compare with each other.
 
     A node takes home the TAKEN nearest that are nearer than its least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, ids, sims = [], [], []
-        for group in sets.groups(batches):
-            own, least = group.column(1).combine_chunks().to_numpy(), group.column(3).combine_chunks().to_numpy()
-            codes = vectors.blobs(group.column(2), np.float32)
-            for at in range(0, len(own), PART):
-                part = slice(at, at + PART)
+        for group in sets.groups(batches, keys=2):
+            if group.num_rows < 2:
+                continue
+            own, least = group.column(2).combine_chunks().to_numpy(), group.column(4).combine_chunks().to_numpy()
+            codes = vectors.blobs(group.column(3), np.float32)
+            for at in range(0, len(own), 2 * PART):
+                part = slice(at, at + 2 * PART)
                 near = products(codes[part], codes[part])
                 np.fill_diagonal(near, -2)
                 take = min(TAKEN if exclude_known else DEGREE, near.shape[0] - 1)
@@ -101,7 +110,7 @@ def meet(rows: DataFrame, exclude_known: bool) -> DataFrame:
         if nodes:
             yield list_batch(nodes, ids, sims)
 
-    return rows.select("place", "node", "code", "least").repartition("place").sortWithinPartitions("place", F.xxhash64("node", "place")).mapInArrow(run, LISTS)
+    return rows.select("place", "part", "node", "code", "least").repartition("place", "part").sortWithinPartitions("place", "part", "node").mapInArrow(run, LISTS)
 
 
 def merged(lists: DataFrame, most: int) -> DataFrame:
@@ -139,31 +148,35 @@ def both_ways(graph: DataFrame) -> DataFrame:
     return out.unionByName(out.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
 
 
-def first_lists(nodes: DataFrame, many: int, length: int) -> DataFrame:
-    """Lists from cells of random hyperplanes, TREES times."""
-    bits = max(0, math.ceil(math.log2(max(1, many / CELL))))
-    planes = np.random.default_rng(5).normal(size=(TREES, bits, length)).astype(np.float32)
+def first_lists(nodes: DataFrame) -> DataFrame:
+    """Lists from cells of random hyperplanes, TREES times. nodes: node, n, many (nodes of that length), code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = {}
         for batch in batches:
-            codes = vectors.blobs(batch.column(1), np.float32)
-            for tree in range(TREES):
-                side = (codes @ planes[tree].T > 0) if bits else np.zeros((len(codes), 1), bool)
-                place = (side * (1 << np.arange(side.shape[1]))).sum(axis=1) * TREES + tree
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), batch.column(0), batch.column(1), pa.array(np.full(len(codes), -2, np.float32))], ["place", "node", "code", "least"])
-
-    return meet(nodes.select("node", "code").mapInArrow(run, "place long, node long, code binary, least float"), False)
-
-
-def descend(nodes: DataFrame, many: int, length: int, tables: work.WorkTables) -> DataFrame:
+            for n, own in vectors.by_length(batch, 1):
+                bits = min(32, max(0, math.ceil(math.log2(own.column(2)[0].as_py() / CELL))))
+                if n not in planes:
+                    planes[n] = np.random.default_rng([5, n]).normal(size=(TREES, bits, n)).astype(np.float32)
+                codes = vectors.blobs(own.column(3), np.float32)
+                for tree in range(TREES):
+                    cell = (codes @ planes[n][tree].T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(codes), np.int64)
+                    # A place is one length, one tree and one cell.
+                    place = ((np.int64(n) * TREES + tree) << 32) + cell.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), own.column(0)], ["place", "node"])
+
+    placed = nodes.select("node", "n", "many", "code").mapInArrow(run, "place long, node long")
+    return meet(dealt(placed).join(nodes.select("node", "code"), "node").withColumn("least", F.lit(-2.0).cast("float")), False)
+
+
+def descend(nodes: DataFrame, tables: work.WorkTables) -> DataFrame:
     """The graph: node, ids, sims, least."""
-    found = first_lists(nodes, many, length).withColumn("old", F.lit(False))
+    found = first_lists(nodes).withColumn("old", F.lit(False))
     graph = tables.keep(merged(found, DEGREE), "graph-0")
     for turn in range(1, ROUNDS + 1):
-        visits = both_ways(graph).unionByName(graph.select("node", F.col("node").alias("other")))
-        coded_nodes = nodes.join(graph.select("node", "least"), "node")
-        rows = visits.join(coded_nodes, "node").select(F.col("other").alias("place"), "node", "code", "least")
-        found = meet(rows, True).withColumn("old", F.lit(False))
+        visits = both_ways(graph).select(F.col("other").alias("place"), "node").unionByName(graph.select(F.col("node").alias("place"), "node"))
+        coded_nodes = nodes.select("node", "code").join(graph.select("node", "least"), "node")
+        found = meet(dealt(visits).join(coded_nodes, "node"), True).withColumn("old", F.lit(False))
         now = graph.select("node", "ids", "sims").withColumn("old", F.lit(True))
         after = tables.keep(merged(now.unionByName(found), DEGREE), f"graph-{turn}")
         tables.drop(f"graph-{turn - 1}")
@@ -192,11 +205,11 @@ def search(queries: DataFrame, nodes: DataFrame, links: DataFrame, tables: work.
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             query, least = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            mine, ends, theirs = vectors.blobs(batch.column(1), np.float32), batch.column(3), batch.column(4)
+            mine, ends, theirs = batch.column(1), batch.column(3), batch.column(4)
             out_nodes, ids, sims = [], [], []
             for i in range(batch.num_rows):
                 other = ends[i].values.to_numpy()
-                near = products(mine[i : i + 1], vectors.blobs(theirs[i].values, np.float32))[0]
+                near = products(np.frombuffer(mine[i].as_py(), np.float32)[None], vectors.blobs(theirs[i].values, np.float32))[0]
                 better = (near > least[i]) & (other != query[i])
                 if better.any():
                     out_nodes.append(query[i])
@@ -245,16 +258,17 @@ def smallest_ids(own: DataFrame, most: int) -> DataFrame:
 
 
 def exact_scores(pairs: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of pairs(query_id, vec_id, a, b)."""
+    """query_id, asked, node, vec_id, score of pairs(query_id, asked, node, vec_id, n, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = vectors.matrix(batch.column(2)), vectors.matrix(batch.column(3))
-            a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-            score = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+            for _, own in vectors.by_length(batch, 4):
+                a, b = vectors.matrix(own.column(5)), vectors.matrix(own.column(6))
+                a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+                score = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(score, pa.float64())], ["query_id", "asked", "node", "vec_id", "score"])
 
-    return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(run, "query_id long, vec_id long, score double")
+    return pairs.select("query_id", "asked", "node", "vec_id", "n", "a", "b").mapInArrow(run, "query_id long, asked long, node long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, most: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -263,34 +277,38 @@ def nearest(df: DataFrame, is_query: Column, most: int = 5, id_col: str = "vec_i
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "neighbours")
     own = tables.keep(vectors.prepared(df, id_col, vector_col), "vectors")
-    first = own.groupBy("one", "two").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    first = tables.keep(first, "classes")
-    own = tables.keep(own.join(first, ["one", "two"]).select("vec_id", "node", "copies", "vector"), "own")
-    sample = own.limit(1).collect()
-    if not sample:
+    classes = tables.keep(vectors.classes(own), "classes")
+    own = tables.keep(own.join(classes, [*vectors.CLASS]).select("vec_id", "node", "first", "copies", "n", "vector"), "own")
+    tables.drop("vectors")
+    if own.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors.as_blobs(coded(vectors.matrix(batch.column(1))))], ["node", "code"])
-
-    heads = own.where("vec_id = node").dropDuplicates(["node"])
-    nodes = tables.keep(heads.select("node", "vector").mapInArrow(encode, "node long, code binary"), "nodes")
-    graph = descend(nodes, nodes.count(), len(sample[0]["vector"]), tables)
+            for _, rows in vectors.by_length(batch, 1):
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), vectors.as_blobs(coded(vectors.matrix(rows.column(3))))], ["node", "n", "many", "code"])
+
+    heads = own.where("vec_id = first")  # one row a node
+    # As a table its size is known: a row a length, which Spark broadcasts if it is small.
+    lengths = tables.keep(classes.groupBy("n").agg(F.count("*").alias("many")), "lengths")
+    nodes = tables.keep(heads.join(lengths, "n").select("node", "n", "many", "vector").mapInArrow(encode, "node long, n int, many long, code binary"), "nodes")
+    graph = descend(nodes, tables)
     links = tables.keep(adjacency(graph, nodes), "links")
     asked = own.where(is_query)
-    beams = search(nodes.join(asked.select("node").distinct(), "node", "left_semi"), nodes, links, tables)
+    queries = tables.keep(nodes.join(asked.select("node").distinct(), "node", "left_semi"), "queries")
+    beams = search(queries, nodes, links, tables)
+    tables.drop("links")
 
     alike = own.where("copies > 1").select("vec_id", "node")
     members = own.where("copies = 1").select("node", "vec_id").unionByName(smallest_ids(alike, most + 1).select("node", "vec_id"))
     # Beyond the first RESCORED, those that the codes cannot tell from the last one wanted.
-    others = beams.select("node", F.filter(F.arrays_zip("ids", "sims"), lambda x: x["ids"] != F.col("node")).alias("x"))
-    doubt = F.element_at("x", F.least(F.lit(most), F.size("x")))["sims"] - 2 * code_error(len(sample[0]["vector"]))
+    others = beams.join(queries.select("node", "n"), "node").select("node", "n", F.filter(F.arrays_zip("ids", "sims"), lambda x: x["ids"] != F.col("node")).alias("x"))
+    doubt = F.element_at("x", F.least(F.lit(most), F.size("x")))["sims"] - 2 * code_error(F.col("n"))
     others = others.where(F.size("x") > 0).withColumn("x", F.filter("x", lambda x, i: (i < RESCORED) | (x["sims"] >= doubt)))
     alone = beams.select(F.col("node").alias("asked"), F.array("node").alias("ids"))
     few = alone.unionByName(others.select(F.col("node").alias("asked"), F.col("x.ids").alias("ids")))
-    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("asked"), F.col("vector").alias("a")).join(few, "asked").withColumn("node", F.explode("ids")).drop("ids", "asked")
-    pairs = pairs.join(heads.select("node", F.col("vector").alias("b")), "node").join(members, "node").where("vec_id <> query_id")
-    scored = exact_scores(pairs)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
+    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("asked"), "n", F.col("vector").alias("a")).join(few, "asked").withColumn("node", F.explode("ids")).drop("ids")
+    pairs = pairs.join(heads.select("node", F.col("vector").alias("b")), "node").join(members, "node").where("vec_id <> query_id or node <> asked")
+    scored = exact_scores(pairs).dropDuplicates(["query_id", "asked", "node", "vec_id"])
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id", "node"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")

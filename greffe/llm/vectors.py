@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import work
+
 
 def usable(v: Column) -> Column:
     """Neither null nor empty nor zero, without null or non-finite components."""
@@ -15,16 +19,24 @@ def usable(v: Column) -> Column:
 
 
 def prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vector of the rows that take part: usable vectors of the most frequent length, with an id. Repeated rows are one."""
+    """vec_id, vector, n (its length) and two digests of the rows that take part: usable vectors with an id. Repeated rows are one."""
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    length = lengths[0]["n"] if lengths else 0
-    keyed = rows.where(F.size("vector") == length).withColumns({"one": F.xxhash64("vector"), "two": F.xxhash64(F.lit(11), "vector")})
-    return keyed.dropDuplicates(["vec_id", "one", "two"])
+    keyed = rows.withColumns({"n": F.size("vector"), "one": F.xxhash64("vector"), "two": F.xxhash64(F.lit(11), "vector")})
+    return keyed.dropDuplicates(["vec_id", *CLASS])
+
+
+#: What equal vectors agree in.
+CLASS = ("n", "one", "two")
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """n, one, two, first (the smallest id), copies, and node, a number of its own, for each distinct vector; to be written."""
+    found = own.groupBy(*CLASS).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    return work.numbered(found, "one", "two", "n")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as rows of a float64 matrix."""
+    """A list column of equal lengths without nulls as rows of a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -45,6 +57,13 @@ def as_blobs(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(where), pa.py_buffer(rows)])
 
 
+def by_length(batch: pa.RecordBatch, lengths: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each length: the length, which is in the column of that number, and its rows."""
+    n = batch.column(lengths).to_numpy()
+    for length in np.unique(n).tolist():
+        yield length, batch.filter(pa.array(n == length))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, safe for very large and very small components."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
