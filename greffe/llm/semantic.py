@@ -1,6 +1,6 @@
 """Operator 5: near-duplicate embeddings by spherical k-means and blocked cosines within cells.
 
-Spark runs Lloyd's rounds over all vectors; only the centroids (MOST_CELLS at most) pass through the driver. A vector is at
+Spark runs Lloyd's rounds over all vectors, each length apart; only the centroids (MOST_CELLS at most) pass through the driver. A vector is at
 home in its nearest centroid's cell and a guest in each cell whose boundary is within half the distance of the threshold.
 Of two linked vectors with different homes, the boundary between them is within that distance of one at least, which is
 a guest in the other's home; so no link is lost however the centroids lie, and guests need not meet guests. A cell's
@@ -8,8 +8,8 @@ vectors are dealt to blocks, and a pair of blocks is one matrix product. A pair
 smaller cell. A task returns a row for each vector that has links:
 their number, and the smallest vector of its group within the task; so a group's pairs are never emitted.
 
-Equal vectors are one until the end, where their number counts as links. Vectors that are null, zero, hold null or
-non-finite components, or are not of the most frequent length, link with nothing, as do rows without an id. Rows that
+Equal vectors are one until the end, where their number counts as links. Vectors that are null, zero, or hold null or
+non-finite components link with nothing, as do rows without an id; vectors of different lengths do not link. Rows that
 repeat an id share its links. Further columns are ignored; an empty table gives an empty table.
 """
 
@@ -35,65 +35,84 @@ def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (rows @ centroids.T).argmax(axis=1)
 
 
-def kmeans(units: DataFrame, cells: int) -> np.ndarray:
-    """Centroids from units(vec_id, unit: binary float32), over all rows."""
+def kmeans(units: DataFrame) -> dict[int, np.ndarray]:
+    """Centroids by length from units(node, n, unit: binary float32), over all rows. A length of few vectors is one cell and has none."""
     spark = units.sparkSession
-    seeds = units.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(cells).toArrow()
-    centroids = vectors.blobs(seeds["unit"], np.float32).copy()
-    for _ in range(ROUNDS if len(centroids) > 1 else 0):
+    whole = units.count()
+    cells = F.least(F.floor(F.lit(MOST_CELLS) * F.col("count") / F.lit(max(whole, 1))), F.floor(F.col("count") / CELL_SIZE)).cast("int")
+    wanted = units.groupBy("n").count().select("n", cells.alias("cells")).where("cells > 1").orderBy("n").collect()  # MOST_CELLS / 2 rows at most
+    centroids = {}
+    for row in wanted:
+        seeds = units.where(F.col("n") == row["n"]).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(row["cells"]).select("unit").toArrow()
+        centroids[row["n"]] = vectors.blobs(seeds["unit"], np.float32).copy()
+    for _ in range(ROUNDS if centroids else 0):
         sent = spark.sparkContext.broadcast(centroids)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros(sent.value.shape), np.zeros(len(sent.value), dtype=np.int64)
+            total = {n: np.zeros(x.shape) for n, x in sent.value.items()}
+            seen = {n: np.zeros(len(x), dtype=np.int64) for n, x in sent.value.items()}
             for batch in batches:
-                rows = vectors.blobs(batch.column(0), np.float32)
-                cell = nearest(rows, sent.value)
-                np.add.at(total, cell, rows)
-                seen += np.bincount(cell, minlength=len(seen))
-            full = np.flatnonzero(seen)
-            cell, dim = np.repeat(full, total.shape[1]), np.tile(np.arange(total.shape[1]), len(full))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(dim), pa.array(total[full].ravel())], ["cell", "dim", "value"])
-
-        found = units.select("unit").mapInArrow(sums, "cell long, dim long, value double").groupBy("cell", "dim").agg(F.sum("value").alias("value")).toArrow()
-        moved = centroids.astype(np.float64)
-        moved[found["cell"].to_numpy(), found["dim"].to_numpy()] = found["value"].to_numpy()
-        lengths = np.linalg.norm(moved, axis=1, keepdims=True)
-        centroids = (moved / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+                for n, own in vectors.by_length(batch, 0):
+                    if n in total:
+                        rows = vectors.blobs(own.column(1), np.float32)
+                        cell = nearest(rows, sent.value[n])
+                        np.add.at(total[n], cell, rows)
+                        seen[n] += np.bincount(cell, minlength=len(seen[n]))
+            for n in total:
+                full = np.flatnonzero(seen[n])
+                cell, dim = np.repeat(full, n), np.tile(np.arange(n), len(full))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), n, np.int32)), pa.array(cell), pa.array(dim), pa.array(total[n][full].ravel())], ["n", "cell", "dim", "value"])
+
+        found = units.select("n", "unit").mapInArrow(sums, "n int, cell long, dim long, value double").groupBy("n", "cell", "dim").agg(F.sum("value").alias("value")).toArrow()
+        sent.destroy()
+        of, cell, dim, value = (found[c].to_numpy() for c in ("n", "cell", "dim", "value"))
+        for n in centroids:
+            moved = centroids[n].astype(np.float64)
+            moved[cell[of == n], dim[of == n]] = value[of == n]
+            lengths = np.linalg.norm(moved, axis=1, keepdims=True)
+            centroids[n] = (moved / np.where(lengths > 0, lengths, 1)).astype(np.float32)
     return centroids
 
 
-def memberships(units: DataFrame, centroids: np.ndarray, least: float) -> DataFrame:
-    """vec_id, copies, vector, cells (bits), home, cell: a row for each cell that a vector belongs to."""
+def memberships(units: DataFrame, centroids: dict[int, np.ndarray], least: float, tables: work.WorkTables) -> DataFrame:
+    """n, node, first, copies, vector, cells (bits), home, cell: a row for each cell that a vector belongs to."""
     reach = math.sqrt(2 - 2 * least) / 2 + 1e-5
     sent = units.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = sent.value
-        apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
         for batch in batches:
-            rows = vectors.blobs(batch.column(3), np.float32)
-            near = rows @ centres.T
-            home = near.argmax(axis=1)
-            member = near[np.arange(len(rows)), home][:, None] - near <= reach * apart[home] + 1e-5
-            at, cell = np.nonzero(member)
-            bits = np.packbits(np.pad(member, ((0, 0), (0, -member.shape[1] % 64))), axis=1, bitorder="little")
-            pick = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(3)), vectors.as_blobs(bits).take(pick), pa.array(home[at].astype(np.int32)), pa.array(cell.astype(np.int32))], ["vec_id", "copies", "vector", "cells", "home", "cell"])
-
-    return units.select("vec_id", "copies", "vector", "unit").mapInArrow(run, "vec_id long, copies long, vector binary, cells binary, home int, cell int")
+            for n, own in vectors.by_length(batch, 0):
+                if n in sent.value:
+                    centres = sent.value[n]
+                    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+                    near = vectors.blobs(own.column(5), np.float32) @ centres.T
+                    home = near.argmax(axis=1)
+                    member = near[np.arange(len(near)), home][:, None] - near <= reach * apart[home] + 1e-5
+                else:
+                    home, member = np.zeros(own.num_rows, np.int64), np.ones((own.num_rows, 1), bool)
+                at, cell = np.nonzero(member)
+                bits = np.packbits(np.pad(member, ((0, 0), (0, -member.shape[1] % 64))), axis=1, bitorder="little")
+                pick = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(own.column(i).take(pick) for i in range(5)), vectors.as_blobs(bits).take(pick), pa.array(home[at].astype(np.int32)), pa.array(cell.astype(np.int32))], ["n", "node", "first", "copies", "vector", "cells", "home", "cell"])
+
+    rows = units.select("n", "node", "first", "copies", "vector", "unit").mapInArrow(run, "n int, node long, first long, copies long, vector binary, cells binary, home int, cell int")
+    rows = tables.keep(rows, "members")
+    sent.destroy()
+    return rows
 
 
 def tasks_of(members: DataFrame) -> DataFrame:
-    """members with task: pairs of a cell's blocks, of which one at least is of vectors at home there."""
+    """members with kind, i and j: pairs of a cell's blocks, of which one at least is of vectors at home there."""
     own = F.col("home") == F.col("cell")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    sizes = members.groupBy("cell").agg(blocks(F.count_if(own)).alias("h"), blocks(F.count_if(~own)).alias("g"))
-    placed = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(own, F.col("h")).otherwise(F.col("g"))).cast("int"))
+    sizes = members.groupBy("n", "cell").agg(blocks(F.count_if(own)).alias("h"), blocks(F.count_if(~own)).alias("g"))
+    placed = members.join(sizes, ["n", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(own, F.col("h")).otherwise(F.col("g"))).cast("int"))
     homes, guests = F.sequence(F.lit(0), F.col("h") - 1), F.sequence(F.lit(0), F.col("g") - 1)
     at_home = F.concat(F.transform(homes, lambda j: F.struct(F.lit(0).alias("kind"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))), F.transform(guests, lambda j: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), j.alias("j"))))
     visiting = F.transform(homes, lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("block").alias("j")))
     dealt = placed.withColumn("t", F.explode(F.when(own, at_home).otherwise(visiting)))
-    return dealt.withColumn("task", F.xxhash64("cell", "t.kind", "t.i", "t.j")).withColumn("part", F.when(F.col("t.kind") == 1, own.cast("int")).when(F.col("t.i") == F.col("t.j"), -1).otherwise(F.col("block")))
+    part = F.when(F.col("t.kind") == 1, own.cast("int")).when(F.col("t.i") == F.col("t.j"), -1).otherwise(F.col("block"))
+    return dealt.select("n", "cell", "t.kind", "t.i", "t.j", "node", "first", "copies", "vector", "cells", "home", part.alias("part"))
 
 
 def linked(rows: np.ndarray, bits: np.ndarray, home: np.ndarray, cell: int, part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,23 +154,24 @@ def smallest_in_group(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 
 def block_links(tasks: DataFrame, least: float, dtype) -> DataFrame:
-    """vec_id, root, links: a row for each vector with links in a task."""
+    """node, first, root, links: a row for each vector with links in a task; root is the smallest first of its group there."""
+    columns = ["n", "cell", "kind", "i", "j", "node", "first", "copies", "vector", "cells", "home", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sets.groups(batches):
+        for group in sets.groups(batches, keys=5):
             if group.num_rows < 2:
                 continue
             group = group.combine_chunks()
-            ids, copies, home, part = (group.column(i).combine_chunks().to_numpy() for i in (1, 2, 5, 7))
-            rows, bits = vectors.blobs(group.column(3), dtype).astype(np.float64), vectors.blobs(group.column(4), np.uint64)
-            a, b = linked(rows, bits, home, group.column(6)[0].as_py(), part, least)
+            ids, first, copies, home, part = (group[c].combine_chunks().to_numpy() for c in ("node", "first", "copies", "home", "part"))
+            rows, bits = vectors.blobs(group["vector"], dtype).astype(np.float64), vectors.blobs(group["cells"], np.uint64)
+            a, b = linked(rows, bits, home, group["cell"][0].as_py(), part, least)
             if len(a):
                 links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-                roots, some = smallest_in_group(ids, a, b), np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(roots[some]), pa.array(links[some].astype(np.int64))], ["vec_id", "root", "links"])
+                roots, some = smallest_in_group(first, a, b), np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(first[some]), pa.array(roots[some]), pa.array(links[some].astype(np.int64))], ["node", "first", "root", "links"])
 
-    columns = ["task", "vec_id", "copies", "vector", "cells", "home", "cell", "part"]
-    return tasks.select(columns).repartition("task").sortWithinPartitions("task").mapInArrow(run, "vec_id long, root long, links long")
+    keys = columns[:5]
+    return tasks.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, first long, root long, links long")
 
 
 def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -159,34 +179,27 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     spark = df.sparkSession
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "semantic")
-    every = vectors.prepared(df, id_col, vector_col)
     dtype = np.float32 if df.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64  # as read, without loss
-    own = tables.keep(every.select("vec_id", "one", "two", "vector"), "vectors")
-    classes = own.groupBy("one", "two").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = tables.keep(classes, "classes")
-    heads = own.join(classes, ["one", "two"]).where("vec_id = first")
+    own = tables.keep(vectors.prepared(df, id_col, vector_col).select("vec_id", *vectors.CLASS, "vector"), "vectors")
+    classes = tables.keep(vectors.classes(own), "classes")
+    every = own.join(classes, [*vectors.CLASS])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors.matrix(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors.as_blobs(rows.astype(dtype)), vectors.as_blobs(vectors.unit(rows).astype(np.float32))], ["vec_id", "copies", "vector", "unit"])
-
-    units = tables.keep(heads.select("vec_id", "copies", "vector").mapInArrow(packed, "vec_id long, copies long, vector binary, unit binary"), "units")
-    many = units.count()
-    links = None
-    if many:
-        centroids = kmeans(units, max(1, min(MOST_CELLS, many // CELL_SIZE)))
-        members = tables.keep(memberships(units, centroids, least), "members")
-        links = tables.keep(block_links(tasks_of(members), least, dtype), "links")
-    edges = own.join(classes.where("copies > 1"), ["one", "two"]).select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
-    counts = own.join(classes, ["one", "two"]).select("vec_id", "first", (F.col("copies") - 1).alias("same"))
-    if links is not None:
-        edges = edges.unionByName(links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-        near = links.groupBy(F.col("vec_id").alias("first")).agg(F.sum("links").alias("near"))
-        counts = counts.join(near, "first", "left").select("vec_id", (F.col("same") + F.coalesce("near", F.lit(0))).alias("n"))
-    else:
-        counts = counts.select("vec_id", F.col("same").alias("n"))
-    counts = counts.groupBy("vec_id").agg(F.sum("n").cast("long").alias("n"))
+            for _, of in vectors.by_length(batch, 0):
+                rows = vectors.matrix(of.column(4))
+                yield pa.RecordBatch.from_arrays([*of.columns[:4], vectors.as_blobs(rows.astype(dtype)), vectors.as_blobs(vectors.unit(rows).astype(np.float32))], ["n", "node", "first", "copies", "vector", "unit"])
+
+    heads = every.where("vec_id = first").select("n", "node", "first", "copies", "vector")
+    units = tables.keep(heads.mapInArrow(packed, "n int, node long, first long, copies long, vector binary, unit binary"), "units")
+    members = memberships(units, kmeans(units), least, tables)
+    tables.drop("units")
+    links = tables.keep(block_links(tasks_of(members), least, dtype), "links")
+    tables.drop("members")
+    edges = every.where("copies > 1").select(F.col("vec_id").alias("a"), F.col("first").alias("b")).unionByName(links.select(F.col("first").alias("a"), F.col("root").alias("b")))
+    near = links.groupBy("node").agg(F.sum("links").alias("near"))
+    counts = every.select("vec_id", "node", (F.col("copies") - 1).alias("same")).join(near, "node", "left")
+    counts = counts.groupBy("vec_id").agg(F.sum(F.col("same") + F.coalesce("near", F.lit(0))).cast("long").alias("n"))
     found = tables.keep(work.components(edges, tables), "found").withColumnRenamed("node", "vec_id")
     out = df.select(df[id_col].cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
