@@ -10,11 +10,12 @@ With the number of trees that tree_count() gives, a pair at the threshold misses
 Candidates are compared on whole sets. First each document of a node is compared with the node's smallest; linked
 documents form components. Then, in leaves that still hold several components, all pairs of documents from different
 components are compared, block by block: members of the largest component of a leaf never meet each other, as no link
-between them can change a component. Documents with equal sets are one document throughout and are put back at the end.
+between them can change a component. Documents with equal sets are one class throughout, of which one text is compared,
+and are put back at the end. Sets are of 64-bit hashes of shingles down to their bytes (see words).
 
 Null or empty texts have an empty set and link with nothing. A null doc_id links with nothing, and its component is
-null. Rows that repeat a doc_id are one node, each with its own n_shingles. Further columns are ignored; an empty table
-gives an empty table.
+null. Rows that repeat a doc_id, with the same text or others, are one node that has the links of all its texts, each
+row with its own n_shingles. Further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ U = np.uint64
 RECALL = 0.99995
 #: Levels of a tree at most; a node of more documents than LEAF branches again, if a level is left.
 LEVELS, LEAF = 4, 2_048
-#: Documents of one side of a block of comparisons.
-BLOCK = 128
+#: Documents, and shingles, of one side of a block of comparisons.
+BLOCK, BLOCK_SHINGLES = 512, 250_000
 
 
 def tree_count(percent: int, recall: float = RECALL) -> int:
@@ -63,11 +64,11 @@ def paths(tokens: np.ndarray, starts: np.ndarray, trees: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, trees: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and the nodes of levels 2 and up of every tree."""
+    """doc_id, digest, n_shingles, two digests of the set, and the nodes of levels 2 and up of every tree, of docs(doc_id, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, starts = sets.shingle_sets(batch.column(1), n)
+            tokens, starts = sets.shingle_sets(batch.column(2), n)
             full = np.flatnonzero(np.diff(starts))
             one, two = np.zeros(batch.num_rows, U), np.zeros(batch.num_rows, U)
             if len(full):
@@ -77,19 +78,22 @@ def signatures(docs: DataFrame, n: int, trees: int) -> DataFrame:
             where = np.zeros(batch.num_rows + 1, dtype=np.int64)
             where[full + 1] = nodes.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(where).astype(np.int32)), pa.array(nodes.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "n_shingles", "one", "two", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "digest", "n_shingles", "one", "two", "nodes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, nodes array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest long, n_shingles long, one long, two long, nodes array<long>")
+
+
+LINK = ["a", "b", "first_a", "first_b"]
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b, first_a, first_b) of classes whose whole sets are similar enough. texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, dtype=bool)
             sides = []
-            for ids, side in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
+            for ids, side in ((batch.column(0), batch.column(4)), (batch.column(1), batch.column(5))):
                 _, first, back = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
                 tokens, starts = sets.shingle_sets(side.take(pa.array(first)), n)
                 sides.append((tokens, starts, back))
@@ -97,17 +101,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
                 a, b = (tokens[starts[back[i]] : starts[back[i] + 1]] for tokens, starts, back in sides)
                 linked[i] = sets.similar(a, b, percent)
             keep = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in batch.columns[:4]], LINK)
 
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select(LINK).join(first, "a").join(second, "b").select(*LINK, "text_a", "text_b").mapInArrow(run, "a long, b long, first_a long, first_b long")
 
 
 def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) within each task of members(task, doc_id, component, text), between different components.
+    """Links (a, b, first_a, first_b) within each task of members(task, node, first, component, text), between different components.
 
-    A task holds 2 * BLOCK documents or so. Within it, a union-find skips pairs that links found before have joined, so
+    A task holds 2 * BLOCK documents, and 2 * BLOCK_SHINGLES shingles, or so. Within it, a union-find skips pairs that links found before have joined, so
     it returns fewer links than documents. Parities of the tokens' low bits bound how far two sets differ from below;
     only pairs under that bound are compared in full.
     """
@@ -116,8 +120,8 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sets.groups(batches):
             group = group.combine_chunks()
-            ids, comps = group.column(1).to_numpy(), group.column(2).to_numpy()
-            tokens, starts = sets.shingle_sets(group.column(3), n)
+            ids, first, comps = (group.column(k).to_numpy() for k in (1, 2, 3))
+            tokens, starts = sets.shingle_sets(group.column(4), n)
             sizes = np.diff(starts)
             cells = np.repeat(np.arange(len(ids)) * bits, sizes) + (tokens % U(bits)).astype(np.int64)
             odd = (np.bincount(cells, minlength=len(ids) * bits) & 1).astype(bool).reshape(len(ids), bits)
@@ -138,32 +142,33 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
                     one, two = top(comps[i]), top(comps[j])
                     if one != two and sets.similar(tokens[starts[i] : starts[i + 1]], tokens[starts[j] : starts[j + 1]], percent):
                         root[max(one, two)] = min(one, two)
-                        found.append((ids[i], ids[j]))
+                        found.append((i, j))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], first[a], first[b])], LINK)
 
-    return members.select("task", "doc_id", "component", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return members.select("task", "node", "first", "component", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, first_a long, first_b long")
 
 
 def tasks_of_open_leaves(leaves: DataFrame) -> DataFrame:
-    """task, doc_id, component for leaves(node, doc_id, component) that hold several components.
+    """task, node, first, component for leaves(leaf, node, first, n_shingles, component) that hold several components.
 
     In a leaf, B is its largest component and A are the other documents. A is dealt to blocks, as is B; tasks are the
     pairs of A's blocks, and each block of A with each of B. Leaves with the same members count once.
     """
-    sides = leaves.groupBy("node", "component").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"))
-    largest = F.max(F.struct("many", "component"))
-    opened = sides.groupBy("node").agg(F.count("*").alias("parts"), F.sum("many").alias("total"), F.bit_xor("sign").alias("sign"), largest.alias("most")).where("parts > 1")
-    once = opened.groupBy("total", "sign", "parts").agg(F.min(F.struct("node", "most")).alias("x")).select("x.node", "total", "x.most")
-    blocks = lambda many: F.greatest(F.lit(1), F.ceil(many / BLOCK)).cast("int")
-    rows = leaves.join(once, "node").withColumns({"a_blocks": blocks(F.col("total") - F.col("most.many")), "b_blocks": blocks(F.col("most.many"))})
+    sides = leaves.groupBy("leaf", "component").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"), F.bit_xor(F.xxhash64("node")).alias("sign"))
+    largest = F.max(F.struct("many", "component", "size"))
+    opened = sides.groupBy("leaf").agg(F.count("*").alias("parts"), F.sum("many").alias("total"), F.sum("size").alias("size"), F.bit_xor("sign").alias("sign"), largest.alias("most")).where("parts > 1")
+    once = opened.groupBy("total", "size", "sign", "parts").agg(F.min(F.struct("leaf", "most")).alias("x")).select("x.leaf", "total", "size", "x.most")
+    blocks = lambda many, size: F.greatest(F.lit(1), F.ceil(many / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    rows = leaves.join(once, "leaf").withColumns({"a_blocks": blocks(F.col("total") - F.col("most.many"), F.col("size") - F.col("most.size")), "b_blocks": blocks(F.col("most.many"), F.col("most.size"))})
     in_b = F.col("component") == F.col("most.component")
-    own = F.pmod(F.xxhash64("doc_id"), F.when(in_b, F.col("b_blocks")).otherwise(F.col("a_blocks"))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(in_b, F.col("b_blocks")).otherwise(F.col("a_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
     a_range, b_range = F.sequence(F.lit(0), F.col("a_blocks") - 1), F.sequence(F.lit(0), F.col("b_blocks") - 1)
-    of_b = F.transform(a_range, lambda i: F.xxhash64("node", F.lit("ab"), i, "own"))
-    of_a = F.concat(F.transform(a_range, lambda i: F.xxhash64("node", F.lit("aa"), F.least(i, "own"), F.greatest(i, "own"))), F.transform(b_range, lambda j: F.xxhash64("node", F.lit("ab"), "own", j)))
-    return rows.select(F.explode(F.when(in_b, of_b).otherwise(of_a)).alias("task"), "doc_id", "component")
+    of_b = F.transform(a_range, lambda i: F.xxhash64("leaf", F.lit("ab"), i, "own"))
+    of_a = F.concat(F.transform(a_range, lambda i: F.xxhash64("leaf", F.lit("aa"), F.least(i, "own"), F.greatest(i, "own"))), F.transform(b_range, lambda j: F.xxhash64("leaf", F.lit("ab"), "own", j)))
+    return rows.select(F.explode(F.when(in_b, of_b).otherwise(of_a)).alias("task"), "node", "first", "component")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,53 +176,63 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str
     spark = docs.sparkSession
     work.arrow_batches(spark)
     tables = work.WorkTables(spark, "neardup")
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("digest", F.xxhash64("text"))
     trees = tree_count(percent)
     signed = tables.keep(signatures(docs, n, trees), "signatures")
     known = signed.where("doc_id is not null and n_shingles > 0")
 
-    # One document stands for all with the same set.
+    # One text stands for all with the same set: that of the smallest doc_id, and of its smallest digest.
     key = ["n_shingles", "one", "two"]
-    first = known.groupBy(key).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    classes = known.groupBy(key).agg(F.min(F.struct("doc_id", "digest")).alias("head"), F.max("doc_id").alias("last"))
     # As a table of its own it is shuffled anew for the join, so that Spark can split a set with very many copies.
-    first = tables.keep(first, "classes")
-    copies = tables.keep(known.join(first, key).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
-    standing = known.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    classes = tables.keep(work.numbered(classes.select(*key, F.col("head.doc_id").alias("first"), F.col("head.digest").alias("digest"), "last"), *key), "classes")
+    copies = tables.keep(known.join(classes.where("first < last").select(*key, "first"), key).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
+    row = ["doc_id", "digest", *key]
+    heads = known.dropDuplicates(row).join(classes.withColumnRenamed("first", "doc_id").select(*row, "node"), row)
+    standing = heads.select("node", F.col("doc_id").alias("first"), "digest", "n_shingles", "nodes")
 
-    placed = standing.select("doc_id", "n_shingles", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    placed = placed.select("doc_id", "n_shingles", F.slice("nodes", F.col("tree") * (LEVELS - 1) + 1, LEVELS - 1).alias("nodes"))
-    by_node = placed.groupBy(F.col("nodes")[0].alias("node")).agg(F.min(F.struct("doc_id", "n_shingles")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    shared = tables.keep(placed.withColumn("node", F.col("nodes")[0]).join(by_node, "node").select("doc_id", "n_shingles", "nodes", "pivot", "many"), "shared")
+    placed = standing.select("node", "first", "digest", "n_shingles", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    placed = placed.select("node", "first", "digest", "n_shingles", F.slice("nodes", F.col("tree") * (LEVELS - 1) + 1, LEVELS - 1).alias("nodes"))
+    by_node = placed.groupBy(F.col("nodes")[0].alias("leaf")).agg(F.min(F.struct("first", "node", "n_shingles")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
+    shared = tables.keep(placed.withColumn("leaf", F.col("nodes")[0]).join(by_node, "leaf").select("node", "first", "digest", "n_shingles", "nodes", "pivot", "many"), "shared")
 
     fits = f"100 * least(n_shingles, pivot.n_shingles) >= {percent} * greatest(n_shingles, pivot.n_shingles)"
-    pairs = tables.keep(shared.where("doc_id > pivot.doc_id").where(fits).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct(), "pairs")
-    texts = tables.keep(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    texts = texts.dropDuplicates(["doc_id"])
+    pairs = shared.where("node <> pivot.node").where(fits).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("first").alias("first_a"), F.col("pivot.first").alias("first_b")).distinct()
+    pairs = tables.keep(pairs, "pairs")
+    named = tables.keep(shared.select(F.col("first").alias("doc_id"), "digest", "node").distinct(), "named")
+    # Tables too, for the same reason. Repeated rows bring a text more than once.
+    texts = tables.keep(docs.join(named, ["doc_id", "digest"]).select("node", "text"), "texts")
+    if texts.count() > named.count():
+        texts = tables.keep(texts.dropDuplicates(["node"]), "distinct-texts")
     links = tables.keep(confirm(pairs, texts, n, percent), "links")
+    tables.drop("pairs")
     settled = tables.keep(work.components(links, tables, "first"), "settled")
 
     leaves = leaves_of(shared, tables)
-    leaves = leaves.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    leaves = leaves.join(settled, "node", "left").select("leaf", "node", "first", "n_shingles", F.coalesce("component", "node").alias("component"))
     tasks = tables.keep(tasks_of_open_leaves(tables.keep(leaves, "leaves")), "tasks")
-    more = tables.keep(compare_blocks(tasks.join(texts, "doc_id"), n, percent), "more")
-    every = links.unionByName(more).unionByName(copies)
-    final = tables.keep(work.components(every, tables, "all"), "found").withColumnRenamed("node", "doc_id")
+    tables.drop("leaves", "settled", "shared", *(f"level-{level}" for level in range(LEVELS)))
+    more = tables.keep(compare_blocks(tasks.join(texts, "node"), n, percent), "more")
+    tables.drop("tasks", "texts", "distinct-texts", "named")
+    between = links.unionByName(more).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    final = tables.keep(work.components(between.unionByName(copies), tables, "all"), "found").withColumnRenamed("node", "doc_id")
+    tables.drop("links", "more", "copies", "classes")
     found = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def leaves_of(shared: DataFrame, tables: work.WorkTables) -> DataFrame:
-    """node, doc_id of every tree's leaves with two documents at least: nodes of level 2, or of a deeper one where those hold more than LEAF."""
-    rows, out = shared.select("doc_id", "nodes", "many"), None
+    """leaf, node, first, n_shingles of every tree's leaves with two classes at least: nodes of level 2, or of a deeper one where those hold more than LEAF."""
+    rows, out = shared.select("node", "first", "n_shingles", "nodes", "many"), None
     for level in range(LEVELS - 1):
-        node = F.col("nodes")[level].alias("node")
+        leaf = F.col("nodes")[level].alias("leaf")
         last = level == LEVELS - 2
         own = rows.where("many > 1") if last else rows.where(f"many between 2 and {LEAF}")
-        own = own.select(node, "doc_id")
+        own = own.select(leaf, "node", "first", "n_shingles")
         out = own if out is None else out.unionByName(own)
         larger = rows.where(f"many > {LEAF}")
         if last or larger.isEmpty():
             break
-        counts = larger.groupBy(F.col("nodes")[level + 1].alias("node")).agg(F.count("*").alias("many"))
-        rows = tables.keep(larger.drop("many").withColumn("node", F.col("nodes")[level + 1]).join(counts, "node").drop("node"), f"level-{level + 1}")
+        counts = larger.groupBy(F.col("nodes")[level + 1].alias("leaf")).agg(F.count("*").alias("many"))
+        rows = tables.keep(larger.drop("many").withColumn("leaf", F.col("nodes")[level + 1]).join(counts, "leaf").drop("leaf"), f"level-{level + 1}")
     return out
