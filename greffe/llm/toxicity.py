@@ -2,8 +2,8 @@
 
 A word's vector is the sum of three hashed embeddings: of the word, and of its first six and first four bytes, so that
 unseen forms of a stem are known. Filters of one, two and three words slide over the whole text; the largest response
-of each is kept, and a logistic layer turns them into a score. Spark picks a bounded sample of labelled rows for the
-training and scores all texts in its partitions.
+of each is kept, and a logistic layer turns them into a score. Spark picks a bounded sample of labelled rows, one task
+trains on it, and all texts are scored in their partitions.
 
 Scores are calibrated by language: on rows held back from the fit, each language gets a threshold, which becomes the
 score 0.5. The language is told from the text's words alone (naive Bayes on hashed words); the lang column serves only
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import work, words
 
 #: Bounds of the training sample: rows a class, and bytes of a text (larger ones are not in the sample, but are scored).
-SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 32_768
+SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 32_768
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 6, 0.15, 7
 TABLE_SCALE = 0.02
@@ -211,9 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = some if chosen is None else chosen.unionByName(some)
     # 2 * SAMPLE_ROWS rows at most
     rows = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.text", "x.lang").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py() * 0x9E3779B1 % (1 << 32), rows["doc_id"][i].as_py(), rows["text"][i].as_py()))
-    order = order[: 2 * SAMPLE_ROWS]
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.text", "x.lang")
+    return work.fitted(rows, train_on)
+
+
+def train_on(rows: pa.Table) -> Model:
+    """train() on the rows in an order that depends on themselves alone."""
+    ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
+    order = sorted(range(rows.num_rows), key=lambda i: (ids[i] * 0x9E3779B1 % (1 << 32), ids[i], texts[i]))
     rows = rows.take(pa.array(order, pa.int64()))
     return train(rows["text"].to_pylist(), rows["toxic"].to_numpy(), rows["lang"].to_pylist())
 
