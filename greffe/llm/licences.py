@@ -15,6 +15,7 @@ Repeated rows are scanned alike; further columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ NOTICES = {
     "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License version 2."),
     "lgpl": ("Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -47,6 +49,8 @@ BUCKETS, COPIES, ROUNDS, RATE, SEED = 1 << 16, 60, 4, 0.3, 3
 #: Share of a notice's words that a piece must hold, of a piece's words that the notice must hold, and the share of varied
 #: notices held back that the calibrated probability must let through.
 HELD, FILLED, LET_THROUGH = 0.75, 0.4, 0.98
+#: Parts of the families that are held back in turn, to calibrate what unknown families look like.
+FOLDS = 3
 
 
 def pieces(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,15 +85,15 @@ def windows(hashed: np.ndarray, cuts: np.ndarray) -> list[tuple[float, int, int,
     place, high = place[at], cuts[np.searchsorted(cuts, at, side="right")] if len(at) else at
     out = []
     for label, family in enumerate(NOTICES, 1):
-        for notice, many in zip(NOTICE_SETS[family], NOTICE_LENGTHS[family]):
+        for notice, marks, many in zip(NOTICE_SETS[family], NOTICE_MARKS[family], NOTICE_LENGTHS[family]):
             own = np.isin(vocabulary, list(notice))[place]
             mine, least = at[own], HELD * len(notice)
             stop = np.searchsorted(mine, np.minimum(mine + many, high[own]))
             rows = []
             for i in np.flatnonzero(stop - np.arange(len(mine)) >= least).tolist():
-                both = len(set(hashed[mine[i : stop[i]]].tolist()))
-                if both >= least:
-                    rows.append((both / len(notice), int(mine[i]), int(mine[stop[i] - 1]) + 1, label))
+                both = set(hashed[mine[i : stop[i]]].tolist())
+                if len(both) >= least and (not marks or both & marks):
+                    rows.append((len(both) / len(notice), int(mine[i]), int(mine[stop[i] - 1]) + 1, label))
             out += apart_from(rows, np.zeros(len(hashed), dtype=bool))
     return out
 
@@ -152,7 +156,11 @@ def word_sets(texts: list[str]) -> list[frozenset[int]]:
 
 
 NOTICE_SETS = {family: word_sets(list(texts)) for family, texts in NOTICES.items()}
+#: Of each notice the words that no other family's notices have; one of them must be there, if there are any.
+NOTICE_MARKS = {family: [x.difference(*(y for other, own in NOTICE_SETS.items() if other != family for y in own)) for x in sets] for family, sets in NOTICE_SETS.items()}
 NOTICE_LENGTHS = {family: np.diff(words.split(pa.array(texts), lower=True, gaps=PUNCTUATED).docs).tolist() for family, texts in NOTICES.items()}
+#: A short piece with one of these words may be a notice of an unknown family: it doesn't teach what no licence is.
+LICENCE_WORDS = word_sets(["license licence licensed licenced spdx copyright"])[0]
 #: Words whose pieces are judged at once.
 AT_ONCE = 200_000
 
@@ -160,9 +168,9 @@ AT_ONCE = 200_000
 def confirmed(piece: frozenset[int], family: str) -> float:
     """How much of the best notice of the family the piece holds; 0 if too little either way."""
     best = 0.0
-    for notice in NOTICE_SETS[family]:
+    for notice, marks in zip(NOTICE_SETS[family], NOTICE_MARKS[family]):
         both = len(piece & notice)
-        if both >= HELD * len(notice) and both >= FILLED * len(piece):
+        if both >= HELD * len(notice) and both >= FILLED * len(piece) and (not marks or piece & marks):
             best = max(best, both / len(notice))
     return best
 
@@ -186,19 +194,28 @@ def varied(background: list[str], rng: np.random.Generator) -> tuple[list[str],
 
 def train(background: list[str]) -> Model:
     rng = np.random.default_rng(SEED)
-    clean = [x for x, s in zip(background, word_sets(background)) if not any(confirmed(s, f) for f in NOTICES)] if background else []
+    own = zip(background, word_sets(background)) if background else ()
+    clean = [x for x, s in own if not any(confirmed(s, f) for f in NOTICES) and not (len(s) <= PIECE // 2 and s & LICENCE_WORDS)]
     texts, labels = varied(clean, rng)
     texts, labels = [*texts, *clean], np.array([*labels, *[0] * len(clean)])
     split = words.split(pa.array(texts, pa.string()), lower=True, gaps=PUNCTUATED)
     full = np.flatnonzero(np.diff(split.docs))
     starts, labels = np.append(split.docs[:-1][full], split.docs[-1]), labels[full]
     hashed = words.hashes(split)
+    back = rng.random(len(labels)) < 0.2
+    model = learn(hashed, starts, labels, ~back)
+    model.least = calibrated(model, hashed, starts, labels, back)
+    return model
+
+
+def learn(hashed: np.ndarray, starts: np.ndarray, labels: np.ndarray, use: np.ndarray) -> Model:
+    """Stochastic gradient descent, with Adagrad's rates, on the rows that use marks."""
+    rng = np.random.default_rng(SEED)
     one, two = grams(hashed, starts)
     model = Model(np.zeros((BUCKETS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)))
     squares, square_bias = np.full(model.weights.shape, 1e-2, np.float32), np.full(len(FAMILIES), 1e-2)
-    back = rng.random(len(labels)) < 0.2
     for _ in range(ROUNDS):
-        for i in rng.permutation(np.flatnonzero(~back)).tolist():
+        for i in rng.permutation(np.flatnonzero(use)).tolist():
             at = np.concatenate([one[starts[i] : starts[i + 1]], two[starts[i] : starts[i + 1]]])
             scale = 1 / np.sqrt(starts[i + 1] - starts[i])
             wrong = softmax((model.weights[at].sum(axis=0) * scale + model.bias)[None])[0]
@@ -211,21 +228,45 @@ def train(background: list[str]) -> Model:
             model.weights[at] -= RATE * step / np.sqrt(squares[at])
             square_bias += wrong * wrong
             model.bias -= RATE * wrong / np.sqrt(square_bias)
-    chance = model.probabilities(hashed, starts)
-    known = back & (labels > 0)
-    if known.any():
-        model.least = float(min(0.9, np.quantile(chance[known, labels[known]], 1 - LET_THROUGH)))
     return model
 
 
+def calibrated(model: Model, hashed: np.ndarray, starts: np.ndarray, labels: np.ndarray, back: np.ndarray) -> float:
+    """The probability from which a family counts as known.
+
+    Notices held back say what known families reach. What unknown ones reach, models say that have not seen some of the
+    families. The probability is the one that parts the two best, and lets LET_THROUGH of the known through.
+    """
+    chance = model.probabilities(hashed, starts)
+    at = np.flatnonzero(back & (labels > 0))
+    known, unknown = chance[at, labels[at]], []
+    for fold in range(FOLDS):
+        apart = (labels > 0) & (labels % FOLDS == fold)
+        seen = learn(hashed, starts, labels, ~back & ~apart).probabilities(hashed, starts)[apart]
+        unknown.append(seen[seen[:, 0] < 0.5, 1:].max(axis=1))
+    unknown = np.concatenate(unknown)
+    if not len(known):
+        return 0.5
+    tries = np.unique(np.concatenate([known, unknown, [0.5]]))
+    cost = np.searchsorted(np.sort(known), tries) / len(known) + (len(unknown) - np.searchsorted(np.sort(unknown), tries)) / max(1, len(unknown))
+    return float(min(tries[cost.argmin()], np.quantile(known, 1 - LET_THROUGH)))
+
+
 def fit(docs: DataFrame) -> Model:
     """A model whose background is a bounded sample of paragraphs of docs(doc_id, text)."""
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
     # Ids are chosen without their texts; SAMPLE_ROWS of them are broadcast.
-    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_ROWS)
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
-    lines = [" ".join(own[at : at + PIECE]) for text in sorted(set(rows["text"].to_pylist())) for line in text.split("\n") if (own := line.split()) for at in range(0, len(own), PIECE)]
-    return train(lines[:SAMPLE_PIECES])
+    chosen = docs.where("text <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_ROWS)
+    # Of a longer text a stretch that starts anywhere.
+    start = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.when(F.length("text") > SAMPLE_BYTES, F.substring("text", start, F.lit(SAMPLE_BYTES))).otherwise(F.col("text"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(stretch).alias("text"))
+    return work.fitted(rows, train_on)
+
+
+def train_on(rows: pa.Table) -> Model:
+    """train() on SAMPLE_PIECES pieces of the texts, which a hash chooses, in its order."""
+    pieces = {" ".join(own[at : at + PIECE]) for text in rows["text"].to_pylist() for line in text.split("\n") if (own := line.split()) for at in range(0, len(own), PIECE)}
+    return train(sorted(pieces, key=lambda x: hashlib.sha256(x.encode()).digest())[:SAMPLE_PIECES])
 
 
 FOUND = "doc_id long, paragraph int, family string, probability double, held double"
