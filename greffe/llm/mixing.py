@@ -5,10 +5,14 @@ token weights are raked to the source, language and topic marginals in turn unti
 then sampled with a probability proportional to its cell's weight, calibrated so that the expected tokens are the share
 asked for; cells that would need more than all their documents are kept whole and the rest make up for it.
 
-A null source, language or topic is a category of its own ("?"). Null and empty texts have no tokens; they count as one
-token, so that a cell of empty texts has a weight. A target for a category without documents is ignored and the other
-targets scaled up; a category without a target keeps its own share. Repeated rows draw the same number and share their
-fate; an empty table gives an empty table. Further columns pass through.
+Texts are read once: what is counted is written beside the columns that the result needs. Targets that cannot all be met
+(a source in one language only, say) end the raking when its error no longer falls; the error comes back with each row.
+
+A null source, language or topic is a category of its own, which a target with the value null is for. Null and empty
+texts have no tokens; they count as one token, so that a cell of empty texts has a weight. A target for a category
+without documents is ignored and the other targets scaled up; a category without a target keeps its own share. Repeated
+rows draw the same number and share their fate; an empty table gives an empty table. Further columns pass through, unless
+they have the name of a column that is added.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ TOPICS = (
     ("numbers", r"[0-9]{3}"),
 )
 DIMENSIONS = ("source", "lang", "topic")
-#: A marginal's largest relative error at which raking ends, rounds between two looks, and the most rounds.
-TOLERANCE, ROUNDS_A_LOOK, MOST_ROUNDS = 1e-6, 6, 60
+#: A marginal's largest relative error at which raking ends, rounds between two looks, and the share by which the error
+#: must fall from one look to the next.
+TOLERANCE, ROUNDS_A_LOOK, FALLING = 1e-6, 6, 1e-3
+#: Cells that one task rakes; more of them are raked by as many tasks as there are shuffle partitions.
+CELLS_A_TASK = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -39,74 +46,104 @@ def topic_of(text: Column) -> Column:
     return F.coalesce(found, F.lit("prose"))
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """The documents with __source, __lang, __topic and __tokens (words, one at least)."""
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
-    tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"[^ \t-\r]+")), F.lit(0)), F.lit(1)).cast("long")
-    return docs.withColumns({"__source": known("source"), "__lang": known("lang"), "__topic": topic_of(F.coalesce("text", F.lit(""))), "__tokens": tokens})
+def category(value: Column) -> Column:
+    """A category as a text that differs for null and for every value."""
+    return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("="), value.cast("string")))
 
 
-def even(cells: DataFrame, column: str) -> DataFrame:
-    """Targets that lean half-way from a column's own shares to equal ones: value, target."""
-    own = cells.groupBy(F.col(column).alias("value")).agg(F.sum("tokens").alias("t"))
-    whole = Window.partitionBy(F.lit(1))
-    return own.select("value", (F.lit(0.5) * F.col("t") / F.sum("t").over(whole) + F.lit(0.5) / F.count("*").over(whole)).alias("target"))
+def token_count(text: Column) -> Column:
+    return F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)), F.lit(1)).cast("long")
+
 
+def even(cells: DataFrame, column: str) -> DataFrame:
+    """Targets that lean half-way from a column's own shares to equal ones: category, target."""
+    own = cells.groupBy(column).agg(F.sum("tokens").alias("t"))
+    all_of = own.agg(F.sum("t").alias("sum"), F.count("*").alias("many"))
+    return own.crossJoin(all_of).select(F.col(column).alias("category"), (F.lit(0.5) * F.col("t") / F.col("sum") + F.lit(0.5) / F.col("many")).alias("target"))
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame | None], tables: work.WorkTables) -> DataFrame:
-    """cells(source, lang, topic, docs, tokens) with weight: shares of all tokens, raked to the marginals.
 
-    The table of cells has a row for each combination of categories that occurs, not for each document, and is raked in
-    one partition. Each window rescales all cells of one category.
-    """
-    cells = cells.coalesce(1)
+def with_targets(cells: DataFrame, targets: dict[str, DataFrame | None]) -> DataFrame:
+    """cells with weight, their share of all tokens, and for each dimension the target of their category."""
+    whole = cells.agg(F.sum("tokens").alias("__all"))
+    out = cells.crossJoin(whole).withColumn("weight", F.col("tokens") / F.col("__all")).drop("__all")
     for column in DIMENSIONS:
         wanted = targets.get(column)
-        wanted = even(cells, column) if wanted is None else wanted
-        wanted = wanted.select(F.col("value").cast("string").alias(column), F.col("target").cast("double").alias(f"{column}_target"))
-        cells = cells.join(wanted, column, "left")
-    whole = Window.partitionBy(F.lit(1))
-    cells = cells.coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(whole))
-    for column in DIMENSIONS:  # own share where there is no target; a category's target once, scaled to a sum of 1
-        share = F.coalesce(f"{column}_target", F.sum("weight").over(Window.partitionBy(column)))
-        cells = cells.withColumn(f"{column}_target", share)
-        once = F.col(f"{column}_target") / F.count("*").over(Window.partitionBy(column))
-        cells = cells.withColumn("__once", once).withColumn(f"{column}_target", F.col(f"{column}_target") / F.sum("__once").over(whole)).drop("__once")
-    cells = tables.keep(cells, "cells-0")
-    done = 0
-    while done < MOST_ROUNDS:
-        cells = cells.coalesce(1)
+        wanted = even(cells, column) if wanted is None else wanted.select(category(F.col("value")).alias("category"), F.col("target").cast("double").alias("target"))
+        own = cells.groupBy(F.col(column).alias("category")).agg(F.sum("tokens").alias("own"))
+        own = own.join(wanted, "category", "left").crossJoin(whole).select("category", F.coalesce("target", F.col("own") / F.col("__all")).alias("target"))
+        scaled = own.crossJoin(own.agg(F.sum("target").alias("__sum"))).select(F.col("category").alias(column), (F.col("target") / F.col("__sum")).alias(f"{column}_target"))
+        out = out.join(scaled, column)
+    return out
+
+
+def rescaled(cells: DataFrame, column: str) -> DataFrame:
+    """cells whose weights meet the marginal of one dimension."""
+    have = F.sum("weight").over(Window.partitionBy(column))
+    return cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"{column}_target") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
+
+
+def off_targets(cells: DataFrame) -> float:
+    """The largest relative error of a marginal."""
+    worst = 0.0
+    for column in DIMENSIONS:
+        sums = cells.groupBy(column).agg(F.sum("weight").alias("have"), F.max(f"{column}_target").alias("target"))
+        off = sums.agg(F.max(F.abs(F.col("have") / F.nullif(F.col("target"), F.lit(0.0)) - 1))).first()[0]
+        worst = max(worst, off or 0.0)
+    return worst
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame | None], tables: work.WorkTables) -> tuple[DataFrame, float]:
+    """cells(source, lang, topic, docs, tokens) with weight: shares of all tokens, raked to the marginals; and the error left.
+
+    The table has a row for each combination of categories that occurs, not for each document. Few cells are raked in
+    one task, all rounds of a look at once. Of many, each step's sums are aggregated and joined back.
+    """
+    in_one_task = cells.count() <= CELLS_A_TASK
+    cells = tables.keep(with_targets(cells, targets).coalesce(1) if in_one_task else with_targets(cells, targets), "cells-0")
+    turn, error = 0, None
+    while True:
+        before, look = error, turn
+        if in_one_task:
+            cells = cells.coalesce(1)
         for _ in range(ROUNDS_A_LOOK):
             for column in DIMENSIONS:
-                cells = cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"{column}_target") / F.nullif(F.sum("weight").over(Window.partitionBy(column)), F.lit(0.0)), F.lit(0.0)))
-        done += ROUNDS_A_LOOK
-        cells = tables.keep(cells, f"cells-{done}")
-        error = None
-        for column in DIMENSIONS:
-            off = F.abs(F.sum("weight").over(Window.partitionBy(column)) / F.nullif(F.col(f"{column}_target"), F.lit(0.0)) - 1)
-            error = F.coalesce(off, F.lit(0.0)) if error is None else F.greatest(error, F.coalesce(off, F.lit(0.0)))
-        worst = cells.coalesce(1).withColumn("off", error).agg(F.max("off")).first()[0]
-        if worst is None or worst < TOLERANCE:
-            break
-    return cells
+                if in_one_task:
+                    cells = rescaled(cells, column)
+                else:
+                    sums = tables.keep(cells.groupBy(column).agg(F.sum("weight").alias("__have")), f"sums-{turn}-{column}")
+                    step = cells.join(sums, column).withColumn("weight", F.coalesce(F.col("weight") * F.col(f"{column}_target") / F.nullif("__have", F.lit(0.0)), F.lit(0.0)))
+                    cells = tables.keep(step.drop("__have"), f"cells-{turn}-{column}")
+            turn += 1
+        cells = tables.keep(cells, f"cells-{turn}")
+        tables.drop(f"cells-{look}", *(f"{kind}-{t}-{c}" for kind in ("sums", "cells") for t in range(look, turn) for c in DIMENSIONS))
+        error = off_targets(cells)
+        if error < TOLERANCE or before is not None and error > before * (1 - FALLING):
+            return cells, error
 
 
 def probabilities(cells: DataFrame, share: float) -> DataFrame:
     """Adds probability: min(1, s * weight / token share), with s such that share of all tokens is expected.
 
-    Cells are put in the order in which they would be full. With the first k full, s follows from the others; the right
-    k is the first for which the next cell isn't full.
+    Cells are put in the order in which they would be full, by their boost (weight a token). With all cells above some
+    boost full, s follows from the others; the right one is the first for which the next cell isn't full. Sums by boost
+    are made in ranges of it, so that no task sees all cells.
     """
-    whole, order = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy(F.desc("__boost"), *DIMENSIONS)
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("tokens").over(whole)
-    found = cells.coalesce(1).withColumn("__total", total).withColumn("__boost", F.col("weight") * F.col("__total") / F.col("tokens"))
-    found = found.withColumn("__full", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
-    found = found.withColumn("__left", F.greatest(F.lit(1.0) * F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)), F.lit(0.0)))
+    total = F.sum("tokens").alias("__total")
+    boosted = cells.crossJoin(cells.agg(total, F.sum("weight").alias("__weights"))).withColumn("__boost", F.col("weight") * F.col("__total") / F.col("tokens"))
+    # Ordered groups of cells: the boost's exponent and first bits; few, whatever the number of cells.
+    group = F.floor(F.log2(F.greatest("__boost", F.lit(1e-300))) * 8)
+    boosted = boosted.withColumn("__group", group)
+    above = Window.orderBy(F.desc("__group")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = boosted.groupBy("__group").agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"))
+    sums = sums.select("__group", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("__t"), F.coalesce(F.sum("w").over(above), F.lit(0.0)).alias("__w"))
+    within = Window.partitionBy("__group").orderBy(F.desc("__boost"), *DIMENSIONS).rowsBetween(Window.unboundedPreceding, -1)
+    full = F.col("__t") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
+    left = F.greatest(F.col("__weights") - F.col("__w") - F.coalesce(F.sum("weight").over(within), F.lit(0.0)), F.lit(0.0))
+    found = boosted.join(sums, "__group").withColumn("__full", full).withColumn("__left", left)
     found = found.withColumn("__s", (F.lit(share) * F.col("__total") - F.col("__full")) / F.nullif(F.col("__left") * F.col("__total"), F.lit(0.0)))
-    scale = F.max(F.when(F.col("__s") * F.col("__boost") <= 1, F.col("__s"))).over(whole)
-    found = found.withColumn("probability", F.when(scale.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scale) * F.col("__boost"))))
-    return found.select(*DIMENSIONS, "docs", "tokens", "weight", "probability")
+    scale = found.agg(F.max(F.when(F.col("__s") * F.col("__boost") <= 1, F.col("__s"))).alias("__scale"))
+    chance = F.when(F.col("__scale").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__scale")) * F.col("__boost")))
+    return boosted.crossJoin(scale).select(*DIMENSIONS, "docs", "tokens", "weight", chance.alias("probability"))
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -114,17 +151,23 @@ def draw(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, DataFrame | None] | None = None, seed: int = 1) -> DataFrame:
-    """The documents with topic, n_tokens, weight, probability and sampled (whether a document is in the sample).
+ADDED = ("topic", "n_tokens", "weight", "probability", "sampled", "error")
+
+
+def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, DataFrame | None] | None = None, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """The documents with topic, n_tokens, weight, probability, sampled (whether a document is in the sample) and error.
 
-    targets: for source, lang or topic a table (value, target); by default see even().
+    targets: for source, lang or topic a table (value, target); by default see even(). columns: those of docs to return,
+    all by default.
     """
     tables = work.WorkTables(docs.sparkSession, "mixing")
-    rows = describe(docs)
-    cells = rows.groupBy(*(F.col(f"__{c}").alias(c) for c in DIMENSIONS)).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens"))
-    cells = tables.keep(cells, "counts")
-    cells = tables.keep(probabilities(rake(cells, targets or {}, tables), share), "sampling")
-    named = cells.select(*(F.col(c).alias(f"__{c}") for c in DIMENSIONS), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
-    found = rows.join(named, [f"__{c}" for c in DIMENSIONS])
-    mixed = {"topic": F.col("__topic"), "n_tokens": F.col("__tokens"), "weight": F.col("__weight"), "probability": F.col("__probability"), "sampled": draw(F.col("doc_id"), seed) < F.col("__probability")}
-    return found.withColumns(mixed).select(*[c for c in docs.columns if c not in mixed], *mixed)
+    own = [c for c in (docs.columns if columns is None else columns) if c not in ADDED]
+    topic = topic_of(F.coalesce(docs["text"], F.lit("")))
+    cell = F.struct(category(docs["source"]).alias("source"), category(docs["lang"]).alias("lang"), category(topic).alias("topic"))
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("own"), docs["doc_id"].alias("key"), topic.alias("topic"), cell.alias("cell"), token_count(docs["text"]).alias("n_tokens"))
+    rows = tables.keep(rows, "described")
+    cells = rows.groupBy("cell").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).select("cell.*", "docs", "tokens")
+    raked, error = rake(tables.keep(cells, "counts"), targets or {}, tables)
+    cells = tables.keep(probabilities(raked, share), "sampling").select(F.struct(*DIMENSIONS).alias("cell"), "weight", "probability")
+    found = rows.join(cells, "cell")
+    return found.select("own.*", "topic", "n_tokens", "weight", "probability", (draw(F.col("key"), seed) < F.col("probability")).alias("sampled"), F.lit(error).alias("error"))
