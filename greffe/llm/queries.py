@@ -27,8 +27,7 @@ def op3_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return mixing.mix(read(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
 
 
 def op5_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +43,8 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: a page is its document's, and is to be blocked if the document's quality is 0."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow").alias("label"))
-    return urls.judge(read(spark, sf_dir, "pages"), labels)
+    """What the listed rules decide teaches the mined ones, which judge the other pages."""
+    return urls.judge(read(spark, sf_dir, "pages"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 REACH = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id AS node, id AS comp FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node)"""
+#: CRC-32 byte by byte, with a table made from its polynomial.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"""
 SQL = {
+    "op7_jump_sharding": f"""WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), k AS (SELECT DISTINCT doc_id, CAST(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:16] AS UBIGINT) AS HUGEINT) AS key FROM documents),
+ j AS (SELECT doc_id, key, -1 AS b, CAST(0 AS BIGINT) AS ahead FROM k UNION ALL
+  SELECT doc_id, next, ahead, CAST(floor((ahead + 1) * (CAST(2147483648 AS DOUBLE) / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM j WHERE ahead < 17)),
+ s AS (SELECT doc_id, max(b) FILTER (b < 16) AS shard, max(b) FILTER (b < 17) AS grown FROM j GROUP BY doc_id),
+ r AS (SELECT doc_id, strlen(x) + 1 AS size, CAST({CRC.format(text="x")} AS BIGINT) AS text_crc32, CAST(shard AS INT) AS shard, CAST(grown AS INT) AS grown_shard FROM d JOIN s USING (doc_id), t)
+ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', doc_id, text_crc32, size))[1:15], doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM r""",
     "op2_log_structured_repeats": f"""WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
  g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM w, unnest(range(1, len(w) - 11)) t(i)), f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
  gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (g), unnest(range(0, 13)) t(k) WHERE first < doc_id),

@@ -3,8 +3,8 @@
 The shard of a row is a function of its key and the number of shards alone; there is no ring table. With one more
 shard, a row either stays or moves into the new one.
 
-A null key counts as the key of its own hash, so all null keys share a shard. Null and empty texts have size 1 and
-the checksum 0. Repeated rows each get a slot. Input columns of other names are ignored; an empty table gives an
+A key's hash is the first 64 bits of the MD5 of its text, which any engine can compute. All null keys share a shard.
+Null and empty texts have size 1 and the checksum 0. Repeated rows each get a slot. Input columns of other names are ignored; an empty table gives an
 empty table.
 """
 
@@ -38,6 +38,17 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
+def md5_bits(value: Column, bits: int) -> Column:
+    """The first bits, 32 to 64, of a text's MD5; 64 of them as a signed number."""
+    digest = F.md5(value)
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    return F.shiftleft(high, bits - 32).bitwiseOR(F.shiftright(low, 64 - bits))
+
+
+def key_hash(key: Column) -> Column:
+    return md5_bits(F.coalesce(key.cast("string"), F.lit("")), 64)
+
+
 def with_shards(df: DataFrame, key: Column, counts: dict[str, int]) -> DataFrame:
     """Adds a column for each entry of counts: the shard of the key among so many shards."""
     work.arrow_batches(df.sparkSession)
@@ -49,21 +60,22 @@ def with_shards(df: DataFrame, key: Column, counts: dict[str, int]) -> DataFrame
             keys = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(jump(keys, n).astype(np.int32)) for n in counts.values())], [*names, *counts])
 
-    return df.withColumn("__key", F.xxhash64(key)).mapInArrow(run, schema)
+    return df.select("*", key_hash(key).alias("__key")).mapInArrow(run, schema)
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], total: int) -> DataFrame:
-    """Adds slot: rows of a shard numbered from 0 without gaps, in the order of (cell, order columns).
+    """Adds slot: rows of a shard numbered from 0 without gaps, in the order of (a hash of the order columns, those columns).
 
-    A shard's rows are dealt to cells by a hash of the order columns; the first slot of each cell comes from the
-    counts of the cells before it, so no task sorts a whole shard. total: about how many rows there are.
+    Ranges of the hash cut a shard into cells; the first slot of each cell comes from the counts of the cells before it,
+    so no task sorts a whole shard. total: about how many rows there are.
     """
-    cells = int(min(MOST_CELLS, max(1, total // ROWS_A_CELL)))
-    dealt = df.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    bits = int(min(MOST_CELLS, max(1, total // ROWS_A_CELL))).bit_length() - 1
+    dealt = df.withColumn("__place", md5_bits(F.concat_ws(":", *order), 60)).withColumn("__cell", F.shiftright("__place", 60 - bits).cast("int") if bits else F.lit(0))
     first = dealt.groupBy(shard, "__cell").count().withColumn("__first", F.sum("count").over(Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)))
     first = first.select(shard, "__cell", F.coalesce("__first", F.lit(0)).alias("__first"))
-    own = F.row_number().over(Window.partitionBy(shard, "__cell").orderBy(*order)) - 1
-    return dealt.withColumn("__own", own).join(F.broadcast(first), [shard, "__cell"]).withColumn("slot", (F.col("__own") + F.col("__first")).cast("long")).drop("__own", "__first", "__cell")
+    own = F.row_number().over(Window.partitionBy(shard, "__cell").orderBy("__place", *order)) - 1
+    # shards * MOST_CELLS rows are broadcast at most.
+    return dealt.withColumn("__own", own).join(F.broadcast(first), [shard, "__cell"]).withColumn("slot", (F.col("__own") + F.col("__first")).cast("long")).drop("__own", "__first", "__cell", "__place")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
