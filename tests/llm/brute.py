@@ -78,6 +78,19 @@ def raked(tokens, targets, rounds=500):
     return w
 
 
+def chances(tokens, weight, share):
+    """Probabilities of cells: s is found by bisection."""
+    low, high = 0.0, 1e12
+    boost = weight / weight.sum() / (tokens / tokens.sum())
+    for _ in range(300):
+        s = (low + high) / 2
+        if (np.minimum(1, s * boost) * tokens).sum() < share * tokens.sum():
+            low = s
+        else:
+            high = s
+    return np.minimum(1, high * boost)
+
+
 def jump(key, shards):
     shard, ahead = -1, 0
     while ahead < shards:
