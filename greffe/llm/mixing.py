@@ -55,24 +55,23 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)), F.lit(1)).cast("long")
 
 
-def even(cells: DataFrame, column: str) -> DataFrame:
-    """Targets that lean half-way from a column's own shares to equal ones: category, target."""
-    own = cells.groupBy(column).agg(F.sum("tokens").alias("t"))
-    all_of = own.agg(F.sum("t").alias("sum"), F.count("*").alias("many"))
-    return own.crossJoin(all_of).select(F.col(column).alias("category"), (F.lit(0.5) * F.col("t") / F.col("sum") + F.lit(0.5) / F.col("many")).alias("target"))
-
-
 def with_targets(cells: DataFrame, targets: dict[str, DataFrame | None]) -> DataFrame:
-    """cells with weight, their share of all tokens, and for each dimension the target of their category."""
-    whole = cells.agg(F.sum("tokens").alias("__all"))
-    out = cells.crossJoin(whole).withColumn("weight", F.col("tokens") / F.col("__all")).drop("__all")
+    """cells with weight, their share of all tokens, and for each dimension the target of their category.
+
+    Without a target table, targets lean half-way from a dimension's own shares to equal ones.
+    """
+    counts = cells.agg(F.sum("tokens").alias("tokens"), *(F.count_distinct(c).alias(c) for c in DIMENSIONS)).first()
+    total = float(counts["tokens"] or 1)
+    out = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for column in DIMENSIONS:
-        wanted = targets.get(column)
-        wanted = even(cells, column) if wanted is None else wanted.select(category(F.col("value")).alias("category"), F.col("target").cast("double").alias("target"))
-        own = cells.groupBy(F.col(column).alias("category")).agg(F.sum("tokens").alias("own"))
-        own = own.join(wanted, "category", "left").crossJoin(whole).select("category", F.coalesce("target", F.col("own") / F.col("__all")).alias("target"))
-        scaled = own.crossJoin(own.agg(F.sum("target").alias("__sum"))).select(F.col("category").alias(column), (F.col("target") / F.col("__sum")).alias(f"{column}_target"))
-        out = out.join(scaled, column)
+        own = cells.groupBy(column).agg((F.sum("tokens") / F.lit(total)).alias("own"))
+        if targets.get(column) is None:
+            wanted = own.select(column, (0.5 * F.col("own") + F.lit(0.5 / max(1, counts[column]))).alias(f"{column}_target"))
+        else:
+            given = targets[column].select(category(F.col("value")).alias(column), F.col("target").cast("double").alias("target"))
+            wanted = own.join(given, column, "left").select(column, F.coalesce("target", "own").alias("target"))
+            wanted = wanted.select(column, (F.col("target") / F.lit(wanted.agg(F.sum("target")).first()[0] or 1.0)).alias(f"{column}_target"))
+        out = out.join(wanted, column)
     return out
 
 
@@ -84,12 +83,11 @@ def rescaled(cells: DataFrame, column: str) -> DataFrame:
 
 def off_targets(cells: DataFrame) -> float:
     """The largest relative error of a marginal."""
-    worst = 0.0
+    sums = None
     for column in DIMENSIONS:
-        sums = cells.groupBy(column).agg(F.sum("weight").alias("have"), F.max(f"{column}_target").alias("target"))
-        off = sums.agg(F.max(F.abs(F.col("have") / F.nullif(F.col("target"), F.lit(0.0)) - 1))).first()[0]
-        worst = max(worst, off or 0.0)
-    return worst
+        own = cells.groupBy(column).agg(F.sum("weight").alias("have"), F.max(f"{column}_target").alias("target")).select("have", "target")
+        sums = own if sums is None else sums.unionByName(own)
+    return sums.agg(F.max(F.abs(F.col("have") / F.nullif(F.col("target"), F.lit(0.0)) - 1))).first()[0] or 0.0
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame | None], tables: work.WorkTables) -> tuple[DataFrame, float]:
@@ -128,8 +126,8 @@ def probabilities(cells: DataFrame, share: float) -> DataFrame:
     boost full, s follows from the others; the right one is the first for which the next cell isn't full. Sums by boost
     are made in ranges of it, so that no task sees all cells.
     """
-    total = F.sum("tokens").alias("__total")
-    boosted = cells.crossJoin(cells.agg(total, F.sum("weight").alias("__weights"))).withColumn("__boost", F.col("weight") * F.col("__total") / F.col("tokens"))
+    total, weights = (x or 0 for x in cells.agg(F.sum("tokens"), F.sum("weight")).first())
+    boosted = cells.withColumn("__boost", F.col("weight") * F.lit(float(total)) / F.col("tokens"))
     # Ordered groups of cells: the boost's exponent and first bits; few, whatever the number of cells.
     group = F.floor(F.log2(F.greatest("__boost", F.lit(1e-300))) * 8)
     boosted = boosted.withColumn("__group", group)
@@ -138,12 +136,12 @@ def probabilities(cells: DataFrame, share: float) -> DataFrame:
     sums = sums.select("__group", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("__t"), F.coalesce(F.sum("w").over(above), F.lit(0.0)).alias("__w"))
     within = Window.partitionBy("__group").orderBy(F.desc("__boost"), *DIMENSIONS).rowsBetween(Window.unboundedPreceding, -1)
     full = F.col("__t") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    left = F.greatest(F.col("__weights") - F.col("__w") - F.coalesce(F.sum("weight").over(within), F.lit(0.0)), F.lit(0.0))
+    left = F.greatest(F.lit(float(weights)) - F.col("__w") - F.coalesce(F.sum("weight").over(within), F.lit(0.0)), F.lit(0.0))
     found = boosted.join(sums, "__group").withColumn("__full", full).withColumn("__left", left)
-    found = found.withColumn("__s", (F.lit(share) * F.col("__total") - F.col("__full")) / F.nullif(F.col("__left") * F.col("__total"), F.lit(0.0)))
-    scale = found.agg(F.max(F.when(F.col("__s") * F.col("__boost") <= 1, F.col("__s"))).alias("__scale"))
-    chance = F.when(F.col("__scale").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__scale")) * F.col("__boost")))
-    return boosted.crossJoin(scale).select(*DIMENSIONS, "docs", "tokens", "weight", chance.alias("probability"))
+    found = found.withColumn("__s", (F.lit(share * total) - F.col("__full")) / F.nullif(F.col("__left") * F.lit(float(total)), F.lit(0.0)))
+    scale = found.agg(F.max(F.when(F.col("__s") * F.col("__boost") <= 1, F.col("__s")))).first()[0]
+    chance = F.lit(1.0) if scale is None else F.least(F.lit(1.0), F.lit(max(0.0, scale)) * F.col("__boost"))
+    return boosted.select(*DIMENSIONS, "docs", "tokens", "weight", chance.alias("probability"))
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -157,7 +155,7 @@ ADDED = ("topic", "n_tokens", "weight", "probability", "sampled", "error")
 def mix(docs: DataFrame, share: float = 0.5, targets: dict[str, DataFrame | None] | None = None, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
     """The documents with topic, n_tokens, weight, probability, sampled (whether a document is in the sample) and error.
 
-    targets: for source, lang or topic a table (value, target); by default see even(). columns: those of docs to return,
+    targets: for source, lang or topic a table (value, target); by default see with_targets(). columns: those of docs to return,
     all by default.
     """
     tables = work.WorkTables(docs.sparkSession, "mixing")
