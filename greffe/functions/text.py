@@ -1,4 +1,4 @@
-"""Text expressions. All run in the JVM but unescape_html()."""
+"""Text expressions. All run in the JVM but unescape_html() and unescape_all()."""
 
 from __future__ import annotations
 
@@ -38,10 +38,19 @@ def norm_text(text: Column | str) -> Column:
     return F.lower(strip(F.regexp_replace(F.coalesce(col(text), F.lit("")), f"{SPACE}+", " ")))
 
 
+#: Digits that say how many digits a number has.
+LENGTH_DIGITS = 10
+
+
 def natural_key(text: Column | str) -> Column:
-    """A string that sorts runs of digits as numbers."""
+    """A string that sorts runs of digits as numbers, however long: each is written after the number of its digits."""
     runs = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), LENGTH_DIGITS, "0"), digits)).otherwise(x)
+
+    return F.array_join(F.transform(runs, one), "")
 
 
 def suffix_index(text: Column | str) -> Column:
@@ -138,6 +147,17 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def unescape_html(text: Column | str) -> Column:
-    """All named and numeric entities; texts without & stay in the JVM."""
+    """All named and numeric entities. Of texts without & Python sees a null only."""
     text = col(text)
-    return F.when(text.contains("&"), _unescape(text)).otherwise(text)
+    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda own: None if own is None else [None if x is None else html.unescape(x) for x in own])
+
+
+def unescape_all(texts: Column | str) -> Column:
+    """unescape_html() of each element of an array, in one pass of Python."""
+    texts = col(texts)
+    return F.coalesce(_unescape_each(F.when(F.exists(texts, lambda x: x.contains("&")), texts)), texts)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, norm_text, suffix_index
+from .ranking import numbered_by, ranked
 
 #: How texts cite codes and laws.
 CODE = r"(?i)\bcode\s+(?:général\s+|de\s+|du\s+|des\s+|d['’]\s*)*([a-zéèàêûîôç' -]{3,40})"
@@ -22,15 +23,16 @@ def same_text(df: DataFrame) -> DataFrame:
     """
     keyed = df.withColumns({"__a": norm_text("article"), "__d": F.nullif(norm_text("dispositif"), F.lit("")), "__who": author_key(F.col("auteurs"))})
     groups = keyed.groupBy("__a", "__d").agg(F.count("*").alias("members"), F.count_distinct("__who").alias("author_sets")).where("members > 1 and __d is not null")
-    copies = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("__a", "__d", "__who").orderBy(natural_key("numero"), "_pos")).cast("int"))
+    number = natural_key("numero")
+    copies = ranked(keyed, numbered_by(number, "_pos"), [number, F.col("_pos")], "copy", within={"a": F.col("__a"), "d": F.coalesce("__d", F.lit("")), "who": F.col("__who")})
     genre = F.when(F.col("members").isNull(), None).when(F.col("copy") > 1, "doublon").when(F.col("author_sets") > 1, "identiques").when(F.col("members") > 1, "doublon")
     return copies.join(groups, ["__a", "__d"], "left").withColumn("genre", genre).drop("__a", "__d", "__who")
 
 
 def order_of_identiques(df: DataFrame) -> DataFrame:
     """Adds place inside identical texts: the rapporteur first, then by number."""
-    w = Window.partitionBy(norm_text("article"), norm_text("dispositif")).orderBy(F.coalesce("rapporteur", F.lit(False)).desc(), natural_key("numero"), "_pos")
-    return df.withColumn("place", F.row_number().over(w).cast("int"))
+    number, later = natural_key("numero"), ~F.coalesce("rapporteur", F.lit(False))
+    return ranked(df, {"r": later, **numbered_by(number, "_pos")}, [number, F.col("_pos")], "place", within={"a": norm_text("article"), "d": norm_text("dispositif")})
 
 
 def common_discussions(df: DataFrame) -> DataFrame:
@@ -72,8 +74,26 @@ def mechanical_falls(df: DataFrame) -> DataFrame:
     return whole.unionByName(gone).unionByName(anew).where("fallen > 0")
 
 
+def fall_classes(df: DataFrame) -> DataFrame:
+    """article, alinea, kind, causes: the classes of causes, and how many rows are in each. A class with the alinéa null is of a whole article."""
+    kind = F.when(F.col("priorite") == 1, "article").when(F.col("priorite") == 3, "alinea").when(F.col("priorite") == 4, "redaction")
+    rows = df.withColumn("kind", kind).where("kind = 'article' or kind is not null and alinea is not null")
+    return rows.groupBy("article", F.when(F.col("kind") != "article", F.col("alinea")).alias("alinea"), "kind").agg(F.count("*").alias("causes"))
+
+
+def fallen_members(df: DataFrame) -> DataFrame:
+    """id and, for each kind of class, by how many causes the row falls: by_article, by_alinea, by_redaction. No pairs are formed."""
+    classes = fall_classes(df)
+    whole = classes.where("kind = 'article'").select("article", F.col("causes").alias("a"))
+    parts = classes.where("kind <> 'article'").groupBy("article", "alinea").agg(F.sum(F.when(F.col("kind") == "alinea", F.col("causes"))).alias("l"), F.sum(F.when(F.col("kind") == "redaction", F.col("causes"))).alias("r"))
+    own = lambda p: F.when(F.col("priorite") == p, 1).otherwise(0)
+    rows = df.join(whole, "article", "left").join(parts, ["article", "alinea"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select("id", zero(F.col("a") - own(1)).alias("by_article"), zero(F.col("l") - own(3)).alias("by_alinea"), zero(F.when(F.col("priorite") == 5, F.col("r"))).alias("by_redaction"))
+
+
 def fallen_pairs(df: DataFrame) -> DataFrame:
-    """cause and fallen ids, for the rows of one article; the output is as large as the falls themselves."""
+    """cause and fallen ids, for the rows of one article; as large as the falls themselves. See fall_classes() and fallen_members() for all."""
     causes = df.where("priorite in (1, 3, 4)").select(F.col("id").alias("cause"), "article", F.col("alinea").alias("cause_alinea"), F.col("priorite").alias("cause_priorite"))
     applies = (F.col("cause_priorite") == 1) | (F.col("alinea") == F.col("cause_alinea")) & ((F.col("cause_priorite") == 3) | (F.col("priorite") == 5))
     return causes.join(df, "article").where(applies & (F.col("id") != F.col("cause"))).select("cause", F.col("id").alias("fallen"))

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import BRACKET_LABELS, looked_up
+from ..functions.rules import BRACKET_LABELS, looked_up, status_group
 from ..functions.text import norm_text, section_header, truthy
+from .ranking import ranked
 
 
 def numbered_groups(df: DataFrame, keys: list[str], order: str, name: str = "groupe_no") -> DataFrame:
     """Adds the number of each row's group of two or more with equal keys, null for rows alone.
 
-    Groups are numbered from 1 in the order of their first member. They are aggregated before they are joined back, so a
-    large group is no window of its own. Rows with a null key are alone.
+    Groups are numbered from 1 in the order of their first member, which order, a number, gives. They are aggregated before
+    they are joined back, so a large group is no window of its own, and numbered a thousand first members at a time.
+    Rows with a null key are alone.
     """
     groups = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__first")).where("__n >= 2")
-    numbers = groups.withColumn(name, F.row_number().over(Window.orderBy("__first")).cast("int")).select(*keys, name)
+    numbers = ranked(groups, {"g": F.floor(F.col("__first") / 1000)}, [F.col("__first")], name).select(*keys, name)
     return df.join(numbers, keys, "left")
 
 
@@ -29,8 +31,45 @@ def identiques(df: DataFrame, rank: str = "rang") -> DataFrame:
     return named.withColumns({"groupe": group, "saute_modele": F.col("__no").isNotNull()}).drop("__a", "__d", "__k", "__no")
 
 
+def before_range(df: DataFrame, value: str, order: str) -> DataFrame:
+    """Adds __range (a thousand positions), __seen (rows before it) and __last, the value of the last row before it, as struct(v).
+
+    The one window over everything sees a row a range.
+    """
+    df = df.withColumn("__range", F.floor(F.col(order) / 1000))
+    ranges = df.groupBy("__range").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__end"), F.count("*").alias("__many"))
+    w = Window.orderBy("__range")
+    seen = F.coalesce(F.sum("__many").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(ranges.select("__range", F.lag("__end").over(w).alias("__last"), seen.alias("__seen")), "__range")
+
+
+def previous(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """Adds the value of the row before, as struct(v), null for the first; order is a number, of one document as long as may be."""
+    w = Window.partitionBy("__range").orderBy(order)
+    own = F.lag(F.struct(F.col(value).alias("v"))).over(w)
+    return before_range(df, value, order).withColumn(name, F.coalesce(own, "__last"))
+
+
+def document_islands(df: DataFrame, value: str, order: str) -> DataFrame:
+    """islands() of all rows as one document, by ranges of a thousand positions."""
+    rows = previous(df, value, order, "__before")
+    new = F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col(value))
+    w = Window.partitionBy("__range").orderBy(order)
+    rows = rows.withColumns({"__new": new.cast("int"), "__at": F.col("__seen") + F.row_number().over(w)})
+    starts = rows.groupBy("__range").agg(F.sum("__new").alias("__n"))
+    starts = starts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__runs"))
+    rows = rows.join(starts, "__range").withColumn("island", (F.col("__runs") + F.sum("__new").over(w)).cast("int"))
+    runs = rows.groupBy("island").agg(F.count("*").cast("int").alias("span"), F.min("__at").alias("__start"))
+    return rows.join(runs, "island").withColumn("place", (F.col("__at") - F.col("__start") + 1).cast("int")).select(*df.columns, "island", "span", "place")
+
+
 def islands(df: DataFrame, value: str, order: str, within: list[str]) -> DataFrame:
-    """Adds island (number of the run of equal values), span and place (from 1) of each row in its run."""
+    """Adds island (number of the run of equal values), span and place (from 1) of each row in its run.
+
+    within: keys of documents, each of which fits in a task; without any, all rows are one document of any length.
+    """
+    if not within:
+        return document_islands(df, value, order)
     w = Window.partitionBy(*within).orderBy(order)
     changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     df = df.withColumn("__changed", changed).withColumn("island", F.sum("__changed").over(w).cast("int")).drop("__changed")
@@ -56,11 +95,26 @@ def decorated(df: DataFrame, order: str = "_pos", within: list[str] | None = Non
 
 def with_headers(df: DataFrame, order: str = "_pos", within: list[str] | None = None) -> DataFrame:
     """Adds header and new_section: whether the header differs from the row before."""
-    w = Window.partitionBy(*(within or [])).orderBy(order)
     df = df.withColumn("header", section_header("article"))
+    if not within:
+        new = F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col("header"))
+        return previous(df, "header", order, "__before").withColumn("new_section", new).select(*df.columns, "new_section")
+    w = Window.partitionBy(*within).orderBy(order)
     return df.withColumn("new_section", ~F.col("header").eqNullSafe(F.lag("header").over(w)))
 
 
+def client_group(status: Column) -> Column:
+    """The group that a status alone names on the client's way."""
+    kind = status_group(status)
+    name = F.when(kind == "identiques", "grp-identiques-llm").otherwise(F.concat(F.lit("grp-"), kind, F.lit("-1")))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), name.alias("groupe_id")))
+
+
+def of_type(df: DataFrame, kind: str = "doublon") -> DataFrame:
+    """The rows whose group is of a type."""
+    return df.where(F.col("groupe.type") == kind)
+
+
 def constant_group(kind: Column) -> Column:
     """One group a kind for the whole batch: grp-<kind>-1."""
     return F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.concat(F.lit("grp-"), kind, F.lit("-1")).alias("groupe_id")))

@@ -89,7 +89,3 @@ def with_reference(df: DataFrame, within: list[str], columns: list[str], positio
 def fill_errors(df: DataFrame, name: str = "statut") -> DataFrame:
     """Records without a status get Erreur."""
     return df.withColumn(name, F.coalesce(F.col(name), F.lit("Erreur")))
-
-
-def first_rows(df: DataFrame, within: list[str], position: str) -> DataFrame:
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*within).orderBy(position))).where("__rn = 1").drop("__rn")

@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import rule_cascade
-from ..functions.text import legal_key, natural_key, truthy
+from ..functions.text import LENGTH_DIGITS, legal_key, natural_key, truthy
 
 #: Digits that are dropped from a padded number to form ordered groups of a thousand.
 GROUP_DIGITS = 3
 
 
-def ranked(df: DataFrame, coarse: dict[str, Column], fine: list[Column], name: str = "rang") -> DataFrame:
-    """Adds the rank, from 1, in the order of (coarse, fine).
+def ranked(df: DataFrame, coarse: dict[str, Column], fine: list[Column], name: str = "rang", within: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the rank, from 1, in the order of (coarse, fine); within gives keys, for ranks among rows that agree in them.
 
     coarse: leading sort keys that cut the rows into ordered groups. Groups are counted and their counts summed up in
     order; rows are numbered within their group only. So the one window over everything sees a row a group.
     """
-    keys = [f"__{k}" for k in coarse]
-    df = df.withColumns({f"__{k}": c for k, c in coarse.items()})
-    before = F.sum("count").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    apart = {f"__in_{k}": c for k, c in (within or {}).items()}
+    keys = [*apart, *(f"__{k}" for k in coarse)]
+    df = df.withColumns(apart | {f"__{k}": c for k, c in coarse.items()})
+    over = Window.partitionBy(*apart).orderBy(*keys[len(apart) :]) if apart else Window.orderBy(*keys)
+    before = F.sum("count").over(over.rowsBetween(Window.unboundedPreceding, -1))
     starts = df.groupBy(*keys).count().select(*(F.col(k).alias(f"{k}_s") for k in keys), F.coalesce(before, F.lit(0)).alias("__start"))
     own = df.withColumn("__own", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine)))
     same = None
@@ -33,7 +35,13 @@ def ranked(df: DataFrame, coarse: dict[str, Column], fine: list[Column], name: s
 
 def thousands(key: Column) -> Column:
     """An ordered group of a natural key: its leading number without the last digits."""
-    return F.substring(key, 1, 20 - GROUP_DIGITS)
+    digits = F.coalesce(F.substring(key, 1, LENGTH_DIGITS).try_cast("int"), F.lit(0))
+    return key.substr(F.lit(1), F.greatest(digits - GROUP_DIGITS, F.lit(0)) + LENGTH_DIGITS)
+
+
+def numbered_by(number: Column, position: str) -> dict[str, Column]:
+    """Coarse keys of (number, position): thousands of the number, and of the position among rows without one."""
+    return {"n": thousands(number), "w": F.when(number == "", F.floor(F.col(position) / 1000)).otherwise(0)}
 
 
 def with_priority(df: DataFrame) -> DataFrame:
@@ -56,14 +64,15 @@ def presort(df: DataFrame, engine: str = "B", position: str = "_pos") -> DataFra
     df = with_priority(df)
     number = natural_key("numero")
     if engine == "B":
-        return ranked(df, {"a": natural_key("article"), "p": F.col("priorite"), "n": thousands(number)}, [number, F.col(position)])
+        return ranked(df, {"a": natural_key("article"), "p": F.col("priorite"), **numbered_by(number, position)}, [number, F.col(position)])
     alinea = F.col("point_impact.alinea") if "point_impact" in df.columns else F.col("alinea")
-    return ranked(df, {"a": legal_key("article"), "l": alinea, "p": F.col("priorite")}, [F.coalesce("rapporteur", F.lit(False)).desc(), number, F.col(position)])
+    later = ~F.coalesce("rapporteur", F.lit(False))
+    return ranked(df, {"a": legal_key("article"), "l": alinea, "p": F.col("priorite"), "r": later, **numbered_by(number, position)}, [number, F.col(position)])
 
 
-def by_rank(df: DataFrame, rank: str = "rang", position: str = "_pos") -> DataFrame:
-    """Rows in the order of their rank, missing ranks last, ties in input order."""
-    return df.orderBy(F.col(rank).asc_nulls_last(), position)
+def running_rank(df: DataFrame, flag: str = "saute_modele", position: str = "_pos", name: str = "rang") -> DataFrame:
+    """Adds the rank in which rows are settled: those that the flag marks first, all others after them, each in input order."""
+    return ranked(df, {"later": ~F.coalesce(F.col(flag), F.lit(False)), "w": F.floor(F.col(position) / 1000)}, [F.col(position)], name)
 
 
 def missing_last(df: DataFrame, rank: Column, position: str, name: str = "final_rank") -> DataFrame:
@@ -91,7 +100,3 @@ def without_id(df: DataFrame, value, name: str = "id") -> DataFrame:
 def first_with(df: DataFrame, condition: Column, position: str = "_pos") -> DataFrame:
     """The first row that meets the condition, if any."""
     return df.where(condition).orderBy(position).limit(1)
-
-
-def with_legal_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("legal_key", legal_key("article"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import colour_emoji
@@ -26,6 +26,11 @@ def status_counts(df: DataFrame, status: str = "statut") -> DataFrame:
     return df.agg(F.count("*").alias("n_total"), F.count(status).alias("n_classes"), *buckets)
 
 
+def flag_counts(df: DataFrame, flag: str = "saute_modele", result: str = "resultat_ia") -> DataFrame:
+    """n_sautes, rows that were settled without the model, and any_result, whether any row has a result."""
+    return df.agg(F.count_if(F.col(flag)).alias("n_sautes"), F.coalesce(F.bool_or(F.col(result).isNotNull()), F.lit(False)).alias("any_result"))
+
+
 def display(df: DataFrame, rapporteur: bool = False) -> DataFrame:
     """The eight columns of the table."""
     authors = truthy(F.array_join("auteurs", ", "), default="—")
@@ -38,11 +43,9 @@ def display(df: DataFrame, rapporteur: bool = False) -> DataFrame:
 
 
 def rtf_lines(df: DataFrame, position: str = "_pos", title: Column | None = None, date: Column | None = None) -> DataFrame:
-    """The document as ordered lines: block, position, part, line.
-
-    Runs and headers follow one order, so a document's rows meet in one window; texts are made after it, in parallel.
-    """
-    rows = with_headers(decorated(df, position), position).withColumn("__first", F.lag(position).over(Window.partitionBy().orderBy(position)).isNull())
+    """The document as ordered lines: block, position, part, line. Runs and headers are found by ranges of positions."""
+    lowest = df.agg(F.min(position).alias("__least"))
+    rows = with_headers(decorated(df, position), position).crossJoin(lowest).withColumn("__first", F.col(position) == F.col("__least"))
     header = F.when(F.col("new_section"), F.concat(F.when(F.col("__first"), "").otherwise("\\par\n"), F.lit(r"\pard\f0\fs24\b "), rtf_escape("header"), F.lit(r"\b0\par")))
     body = F.concat(F.lit(r"\pard\f0\fs22\tx851\tx1321\tx1985 "), rtf_line("label", "glyph", content_line("numero", "rectification", "auteurs")), F.lit(r"\par"))
     parts = rows.select(F.lit(1).alias("block"), F.col(position).alias("position"), F.posexplode(F.array_compact(F.array(header, body))).alias("part", "line"))
@@ -61,11 +64,16 @@ def write_rtf(df: DataFrame, path: str, **options) -> None:
 
 
 def rtf_document(df: DataFrame, **options) -> DataFrame:
-    """The document of one batch as a single string."""
+    """The document of one batch that fits in a row, as a single string; see write_rtf() for more."""
     lines = rtf_lines(df, **options).select(F.struct("block", "position", "part", "line").alias("x"))
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("document"))
 
 
+def export_name() -> Column:
+    """The export's file name, with the day's date."""
+    return F.concat(F.lit("amendements-classes-"), F.date_format(F.current_date(), "yyyy-MM-dd"), F.lit(".json"))
+
+
 def json_lines(df: DataFrame, position: str = "_pos") -> DataFrame:
     return df.select(position, F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])).alias("json"))
 
@@ -76,11 +84,10 @@ def write_json(df: DataFrame, path: str, position: str = "_pos") -> None:
 
 
 def json_document(df: DataFrame, position: str = "_pos") -> DataFrame:
-    """{"amendements": [...]} of one batch, indented by two spaces, and its file name."""
+    """{"amendements": [...]} of one batch that fits in a row, indented by two spaces, and its file name; see write_json() for more."""
     kept = F.struct(*[c for c in df.columns if not c.startswith("_")])
     rows = df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), kept.alias("r")))), lambda x: x["r"]).alias("amendements"))
-    name = F.concat(F.lit("amendements-classes-"), F.date_format(F.current_date(), "yyyy-MM-dd"), F.lit(".json"))
-    return rows.select(name.alias("name"), F.to_json(F.struct("amendements"), {"pretty": "true"}).alias("document"))
+    return rows.select(export_name().alias("name"), F.to_json(F.struct("amendements"), {"pretty": "true"}).alias("document"))
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:

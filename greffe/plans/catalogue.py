@@ -56,7 +56,7 @@ AMENDMENTS = """am AS (SELECT o_orderkey AS pos, 'amdt-' || o_orderkey AS id, CA
 
 
 def nat(c: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({c}, '([0-9]+|[^0-9]+)', 1), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '([0-9]+|[^0-9]+)', 1), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END), '')"
 
 
 def norm(c: str) -> str:
@@ -107,7 +107,7 @@ def sort_engine_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_sort_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-3."""
     brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return ranking.ranked(brands, {"k": F.substring(text.natural_key("p_brand"), 1, 12)}, [text.natural_key("p_brand")])
+    return ranking.ranked(brands, {"k": F.substring(text.natural_key("p_brand"), 1, 8)}, [text.natural_key("p_brand")])
 
 
 SUFFIX = "coalesce(list_position(['bis', 'ter', 'quater', 'quinquies', 'sexies', 'septies', 'octies', 'nonies', 'decies'], regexp_extract({c}, '(bis|ter|quater)', 1)), 0)"
@@ -337,16 +337,6 @@ def delete_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.without_id(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 7, "n_nationkey")
 
 
-@query("""WITH c AS (SELECT n_nationkey, string_agg(c_name, ', ' ORDER BY c_name) AS names FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9500 GROUP BY n_nationkey)
- SELECT n_nationkey, coalesce(names, '—') AS auteurs, CASE WHEN n_nationkey % 5 = 0 THEN 'Rapporteur' ELSE coalesce(names, '—') END AS affiche FROM c""")
-def authors_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-4, ARR-1, NRM-16/17."""
-    names = table(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("c_name")).alias("names"))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey").join(names, "n_nationkey", "left")
-    auteurs = text.truthy(F.array_join("names", ", "), default="—")
-    return rows.select("n_nationkey", auteurs.alias("auteurs"), F.when(F.col("n_nationkey") % 5 == 0, "Rapporteur").otherwise(auteurs).alias("affiche"))
-
-
 @query(r"""WITH t AS (SELECT p_partkey, 'Adt n° ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' Rect.' ELSE '' END || ' de ' || CASE WHEN p_partkey % 3 = 0 THEN 'la commission' ELSE p_name || ' {x}\' END AS c FROM part)
  SELECT p_partkey, '\tab \tab \tab ' || CASE WHEN p_partkey % 4 = 0 THEN 'Id.' ELSE '' END || '\tab ' || CASE WHEN p_partkey % 4 = 0 THEN '\' || 'u9555? ' ELSE '' END || '\tab ' ||
  array_to_string(list_transform(string_split(c, ''), lambda x: CASE WHEN x IN ('\', '{', '}') THEN '\' || x WHEN unicode(x) < 128 THEN x ELSE '\u' || unicode(x) || '?' END), '') AS line FROM t""")
@@ -383,13 +373,6 @@ def mechanical_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doctrine.mechanical_falls(ranking.with_priority(amendments(spark, sf_dir)))
 
 
-@query(f"""WITH {AMENDMENTS}, p AS (SELECT *, {prio("dispositif")} AS p FROM am WHERE alinea = 4)
- SELECT c.id AS cause, x.id AS fallen FROM p c JOIN p x ON x.article = c.article AND x.id <> c.id WHERE c.p = 1 OR (x.alinea = c.alinea AND (c.p = 3 OR (c.p = 4 AND x.p = 5)))""")
-def fallen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOC-9 as pairs, among the amendments of alinéa 4."""
-    return doctrine.fallen_pairs(ranking.with_priority(amendments(spark, sf_dir)).where("alinea = 4"))
-
-
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'missing:numero' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'enum:priority' END], lambda x: x IS NOT NULL), ',') AS violations FROM orders""")
 def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-1."""

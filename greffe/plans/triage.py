@@ -9,32 +9,36 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, groups, merge, ranking, report
 from ..sources import documents, normalize
+from .lineage import cut
 
 
 @dataclass(frozen=True)
 class Triage:
-    """Steps return a new Triage; df holds the records."""
+    """Steps return a new Triage; df holds the records, whose lineage each step cuts."""
 
     df: DataFrame
 
     @staticmethod
     def read(spark: SparkSession, path: str, tags: bool = True) -> "Triage":
         records, _ = documents.read_json_documents(spark, path)
-        return Triage(normalize.normalize(documents.positions(records), tags=tags))
+        return Triage(cut(normalize.normalize(documents.positions(cut(records)), tags=tags)))
 
     def presort(self, engine: str = "B") -> "Triage":
-        return Triage(groups.identiques(ranking.presort(self.df, engine)))
+        return Triage(cut(groups.identiques(cut(ranking.presort(self.df, engine)))))
 
     def classify(self, classifier: classify.Classifier = classify.stub, options: classify.Options = classify.Options()) -> "Triage":
-        """Rows in exact groups keep that verdict; the model compares each other row with the first of its article."""
-        paired = merge.with_reference(self.df, ["article"], ["auteur", "texte", "id"], "rang")
-        ask = paired.where(~F.col("saute_modele") & (F.col("id") != F.col("ref_id")))
-        found = classify.classify_pairs(ask, classifier, options)
-        joined = self.df.join(found.withColumnRenamed("statut", "__statut"), "id", "left")
+        """Rows in exact groups keep that verdict; the model compares each other row with the first of its article.
+
+        Verdicts come back by rang, which each record has to itself; ids may repeat.
+        """
+        paired = merge.with_reference(self.df, ["article"], ["auteur", "texte", "rang"], "rang")
+        ask = paired.where(~F.col("saute_modele") & (F.col("rang") != F.col("ref_rang")))
+        found = classify.classify_pairs(ask, classifier, options, key="rang").withColumnRenamed("statut", "__statut")
+        joined = self.df.join(found, "rang", "left")
         status = F.when(F.col("saute_modele"), "Identique").otherwise(F.coalesce("__statut", F.lit("Isolé")))
         named = F.concat(F.lit("grp-"), F.col("groupe_type"), F.lit("-art"), F.col("article"))
         group = F.coalesce("groupe", F.when(F.col("groupe_type").isNotNull(), F.struct(F.col("groupe_type").alias("type"), named.alias("groupe_id"))))
-        return Triage(joined.withColumns({"statut": status, "groupe": group}).drop("__statut", "groupe_type", "limite"))
+        return Triage(cut(joined.withColumns({"statut": status, "groupe": group}).drop("__statut", "groupe_type", "limite")))
 
     def counts(self) -> DataFrame:
         return report.status_counts(self.df)

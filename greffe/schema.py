@@ -7,6 +7,7 @@ IMPACT_TYPES = ("suppression_article", "redaction_globale_article", "suppression
 GROUP_TYPES = ("discussion_commune", "identiques", "doublon", "additionnel", "isole")
 
 GROUP = "type string, groupe_id string"
+#: Names and types of the record format.
 AMENDMENT_DDL = (
     "id string, article string, numero string, rectification string, date_depot string,"
     " texte_examine struct<titre: string, lecture: string, numero_texte: string>, auteurs array<string>, auteur string, rapporteur boolean,"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,10 +29,14 @@ def entries(document: Column) -> Column:
 
 
 def unwrap(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine) of texts(file, value): records have file, _index (from 0) and raw (variant)."""
+    """(records, quarantine) of texts(file, value): records have file, _index (from 0) and raw (variant).
+
+    Rows are chosen after the explosion: a filter before it would be pushed down and parse each document once a branch.
+    """
     parsed = texts.withColumn("doc", F.try_parse_json("value")).withColumn("entries", entries(F.col("doc")))
-    records = parsed.where("entries is not null").select("file", F.posexplode("entries").alias("_index", "raw"))
-    bad = parsed.where("entries is null").select("file", F.when(F.col("doc").isNull(), "not JSON").otherwise("no known envelope").alias("reason"))
+    records = parsed.select("file", F.posexplode_outer("entries").alias("_index", "raw")).where("_index is not null")
+    reason = F.when(F.col("doc").isNull(), "not JSON").when(F.col("entries").isNull(), "no known envelope")
+    bad = parsed.select("file", F.explode_outer(F.array(reason)).alias("reason")).where("reason is not null")
     return records, bad
 
 
@@ -46,6 +51,16 @@ def read_attachments(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
     return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def read_mixed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, attachments) of a folder: JSON files as documents, where what is no list is one record; all other files as whole texts."""
+    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    is_json = F.lower("file").endswith(".json")
+    parsed = texts.where(is_json).withColumn("doc", F.try_parse_json("value"))
+    many = F.when(F.coalesce(F.schema_of_variant("doc"), F.lit("")).startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>")).when(F.col("doc").isNotNull(), F.array("doc"))
+    records = parsed.select("file", F.posexplode_outer(many).alias("_index", "raw")).where("_index is not null")
+    return records, texts.where(~is_json)
+
+
 def inline(spark: SparkSession, text: str, name: str = "texte collé") -> tuple[DataFrame, DataFrame]:
     """A pasted document."""
     return unwrap(spark.createDataFrame([(name, text)], "file string, value string"))
@@ -53,8 +68,6 @@ def inline(spark: SparkSession, text: str, name: str = "texte collé") -> tuple[
 
 def positions(records: DataFrame) -> DataFrame:
     """Adds _pos: files in order of name, then order in the file; from prefix sums of the files' counts."""
-    from pyspark.sql import Window
-
     counts = records.groupBy("file").agg((F.max("_index") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return records.join(counts.select("file", before.alias("__before")), "file").withColumn("_pos", F.col("__before") + F.col("_index")).drop("__before")
@@ -77,10 +90,12 @@ def save_session(df: DataFrame, path: str) -> None:
 
 
 def restore_session(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The saved rows; none if nothing readable was saved."""
+    """The saved rows; none if nothing was saved. What was saved and can't be read is an error."""
     try:
-        return spark.read.parquet(path)
-    except Exception:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

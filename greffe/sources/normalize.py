@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_tags, truthy, unescape_html
+from ..functions.text import strip_tags, truthy, unescape_all
 
 NIL, UNKNOWN = "Non renseigné", "Inconnu"
 
@@ -18,62 +18,89 @@ def kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def plain(v: Column, default: str = "") -> Column:
-    """Text of a leaf: an XML-nil object is a fixed phrase, other objects and lists are JSON, null and blank the default."""
-    nil = F.coalesce(kind(F.try_variant_get(v, '$["@xmlns"]', "variant")), F.lit("VOID")) != "VOID"
-    nil = nil | (kind(F.try_variant_get(v, '$["@xmlns:xsi"]', "variant")) != "VOID")
-    nested = kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY")
+def plain(v: Column, kind_of: Column) -> Column:
+    """Text of a leaf: an XML-nil object is a fixed phrase, other objects and lists are JSON, null and blank are empty."""
+    nil = piece(v, '$["@xmlns"]').isNotNull() | piece(v, '$["@xmlns:xsi"]').isNotNull()
     text = F.try_variant_get(v, "$", "string")
     blank = text.isNull() | (F.regexp_replace(text, r"[\s\u0085\p{Z}﻿]+", "") == "")
-    return F.when(nil, NIL).when(nested, F.to_json(v)).when(blank, default).otherwise(text)
+    return F.when(kind_of.startswith("OBJECT") & nil, NIL).when(kind_of.startswith("OBJECT") | kind_of.startswith("ARRAY"), F.to_json(v)).when(blank, "").otherwise(text)
+
+
+#: Leaves of raw records that are texts.
+LEAVES = {
+    "uid": "$.uid", "numero": "$.identification.numeroLong", "rect": "$.identification.numeroRect", "titre": "$.pointeurFragmentTexte.division.titre",
+    "designation": "$.pointeurFragmentTexte.division.articleDesignation", "depot": "$.cycleDeVie.dateDepot", "libelle": "$.signataires.libelle", "signataires": "$.signataires",
+    "acteur": "$.signataires.auteur.acteurRef", "premier": "$.signataires.auteur[0].acteurRef", "cartouche": "$.corps.cartoucheInformatif",
+    "corps": "$.corps.contenuAuteur.dispositif", "expose": "$.corps.contenuAuteur.exposeSommaire",
+}
+#: Other parts whose presence or kind decides.
+PARTS = {"identification": "$.identification", "pointeur": "$.pointeurFragmentTexte", "auteur": "$.signataires.auteur", "premier_auteur": "$.signataires.auteur[0]"}
+FLAT = ("id", "numero", "article", "rectification", "date_depot", "dispositif", "texte", "auteur", "avis_commission", "avis_gouvernement", "expose_sommaire", "categorie", "point_impact")
 
 
 def normalize(records: DataFrame, raw: str = "raw", position: str = "_pos", tags: bool = False) -> DataFrame:
-    """Flat records. tags: strip markup from the texts, so that rules on how a text starts apply."""
+    """Flat records. tags: strip markup from the texts, so that rules on how a text starts apply.
+
+    Each part of a record is taken out once, and each leaf made a text once, in selects of their own.
+    """
+    others = [c for c in records.columns if c != raw]
     source = F.col(raw)
-    inner = F.when(kind(piece(source, "$.amendement")).startswith("OBJECT"), piece(source, "$.amendement")).otherwise(source)
-    df = records.withColumn("__am", inner)
+    inner = piece(source, "$.amendement")
+    df = records.withColumn("__inner", inner).select("*", F.when(kind(F.col("__inner")).startswith("OBJECT"), F.col("__inner")).otherwise(source).alias("__am"))
     am = F.col("__am")
-    is_object = kind(am).startswith("OBJECT")
-    is_raw = piece(am, "$.identification").isNotNull() | piece(am, "$.uid").isNotNull() | piece(am, "$.pointeurFragmentTexte").isNotNull()
-    broken = is_raw & (piece(am, "$.identification").isNotNull()) & (kind(piece(am, "$.identification")) == "VOID")
-    at = lambda path, default="": unescape_html(plain(piece(am, path), default))
-
-    numero = at("$.identification.numeroLong", UNKNOWN)
-    signers, author = piece(am, "$.signataires"), piece(am, "$.signataires.auteur")
-    first = F.when(kind(author).startswith("ARRAY"), F.coalesce(truthy(plain(piece(author, "$[0].acteurRef"))), F.when(kind(piece(author, "$[0]")) != "VOID", F.lit(UNKNOWN)))).when(kind(author).startswith("OBJECT"), truthy(plain(piece(author, "$.acteurRef")), default=UNKNOWN))
-    scalar = F.when(~kind(signers).startswith("OBJECT"), plain(signers))
-    auteur = unescape_html(truthy(plain(piece(signers, "$.libelle")), first, scalar, default=""))
-    dispositif = unescape_html(truthy(plain(piece(am, "$.corps.cartoucheInformatif")), plain(piece(am, "$.corps.contenuAuteur.dispositif")), default=""))
-    flat = lambda name: F.try_variant_get(am, f"$.{name}", "string")
-    names = F.try_variant_get(am, "$.auteurs", "array<string>")
-    clean = strip_tags if tags else (lambda x: x)
+    taken = [piece(am, path).alias(f"__v_{name}") for name, path in {**LEAVES, **PARTS}.items()]
+    flats = [F.try_variant_get(am, f"$.{name}", "string").alias(f"__f_{name}") for name in FLAT]
+    every = {**LEAVES, **PARTS}
+    # As arrays: one expression serves all leaves, which keeps the generated code small.
+    parts = F.array(*[piece(am, path) for path in every.values()])
+    flats = F.array(*[F.try_variant_get(am, f"$.{name}", "string") for name in FLAT])
+    df = df.select(*others, "__am", kind(am).alias("__kind"), parts.alias("__parts"), flats.alias("__flats"), F.try_variant_get(am, "$.auteurs", "array<string>").alias("__names"))
+    texts = F.transform("__parts", lambda v: F.struct(v.isNotNull().alias("there"), kind(v).alias("kind"), plain(v, kind(v)).alias("text")))
+    df = df.select(*others, "__am", "__kind", "__flats", "__names", texts.alias("__texts"))
+    at = lambda name: F.col("__texts")[list(every).index(name)]
+    f = lambda name: F.col("__flats")[FLAT.index(name)]
+    k, p = (lambda name: at(name)["kind"]), (lambda name: at(name)["text"])
+    there = lambda name: at(name)["there"]
+    signers = F.when(~k("signataires").startswith("OBJECT"), p("signataires"))  # an object of signatories is no text of its own
+    nobody = F.when(k("premier_auteur") != "VOID", F.lit(UNKNOWN))
+    first = F.when(k("auteur").startswith("ARRAY"), F.coalesce(truthy(p("premier")), nobody)).when(k("auteur").startswith("OBJECT"), truthy(p("acteur"), default=UNKNOWN))
+    chosen = {name: p(name) for name in ("uid", "rect", "titre", "designation", "depot", "expose")} | {"numero": truthy(p("numero"), default=UNKNOWN)}
+    chosen |= {"auteur": truthy(p("libelle"), first, signers, default=""), "dispositif": truthy(p("cartouche"), p("corps"), default="")}
+    # All texts pass Python as one, so that records without an entity send a null.
+    names_of = list(chosen)
+    df = df.select(
+        *others, "__am", "__kind", "__names", "__flats", F.array(*chosen.values()).alias("__chosen"), (there("identification") | there("uid") | there("pointeur")).alias("__raw"),
+        (there("identification") & (k("identification") == "VOID")).alias("__broken"),
+    )
+    df = df.withColumn("__chosen", unescape_all("__chosen"))
+    u, is_raw, broken = (lambda name: F.col("__chosen")[names_of.index(name)]), F.col("__raw"), F.col("__broken")
+    is_object = F.col("__kind").startswith("OBJECT")
     index = F.col(position).cast("string")
-    stub = ~is_object | broken
-
-    def pick(of_raw: Column, of_flat: Column, of_stub: Column | None = None) -> Column:
-        return F.when(stub, F.lit(None) if of_stub is None else of_stub).when(is_raw, of_raw).otherwise(of_flat)
-
-    text_of_flat = truthy(flat("dispositif"), flat("texte"), default="")
-    out = df.select(
-        *[c for c in records.columns if c != raw],
-        F.when(broken, F.concat(F.lit("amdt-err-"), index)).when(~is_object, F.concat(F.lit("amdt-"), index)).when(is_raw, truthy(plain(piece(am, "$.uid")), F.nullif(numero, F.lit(UNKNOWN)), F.concat(F.lit("amdt-"), index))).otherwise(truthy(flat("id"), F.concat(F.lit("amdt-"), index))).alias("id"),
-        F.when(broken, "Erreur").when(~is_object, UNKNOWN).when(is_raw, numero).otherwise(F.coalesce(flat("numero"), F.lit(""))).alias("numero"),
-        F.coalesce(pick(at("$.pointeurFragmentTexte.division.titre"), flat("article")), F.lit("")).alias("article"),
-        pick(at("$.identification.numeroRect"), flat("rectification")).alias("rectification"),
-        pick(at("$.cycleDeVie.dateDepot"), flat("date_depot")).alias("date_depot"),
-        F.struct(flat("texte_examine.titre").alias("titre"), flat("texte_examine.lecture").alias("lecture"), flat("texte_examine.numero_texte").alias("numero_texte")).alias("texte_examine"),
-        F.coalesce(pick(F.when(auteur != "", F.array(auteur)), F.coalesce(names, F.when(flat("auteur") != "", F.array(flat("auteur"))))), F.array().cast("array<string>")).alias("auteurs"),
-        pick(auteur, truthy(flat("auteur"), F.array_join(names, ", "))).alias("auteur"),
-        F.coalesce(F.try_variant_get(am, "$.rapporteur", "boolean"), F.lit(False)).alias("rapporteur"),
-        flat("avis_commission").alias("avis_commission"), flat("avis_gouvernement").alias("avis_gouvernement"),
-        clean(F.coalesce(pick(dispositif, text_of_flat), F.lit(""))).alias("dispositif"), clean(F.coalesce(pick(dispositif, text_of_flat), F.lit(""))).alias("texte"),
-        clean(pick(at("$.corps.contenuAuteur.exposeSommaire"), flat("expose_sommaire"))).alias("expose_sommaire"),
-        F.struct(pick(at("$.pointeurFragmentTexte.division.articleDesignation"), truthy(flat("point_impact.type"), flat("point_impact"))).alias("type"), F.try_variant_get(am, "$.point_impact.alinea", "int").alias("alinea")).alias("point_impact"),
-        flat("categorie").alias("categorie"),
+    clean = strip_tags if tags else (lambda x: x)
+    names = F.col("__names")
+
+    def pick(of_raw: Column, of_flat: Column) -> Column:
+        return F.when(~is_object | broken, F.lit(None)).when(is_raw, of_raw).otherwise(of_flat)
+
+    body = F.coalesce(pick(u("dispositif"), truthy(f("dispositif"), f("texte"), default="")), F.lit(""))
+    deep = lambda path, as_type="string": F.try_variant_get(am, path, as_type)
+    return df.select(
+        *others,
+        F.when(broken, F.concat(F.lit("amdt-err-"), index)).when(~is_object, F.concat(F.lit("amdt-"), index)).when(is_raw, truthy(u("uid"), F.nullif(u("numero"), F.lit(UNKNOWN)), F.concat(F.lit("amdt-"), index))).otherwise(truthy(f("id"), F.concat(F.lit("amdt-"), index))).alias("id"),
+        F.when(broken, "Erreur").when(~is_object, UNKNOWN).when(is_raw, u("numero")).otherwise(F.coalesce(f("numero"), F.lit(""))).alias("numero"),
+        F.coalesce(pick(u("titre"), f("article")), F.lit("")).alias("article"),
+        pick(u("rect"), f("rectification")).alias("rectification"),
+        pick(u("depot"), f("date_depot")).alias("date_depot"),
+        F.struct(*[deep(f"$.texte_examine.{name}").alias(name) for name in ("titre", "lecture", "numero_texte")]).alias("texte_examine"),
+        F.coalesce(pick(F.when(u("auteur") != "", F.array(u("auteur"))), F.coalesce(names, F.when(f("auteur") != "", F.array(f("auteur"))))), F.array().cast("array<string>")).alias("auteurs"),
+        pick(u("auteur"), truthy(f("auteur"), F.array_join(names, ", "))).alias("auteur"),
+        F.coalesce(deep("$.rapporteur", "boolean"), F.lit(False)).alias("rapporteur"),
+        f("avis_commission").alias("avis_commission"), f("avis_gouvernement").alias("avis_gouvernement"),
+        clean(body).alias("dispositif"), clean(body).alias("texte"), clean(pick(u("expose"), f("expose_sommaire"))).alias("expose_sommaire"),
+        F.struct(pick(u("designation"), truthy(deep("$.point_impact.type"), f("point_impact"))).alias("type"), deep("$.point_impact.alinea", "int").alias("alinea")).alias("point_impact"),
+        f("categorie").alias("categorie"),
         F.when(broken, "error").when(~is_object, "not an object").alias("_norm_error"),
     )
-    return out
 
 
 def raw_text(df: DataFrame) -> DataFrame:

@@ -6,26 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import merge_verdicts
+from ..operators.merge import last_verdicts
 from ..schema import VERDICT_DDL
 
+#: Parts by which records are dealt and rewritten.
+PARTS = 16
 
-def follow_verdicts(spark: SparkSession, records: DataFrame, verdict_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Read new JSON-lines verdict files; after each micro-batch, write all records with their latest verdicts.
 
-    Every batch is kept as one folder of out_path by its number, so a repeated batch overwrites only itself. trigger
+def part_of(parts: int):
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+
+def latest_records(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame:
+    """The records with their latest verdicts: of each part its last version."""
+    every = spark.read.parquet(out_path)
+    every = every if before is None else every.where(F.col("version") < before)
+    last = every.groupBy("part").agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(last), ["part", "version"])  # a row a part
+
+
+def follow_verdicts(spark: SparkSession, records: DataFrame, verdict_path: str, out_path: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Read new JSON-lines verdict files; after each micro-batch the records that it touches have their latest verdicts.
+
+    Records are dealt to parts by id; a micro-batch writes a new version of the parts that it touches, under its number,
+    so a repeated batch overwrites only itself. Of several verdicts on an id the one with the largest seq counts. trigger
     availableNow: all files that are there are taken, then the query ends. stop() of the query cancels between batches.
     """
+    verdict = spark.createDataFrame([], VERDICT_DDL).schema
+    fields = [c for c in verdict.names if c != "id"]
+    empty = F.lit(None).cast("struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in verdict if f.name != "id") + ">")
+    start = records.drop("resultat_ia").withColumns({"resultat_ia": empty, "seq": F.lit(None).cast("long"), "part": part_of(parts)})
+    start.write.mode("overwrite").partitionBy("part").parquet(f"{out_path}/version=-1")
     stream = spark.readStream.schema(VERDICT_DDL + ", seq long").json(verdict_path)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/verdicts/batch={number}")
-        every = batch.sparkSession.read.schema(batch.schema).parquet(f"{out_path}/verdicts/*")
-        merge_verdicts(records, every, "seq").write.mode("overwrite").parquet(f"{out_path}/records/batch={number}")
+        session = batch.sparkSession
+        latest = last_verdicts(batch, "seq").select("id", F.struct(*fields).alias("new"), F.col("seq").alias("new_seq")).withColumn("part", part_of(parts))
+        touched = [r.part for r in latest.select("part").distinct().collect()]  # parts at most
+        if not touched:
+            return
+        old = latest_records(session, out_path, number).where(F.col("part").isin(touched)).drop("version")
+        both = old.join(latest, ["id", "part"], "left")
+        newer = F.col("new_seq").isNotNull() & (F.col("seq").isNull() | (F.col("new_seq") >= F.col("seq")))
+        merged = both.withColumns({"resultat_ia": F.when(newer, F.col("new")).otherwise(F.col("resultat_ia")), "seq": F.when(newer, F.col("new_seq")).otherwise(F.col("seq"))})
+        merged.drop("new", "new_seq").write.mode("overwrite").partitionBy("part").parquet(f"{out_path}/version={number}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def running_counts(verdicts: DataFrame) -> DataFrame:
-    """Statuses so far, for a stream in complete mode."""
-    return verdicts.groupBy("statut").agg(F.count("*").alias("n"))

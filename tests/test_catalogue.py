@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from greffe.plans import catalogue
+from greffe.plans import catalogue, records  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
