@@ -66,7 +66,27 @@ REACH = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT
 #: CRC-32 byte by byte, with a table made from its polynomial.
 CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
   lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"""
+FITS = "(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
+RULES = sorted(((kind, *text.partition("/")) for kind, text in urls.LISTED), key=lambda r: -len("".join(r[1:])))
+PICKED = "CASE " + " ".join(f"WHEN {FITS.format(own=own, rest=rest)} THEN '{{{{{n}}}}}'" for n, (_, own, _, rest) in enumerate(RULES)) + " END"
+LISTED_RULE = PICKED.format().format(*(own + "/" + rest for _, own, _, rest in RULES))
+LISTED_VERDICT = PICKED.format().format(*(kind for kind, *_ in RULES))
 SQL = {
+    "op8_url_rules": rf"""WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ r AS (SELECT *, string_split(host, '.') AS h, {LISTED_RULE} AS rule, {LISTED_VERDICT} AS listed FROM u),
+ t AS (SELECT page_id, host, path, rule, listed, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_concat(['tld:' || h[-1], 'first:' || h[1]], CASE WHEN len(h) >= 2 THEN ['site:' || h[-2] || '.' || h[-1]] ELSE [] END,
+   CASE WHEN len(h) > 3 THEN list_transform(h[2:len(h) - 2], lambda x: 'label:' || x) ELSE [] END, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+   list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'key:' || string_split(x, '=')[1]), CASE WHEN ends_with(path, '/') THEN ['end:/'] ELSE [] END, CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END))) END AS tokens FROM r),
+ l AS (SELECT tokens, listed AS label FROM t WHERE listed IS NOT NULL AND len(tokens) > 0), k AS (SELECT count(*) AS n FROM l), d AS (SELECT tokens, count(*) AS n FROM l GROUP BY tokens), e AS (SELECT tokens, n, unnest(tokens) AS token FROM d),
+ st AS (SELECT token, sum(n) AS freq, list_sort(list(tokens)) AS places FROM e GROUP BY token HAVING sum(n) >= 0.01 * (SELECT n FROM k)), nm AS (SELECT token, freq, min(token) OVER (PARTITION BY places) AS item FROM st),
+ b AS (SELECT tokens, list(item ORDER BY freq DESC, item)[1:{urls.MOST_ITEMS}] AS items FROM (SELECT DISTINCT tokens, item, freq FROM e JOIN nm USING (token)) GROUP BY tokens),
+ i AS (SELECT tokens, unnest(items) AS item FROM b),
+ c AS (SELECT tokens, [item] AS ante FROM i UNION ALL SELECT x.tokens, [x.item, y.item] FROM i x JOIN i y ON x.tokens = y.tokens AND x.item < y.item UNION ALL SELECT x.tokens, [x.item, y.item, z.item] FROM i x JOIN i y ON x.tokens = y.tokens AND x.item < y.item JOIN i z ON x.tokens = z.tokens AND y.item < z.item),
+ j AS (SELECT ante, label, count(*) AS hits FROM c JOIN l USING (tokens) GROUP BY ante, label), w AS (SELECT ante, sum(hits) AS whole FROM j GROUP BY ante), lb AS (SELECT label, count(*) AS n FROM l GROUP BY label),
+ m AS (SELECT ante, label, hits / whole AS conf, hits / (SELECT n FROM k) AS supp FROM j JOIN w USING (ante) JOIN lb USING (label) WHERE hits >= ceil(0.01 * (SELECT n FROM k)) AND hits / whole >= 0.8 AND (hits / whole) / (lb.n / (SELECT n FROM k)) >= 1.2),
+ o AS (SELECT DISTINCT tokens FROM t WHERE listed IS NULL),
+ p AS (SELECT tokens, array_to_string(ante, ' ') AS mined_rule, label AS mined FROM o JOIN m ON list_has_all(tokens, ante) QUALIFY row_number() OVER (PARTITION BY tokens ORDER BY conf DESC, supp DESC, len(ante) DESC, array_to_string(ante, ' '), label) = 1)
+ SELECT page_id, host, path, rule, coalesce(listed, mined, 'allow') AS verdict, CASE WHEN listed IS NULL THEN mined_rule END AS mined_rule FROM t LEFT JOIN p ON p.tokens = t.tokens""",
     "op7_jump_sharding": f"""WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
  d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), k AS (SELECT DISTINCT doc_id, CAST(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:16] AS UBIGINT) AS HUGEINT) AS key FROM documents),
  j AS (SELECT doc_id, key, -1 AS b, CAST(0 AS BIGINT) AS ahead FROM k UNION ALL
