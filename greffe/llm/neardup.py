@@ -83,17 +83,14 @@ def signatures(docs: DataFrame, n: int, trees: int) -> DataFrame:
     return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest long, n_shingles long, one long, two long, nodes array<long>")
 
 
-LINK = ["a", "b", "first_a", "first_b"]
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, first_a, first_b) of classes whose whole sets are similar enough. texts: node, text."""
+    """The pairs (a, b) of classes whose whole sets are similar enough. texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, dtype=bool)
             sides = []
-            for ids, side in ((batch.column(0), batch.column(4)), (batch.column(1), batch.column(5))):
+            for ids, side in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
                 _, first, back = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
                 tokens, starts = sets.shingle_sets(side.take(pa.array(first)), n)
                 sides.append((tokens, starts, back))
@@ -101,15 +98,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
                 a, b = (tokens[starts[back[i]] : starts[back[i] + 1]] for tokens, starts, back in sides)
                 linked[i] = sets.similar(a, b, percent)
             keep = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in batch.columns[:4]], LINK)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in batch.columns[:2]], ["a", "b"])
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select(LINK).join(first, "a").join(second, "b").select(*LINK, "text_a", "text_b").mapInArrow(run, "a long, b long, first_a long, first_b long")
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b, first_a, first_b) within each task of members(task, node, first, component, text), between different components.
+    """Links (a, b) within each task of members(task, node, component, text), between different components.
 
     A task holds 2 * BLOCK documents, and 2 * BLOCK_SHINGLES shingles, or so. Within it, a union-find skips pairs that links found before have joined, so
     it returns fewer links than documents. Parities of the tokens' low bits bound how far two sets differ from below;
@@ -120,8 +117,8 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sets.groups(batches):
             group = group.combine_chunks()
-            ids, first, comps = (group.column(k).to_numpy() for k in (1, 2, 3))
-            tokens, starts = sets.shingle_sets(group.column(4), n)
+            ids, comps = (group.column(k).to_numpy() for k in (1, 2))
+            tokens, starts = sets.shingle_sets(group.column(3), n)
             sizes = np.diff(starts)
             cells = np.repeat(np.arange(len(ids)) * bits, sizes) + (tokens % U(bits)).astype(np.int64)
             odd = (np.bincount(cells, minlength=len(ids) * bits) & 1).astype(bool).reshape(len(ids), bits)
@@ -145,13 +142,13 @@ def compare_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
                         found.append((i, j))
             if found:
                 a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], first[a], first[b])], LINK)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return members.select("task", "node", "first", "component", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, first_a long, first_b long")
+    return members.select("task", "node", "component", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def tasks_of_open_leaves(leaves: DataFrame) -> DataFrame:
-    """task, node, first, component for leaves(leaf, node, first, n_shingles, component) that hold several components.
+    """task, node, component for leaves(leaf, node, n_shingles, component) that hold several components.
 
     In a leaf, B is its largest component and A are the other documents. A is dealt to blocks, as is B; tasks are the
     pairs of A's blocks, and each block of A with each of B. Leaves with the same members count once.
@@ -168,7 +165,7 @@ def tasks_of_open_leaves(leaves: DataFrame) -> DataFrame:
     a_range, b_range = F.sequence(F.lit(0), F.col("a_blocks") - 1), F.sequence(F.lit(0), F.col("b_blocks") - 1)
     of_b = F.transform(a_range, lambda i: F.xxhash64("leaf", F.lit("ab"), i, "own"))
     of_a = F.concat(F.transform(a_range, lambda i: F.xxhash64("leaf", F.lit("aa"), F.least(i, "own"), F.greatest(i, "own"))), F.transform(b_range, lambda j: F.xxhash64("leaf", F.lit("ab"), "own", j)))
-    return rows.select(F.explode(F.when(in_b, of_b).otherwise(of_a)).alias("task"), "node", "first", "component")
+    return rows.select(F.explode(F.when(in_b, of_b).otherwise(of_a)).alias("task"), "node", "component")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,19 +186,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str
     copies = tables.keep(known.join(classes.where("first < last").select(*key, "first"), key).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
     row = ["doc_id", "digest", *key]
     heads = known.dropDuplicates(row).join(classes.withColumnRenamed("first", "doc_id").select(*row, "node"), row)
-    standing = heads.select("node", F.col("doc_id").alias("first"), "digest", "n_shingles", "nodes")
-
-    placed = standing.select("node", "first", "digest", "n_shingles", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    placed = placed.select("node", "first", "digest", "n_shingles", F.slice("nodes", F.col("tree") * (LEVELS - 1) + 1, LEVELS - 1).alias("nodes"))
-    by_node = placed.groupBy(F.col("nodes")[0].alias("leaf")).agg(F.min(F.struct("first", "node", "n_shingles")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    shared = tables.keep(placed.withColumn("leaf", F.col("nodes")[0]).join(by_node, "leaf").select("node", "first", "digest", "n_shingles", "nodes", "pivot", "many"), "shared")
+    placed = heads.select("node", "n_shingles", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    placed = placed.select("node", "n_shingles", F.slice("nodes", F.col("tree") * (LEVELS - 1) + 1, LEVELS - 1).alias("nodes"))
+    by_node = placed.groupBy(F.col("nodes")[0].alias("leaf")).agg(F.min(F.struct("node", "n_shingles")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
+    shared = tables.keep(placed.withColumn("leaf", F.col("nodes")[0]).join(by_node, "leaf").select("node", "n_shingles", "nodes", "pivot", "many"), "shared")
 
     fits = f"100 * least(n_shingles, pivot.n_shingles) >= {percent} * greatest(n_shingles, pivot.n_shingles)"
-    pairs = shared.where("node <> pivot.node").where(fits).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("first").alias("first_a"), F.col("pivot.first").alias("first_b")).distinct()
-    pairs = tables.keep(pairs, "pairs")
-    named = tables.keep(shared.select(F.col("first").alias("doc_id"), "digest", "node").distinct(), "named")
-    # Tables too, for the same reason. Repeated rows bring a text more than once.
-    texts = tables.keep(docs.join(named, ["doc_id", "digest"]).select("node", "text"), "texts")
+    pairs = tables.keep(shared.where("node <> pivot.node").where(fits).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
+    named = shared.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id"), "digest"), "node")
+    # Tables too, for the same reason. Repeated rows bring a text more than once. What is named grows with the documents,
+    # so this is a merge join at every size.
+    named = tables.keep(named, "named")
+    texts = tables.keep(docs.join(named.hint("merge"), ["doc_id", "digest"]).select("node", "text"), "texts")
     if texts.count() > named.count():
         texts = tables.keep(texts.dropDuplicates(["node"]), "distinct-texts")
     links = tables.keep(confirm(pairs, texts, n, percent), "links")
@@ -209,12 +205,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str
     settled = tables.keep(work.components(links, tables, "first"), "settled")
 
     leaves = leaves_of(shared, tables)
-    leaves = leaves.join(settled, "node", "left").select("leaf", "node", "first", "n_shingles", F.coalesce("component", "node").alias("component"))
+    leaves = leaves.join(settled, "node", "left").select("leaf", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     tasks = tables.keep(tasks_of_open_leaves(tables.keep(leaves, "leaves")), "tasks")
     tables.drop("leaves", "settled", "shared", *(f"level-{level}" for level in range(LEVELS)))
     more = tables.keep(compare_blocks(tasks.join(texts, "node"), n, percent), "more")
     tables.drop("tasks", "texts", "distinct-texts", "named")
-    between = links.unionByName(more).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    a, b = (classes.select(F.col("node").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    between = links.unionByName(more).join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     final = tables.keep(work.components(between.unionByName(copies), tables, "all"), "found").withColumnRenamed("node", "doc_id")
     tables.drop("links", "more", "copies", "classes")
     found = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
@@ -222,13 +219,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, id_col: str
 
 
 def leaves_of(shared: DataFrame, tables: work.WorkTables) -> DataFrame:
-    """leaf, node, first, n_shingles of every tree's leaves with two classes at least: nodes of level 2, or of a deeper one where those hold more than LEAF."""
-    rows, out = shared.select("node", "first", "n_shingles", "nodes", "many"), None
+    """leaf, node, n_shingles of every tree's leaves with two classes at least: nodes of level 2, or of a deeper one where those hold more than LEAF."""
+    rows, out = shared.select("node", "n_shingles", "nodes", "many"), None
     for level in range(LEVELS - 1):
         leaf = F.col("nodes")[level].alias("leaf")
         last = level == LEVELS - 2
         own = rows.where("many > 1") if last else rows.where(f"many between 2 and {LEAF}")
-        own = own.select(leaf, "node", "first", "n_shingles")
+        own = own.select(leaf, "node", "n_shingles")
         out = own if out is None else out.unionByName(own)
         larger = rows.where(f"many > {LEAF}")
         if last or larger.isEmpty():

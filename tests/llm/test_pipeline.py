@@ -28,7 +28,7 @@ def test_stages(spark, doc_table, tmp_path):
     scores = {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()}
     left = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect() if not scores[r.doc_id]]
     assert not any(9000 <= i < 9040 for i, *_ in left) and sum(9500 <= i for i, *_ in left) >= 38
-    near = brute.near_duplicates([x[:2] for x in left])
+    near = brute.near_duplicates([x[:2] for x in left], corpus_pipeline.SIMILAR)
     left = [x for x in left if near[x[0]][1] == x[0]]
     cut = {r[0]: r for r in brute.remove_repeats([x[:2] for x in left])}
     left = [(i, " ".join(cut[i][4]) if cut[i][2] else t, g, s) for i, t, g, s in left if cut[i][2] < cut[i][1] or not cut[i][1]]
@@ -53,3 +53,28 @@ def test_near_duplicates_from_80_percent_on(spark):
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
     near = brute.near_duplicates(docs, 80)
     assert left == {i for i, (_, c) in near.items() if i == c} == {1, 3, 4}
+
+
+def write_tables(spark, docs, folder):
+    docs.select(corpus_pipeline.COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_tables(spark, with_odd_ids, no_docs, tmp_path):
+    """Null and repeated ids pass all stages, and an empty table gives an empty one."""
+    pytest.importorskip("public_tokenizers")
+    rows = corpus_pipeline.run(spark, write_tables(spark, with_odd_ids, tmp_path / "odd")).collect()
+    assert rows and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(rows[0].asDict())
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in with_odd_ids.select("doc_id").collect()}
+    assert corpus_pipeline.run(spark, write_tables(spark, no_docs, tmp_path / "none")).collect() == []
+
+
+def test_stages_keep_rows_without_an_id(spark, with_odd_ids):
+    """A null id is never a near duplicate, and nothing is cut from it."""
+    docs = with_odd_ids.select(corpus_pipeline.COLUMNS)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert near.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    cut = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert {r.text for r in cut.where("doc_id is null").collect()} == {"no id here at all"}
+    assert cut.columns == near.columns == corpus_pipeline.COLUMNS

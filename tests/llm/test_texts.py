@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -299,6 +300,30 @@ def test_toxicity_on_held_out_rows(spark, with_odd_ids, no_docs):
     assert [r.score for r in nothing] == [0.0]
 
 
+def test_toxicity_scores_equal_a_plain_network(spark):
+    """The scores of a trained model against a forward pass word by word."""
+    rows = labelled(spark, 200).collect()
+    model = toxicity.train([r.text for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows])
+    texts = ["", "one", *[r.text for r in rows[:20]], " ".join(r.text for r in rows[:60])]
+    found = model.scores(pa.array(texts))
+
+    def bucket(word):
+        return int(words.hashes(words.split(pa.array([word])))[0] >> np.uint64(40)) % toxicity.BUCKETS
+
+    for text, score in zip(texts, found):
+        own = [w for w in re.split(r"[\x00-\x20,.]+", text.lower()) if w]
+        vectors = [sum(table[bucket(w[:n])] for table, n in zip(model.tables, (None, 6, 4))) for w in own]
+        vectors += [np.zeros(toxicity.DIMS)] * max(0, 3 - len(vectors))
+        pooled = []
+        for width, kernel, bias in zip(toxicity.WIDTHS, model.kernels, model.biases):
+            sums = [bias + sum(vectors[i + j] @ kernel[j] for j in range(width)) for i in range(len(vectors) - width + 1)]
+            pooled += np.maximum(np.max(sums, axis=0), 0).tolist()
+        logit = float(np.dot(pooled, model.weights) + model.bias)
+        known = [sum(float(model.languages[bucket(w) % toxicity.LANGUAGE_BUCKETS, k]) for w in own) for k in range(model.languages.shape[1])]
+        expected = 1 / (1 + np.exp(-(logit - model.thresholds[int(np.argmax(known)) if own else 0])))
+        assert score == pytest.approx(expected, abs=1e-4)
+
+
 def test_licences(spark, with_odd_ids, no_docs, documents):
     notices = [(f, x) for f, own in licences.NOTICES.items() for x in own]
     filler = [" ".join(t.split()) for _, t in documents if t and len(t) > 200]
