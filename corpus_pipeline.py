@@ -59,7 +59,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     tables = work.WorkTables(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = tables.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
     return docs
