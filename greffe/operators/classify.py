@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import replies, rules
-from ..functions.text import norm_text, trim_base_url
+from ..functions.text import trim_base_url
 from .ranking import ranked
 
 #: A classifier takes a request (JSON, see request()) and returns the model's reply; it may raise.
@@ -204,8 +204,3 @@ def verdicts(replied: DataFrame, key: str = "id") -> DataFrame:
 
 def classify_pairs(pairs: DataFrame, classifier: Classifier = stub, options: Options = Options(), key: str = "id") -> DataFrame:
     return verdicts(call(pair_prompts(pairs), classifier, options, key), key)
-
-
-def same_text_first(df: DataFrame) -> DataFrame:
-    """Adds saute_modele: rows that a reference with the same text settles without the model."""
-    return df.withColumn("saute_modele", (norm_text("texte") == norm_text("ref_texte")) & (norm_text("texte") != ""))

@@ -49,6 +49,16 @@ def repeated(returned: DataFrame, key: str = "id") -> DataFrame:
     return returned.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def troubles(submitted: DataFrame, returned: DataFrame, key: str = "id") -> DataFrame:
+    """kind (missing, unknown or repeated) and id, a row for each id that did not come back exactly once."""
+    kinds = {"missing": missing(submitted, returned, key), "unknown": unknown(submitted, returned, key), "repeated": repeated(returned, key)}
+    rows = None
+    for kind, ids in kinds.items():
+        own = ids.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def warnings(submitted: DataFrame, returned: DataFrame, key: str = "id", block: int = 1000) -> DataFrame:
     """kind of trouble, n (of all its ids), and the ids in order, joined by commas: about block of them a row, one row if n is no more."""
     kinds = {"missing": missing(submitted, returned, key), "unknown": unknown(submitted, returned, key), "repeated": repeated(returned, key).select(key)}

@@ -31,10 +31,14 @@ def flag_counts(df: DataFrame, flag: str = "saute_modele", result: str = "result
     return df.agg(F.count_if(F.col(flag)).alias("n_sautes"), F.coalesce(F.bool_or(F.col(result).isNotNull()), F.lit(False)).alias("any_result"))
 
 
+def joined_authors(column: str = "auteurs") -> Column:
+    """The names joined by commas; a dash for none."""
+    return truthy(F.array_join(column, ", "), default="—")
+
+
 def display(df: DataFrame, rapporteur: bool = False) -> DataFrame:
     """The eight columns of the table."""
-    authors = truthy(F.array_join("auteurs", ", "), default="—")
-    authors = F.when(F.col("rapporteur"), "Rapporteur").otherwise(authors) if rapporteur else authors
+    authors = F.when(F.col("rapporteur"), "Rapporteur").otherwise(joined_authors()) if rapporteur else joined_authors()
     result = lambda name: F.col(f"resultat_ia.{name}")
     return df.select(
         F.coalesce("rang", result("rang")).alias("rang"), "numero", "article", authors.alias("auteurs"), F.coalesce(F.col("point_impact.type"), F.lit("—")).alias("point_impact"),

@@ -151,14 +151,27 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Displays and exports
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and auteurs: the names of an order's parts, of which there are few, in order."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("p_name")).alias("auteurs"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS k, string_agg(p_name, ', ' ORDER BY p_name) AS noms FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+ SELECT o_orderkey, coalesce(noms, '—') AS auteurs FROM orders LEFT JOIN a ON k = o_orderkey""")
+def authors_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-4, ARR-1, NRM-16: the joined names of all orders."""
+    rows = table(spark, sf_dir, "orders").join(part_names(spark, sf_dir), "o_orderkey", "left")
+    return rows.select("o_orderkey", report.joined_authors().alias("auteurs"))
+
+
 @query("""WITH a AS (SELECT l_orderkey AS k, string_agg(p_name, ', ' ORDER BY p_name) AS noms FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
  SELECT o_orderkey AS numero, CAST(CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 5 END ELSE o_orderkey % 1000 END AS INT) AS rang, CASE WHEN o_orderstatus = 'P' THEN 'Rapporteur' ELSE coalesce(noms, '—') END AS auteurs,
  CASE WHEN o_orderkey % 2 = 0 THEN 'article_entier' ELSE '—' END AS point_impact, CASE WHEN o_orderkey % 3 = 0 THEN '—' ELSE 'Identique' END AS statut,
  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'g' || (o_orderkey % 4) END AS groupe, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'j' END AS justification FROM orders LEFT JOIN a ON k = o_orderkey""")
 def display_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM-16/17, AGG-4, ARR-1: the columns of the table, with the names of an order's parts as authors."""
-    names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("p_name")).alias("auteurs"))
-    k = F.col("o_orderkey")
+    names, k = part_names(spark, sf_dir), F.col("o_orderkey")
     result = F.when(k % 3 != 0, F.struct(F.lit(5).alias("rang"), F.lit("Identique").alias("statut"), F.struct(F.concat(F.lit("g"), (k % 4).cast("string")).alias("groupe_id")).alias("groupe"), F.lit("j").alias("justification")))
     rows = table(spark, sf_dir, "orders").join(names, "o_orderkey", "left").select(
         k.alias("numero"), F.when(k % 7 != 0, k % 1000).cast("int").alias("rang"), F.lit("1").alias("article"), F.coalesce("auteurs", F.array().cast("array<string>")).alias("auteurs"), (F.col("o_orderstatus") == "P").alias("rapporteur"),
@@ -219,6 +232,15 @@ def batch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counts, groups and ranks
 
 
+@query("""WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 3 = 0)
+ SELECT 'missing' AS kind, doc_id AS id FROM documents ANTI JOIN t ON id = doc_id UNION ALL SELECT DISTINCT 'unknown', id FROM t ANTI JOIN documents ON doc_id = id UNION ALL SELECT 'repeated', id FROM t GROUP BY id HAVING count(*) > 1""")
+def reconciled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-5, DQ-4/5: every id that is missing, unknown or repeated."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    returned = labels.select(F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id")).unionByName(labels.where("id % 3 = 0"))
+    return merge.troubles(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), returned)
+
+
 @query(f"""WITH {RANKED}, k AS (SELECT count(*) OVER (PARTITION BY {norm("article")}, {norm("dispositif")}) >= 2 AS s, pos FROM r) SELECT count(*) FILTER (s) AS n_sautes, bool_or(pos % 7 = 0) AS any_result FROM k""")
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-3, FLT-6."""

@@ -46,11 +46,6 @@ def read_json_documents(spark: SparkSession, path: str, glob: str = "*.json") ->
     return unwrap(texts.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
-def read_attachments(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """Other files as whole texts: file, value."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-
-
 def read_mixed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, attachments) of a folder: JSON files as documents, where what is no list is one record; all other files as whole texts."""
     texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")

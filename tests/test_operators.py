@@ -74,6 +74,51 @@ def test_rtf_document(spark):
     assert lines.count(r"\par") == 5
 
 
+def test_a_written_document_is_the_document(spark, tmp_path):
+    """The lines that write_rtf() writes, with runs and headers across ranges of positions, against a plain walk."""
+    rng = random.Random(5)
+    rows = [(i, f"a{i}", str(1 + i // 700), str(i), None, "x", ["A"], False) for i in range(2500)]
+    kinds = []
+    while len(kinds) < len(rows):
+        kinds += [rng.choice([None, "g1", "g2"])] * rng.choice([1, 2, 3, 1500])
+    df = spark.createDataFrame([(*r, ("identiques", k) if k else None) for r, k in zip(rows, kinds)], DDL + ", groupe struct<type: string, groupe_id: string>")
+    decorated = {r._pos: (r.label, r.glyph) for r in groups.decorated(df).collect()}
+    for i, k in enumerate(kinds[: len(rows)]):
+        before, after = i and kinds[i - 1], kinds[i + 1] if i + 1 < len(rows) else None
+        expected = ("", "") if not k else ("Id.", "╓") if before != k else ("", "╙" if after != k else "║")
+        assert decorated[i] == expected, i
+    report.write_rtf(df, str(tmp_path / "rtf"), date=F.lit("01/02/2026"))
+    written = [r.value for r in spark.read.text(str(tmp_path / "rtf")).collect()]
+    assert "\n".join(written) == report.rtf_document(df, date=F.lit("01/02/2026")).first().document
+    assert sum("ARTICLE" in x for x in written) == 4
+
+
+def test_long_numbers_sort_as_numbers(spark):
+    from greffe.functions import text
+
+    numbers = [7, 10**19, 10**20 - 1, 10**20, 3 * 10**25, 10**25 + 1, 10**25, 42]
+    df = spark.createDataFrame([(str(n),) for n in numbers], "n string")
+    assert [int(r.n) for r in df.orderBy(text.natural_key("n")).collect()] == sorted(numbers)
+    ranked = ranking.ranked(df, {"t": ranking.thousands(text.natural_key("n"))}, [text.natural_key("n")])
+    assert [int(r.n) for r in ranked.orderBy("rang").collect()] == sorted(numbers)
+
+
+def test_corrective_retries_and_budget(spark):
+    import time
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(3)], "id long, prompt string").coalesce(1)
+
+    def late(body):
+        import json
+
+        return '{"statut": "Identique"}' if len(json.loads(body)["messages"]) == 3 else "non"
+
+    begun = time.time()
+    rows = classify.call(prompts, late, classify.Options(retries=2, pause_s=0.2)).collect()
+    assert {r.reply for r in rows} == {'{"statut": "Identique"}'} and time.time() - begun >= 1.0
+    assert {r.reply for r in classify.call(prompts, late).collect()} == {"non"}
+
+
 def test_merges(spark):
     records = sample(spark).select("id", "numero", "_pos")
     verdicts = spark.createDataFrame([("amdt-1", "Isolé", 1), ("amdt-1", "Identique", 2), ("zz", "Isolé", 3)], "id string, statut string, seq int")
