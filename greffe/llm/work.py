@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.lineage import new_folder
+
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory is bounded.
 ARROW_ROWS, ARROW_BYTES = "1000", "8388608"
 
@@ -24,17 +23,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local sessions where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def empty(spark: SparkSession, path: str) -> None:
     """Free what a Parquet table holds, through Spark's own writer, wherever the path lies."""
     spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
@@ -49,7 +37,7 @@ class WorkTables:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, label)
         self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
