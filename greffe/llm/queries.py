@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, mixing, neardup, neighbours, pieces, repeats, semantic, shards, toxicity, urls
+from . import bpe, divergence, licences, mixing, neardup, neighbours, pieces, repeats, semantic, shards, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_heavy_light_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +105,16 @@ SQL = {
  s AS (SELECT doc_id, max(b) FILTER (b < 16) AS shard, max(b) FILTER (b < 17) AS grown FROM j GROUP BY doc_id),
  r AS (SELECT doc_id, strlen(x) + 1 AS size, CAST({CRC.format(text="x")} AS BIGINT) AS text_crc32, CAST(shard AS INT) AS shard, CAST(grown AS INT) AS grown_shard FROM d JOIN s USING (doc_id), t)
  SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', doc_id, text_crc32, size))[1:15], doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM r""",
+    "op11_heavy_light_divergence": r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT id, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term), v AS (SELECT lang, count(*) AS v, sum(n) AS size FROM k GROUP BY lang), s AS (SELECT DISTINCT lang, source FROM d),
+ g AS (SELECT s.lang, s.source, coalesce(sum(n), 0) AS size FROM s LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY s.lang, s.source),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.size + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.size + 5 * v.v) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
     "op2_log_structured_repeats": f"""WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
  g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM w, unnest(range(1, len(w) - 11)) t(i)), f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
  gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (g), unnest(range(0, 13)) t(k) WHERE first < doc_id),
