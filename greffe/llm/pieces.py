@@ -5,10 +5,11 @@ same result without merging: one pass of an Aho-Corasick automaton gives the lon
 character; the encoder walks from left to right, takes the longest piece that is compatible with the one before it,
 falls back to shorter prefixes, and backtracks where none fits. A bitfield marks positions found to be dead ends, which
 are never tried again, so the work is linear. Two pieces are compatible if merging the characters of both again leaves
-exactly these two; that is decided by the merges themselves, so equal scores are as in the definition, and memoised.
+exactly these two; that is decided along the seam, by undoing the later merge beside it again and again, and memoised. Where
+several pieces share a score, all characters are merged again, as in the definition.
 
-A text is cut before each space that follows something else, if no piece of the model crosses such a place; words that
-come again are looked up. Characters that no piece has become their bytes. Normalisation other than the space that is
+A text is cut before each space that follows something else, if no piece of the model crosses such a place, and at ASCII
+characters that no piece has; words that come again are looked up. Characters that no piece has become their bytes. Normalisation other than the space that is
 put before a text is refused, as are pieces of the user's own.
 
 Null and empty texts give the begin and end ids alone. Rows are independent: repeated rows, ties, hot keys and further
@@ -19,20 +20,22 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import re
 import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import work
 
-#: Words and pairs of pieces that a Python worker remembers at most; then it starts afresh.
-REMEMBER_WORDS, REMEMBER_PAIRS = 300_000, 400_000
+#: Words that a Python worker remembers at most in each of two generations, and pairs of pieces; then it starts afresh.
+REMEMBER_WORDS, REMEMBER_PAIRS = 400_000, 400_000
 #: Longer words are encoded each time.
 REMEMBER_CHARS = 64
 #: What a space is to the model.
@@ -110,22 +113,38 @@ class Model:
         self.length = [len(x) for x in self.text]
         self.packed = [struct.pack("<I", i) for i in range(len(self.pieces))]
         self.packed += [self.as_bytes(x) for x in self.text[len(self.pieces) :]]
+        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
+        as_text = {UNKNOWN: lambda p: " ⁇ ", CONTROL: str, NORMAL: lambda p: p.replace(SPACE, " ")}
+        self.said = [bytes([int(p[3:5], 16)]) if k == BYTE else as_text[k](p).encode("utf-8") for p, k in zip(self.pieces, self.kinds)]
         self.trie = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.trie.add_word(piece, i)
+            if len(piece) > 1:
+                self.trie.add_word(piece, i)
         self.trie.make_automaton()
         self.shorter = [self._prefix(x) if self.ids.get(x) == i else -1 for i, x in enumerate(self.text)]
-        known = "".join(x for x in self.ids if len(x) == 1)
-        self.runs = regex.compile(f"[{regex.escape(known, special_only=False)}]+|(?s:.)")
-        crosses = any(f"{c}{SPACE}" in p for p in self.ids for c in set(p) - {SPACE})
-        self.cut = (lambda text: [text]) if crosses else regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.fits: dict[int, bool] = {}
+        self.chars = known = {x for x in self.ids if len(x) == 1}
+        times = Counter(self.score.values())
+        self.tied = {self.ids[p] for p, x in self.score.items() if len(p) > 1 and times[x] > 1}
+        self.crosses = any(f"{c}{SPACE}" in p for p in self.ids for c in set(p) - {SPACE})
+        alone = "".join(chr(x) for x in range(128) if chr(x) not in known and chr(x) != " ")
+        cut = f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+" + (f"|[{re.escape(alone)}]" if alone else "")
+        self.cut = (lambda text: [text]) if self.crosses else re.compile(cut).findall
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def as_bytes(self, char: str) -> bytes:
         """Ids of a character that is no piece: one for each of its bytes."""
         return b"".join(self.packed[self.byte[x]] for x in char.encode("utf-8"))
 
+    def runs(self, word: str) -> list[str]:
+        """The word cut at characters that no piece has."""
+        if self.chars.issuperset(word):
+            return [word]
+        return ["".join(own) for known, run in groupby(word, self.chars.__contains__) for own in ([run] if known else run)]
+
     def _prefix(self, piece: str) -> int:
         for n in range(len(piece) - 1, 0, -1):
             if piece[:n] in self.ids:
@@ -142,91 +161,133 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[x] for x in parts]
 
+    def joined(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces that a piece's last merge joins; itself twice for a character, None if merges never give it."""
+        if piece not in self.parts:
+            text = self.text[piece]
+            found: tuple[int, int] | None = (piece, piece)
+            if len(text) > 1:
+                parts, made = list(text), None
+                while len(parts) > 1:
+                    least, at = min((-self.score.get(parts[i] + parts[i + 1], -np.inf), i) for i in range(len(parts) - 1))
+                    if least == np.inf:
+                        break
+                    made = tuple(parts[at : at + 2])
+                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                found = (self.ids[made[0]], self.ids[made[1]]) if len(parts) == 1 else None
+            self.parts[piece] = found
+        return self.parts[piece]
+
+    def stay_apart(self, a: int, b: int) -> bool | None:
+        """What compatible() asks, from the merges along the seam; None where pieces share a score."""
+        if self.joined(a) is None or self.joined(b) is None:
+            return False
+        text, score = self.text, self.score.get
+        until, tied = None, self.tied
+        while True:
+            if a in tied or b in tied:
+                return None
+            own = score(text[a] + text[b])
+            if own is not None and (until is None or own > until[0] or own == until[0] and until[1]):
+                return False
+            late_a, late_b = (score(text[x]) if len(text[x]) > 1 else np.inf for x in (a, b))  # the worse score is the later merge
+            if late_a < late_b:
+                until, a = (late_a, False), self.joined(a)[1]
+            elif late_b < np.inf:  # of two merges of one score the right one is later, and the seam's comes before it
+                until, b = (late_b, True), self.joined(b)[0]
+            else:
+                return True
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging a's and b's characters again leaves a and b; a of -1 is the start of a word."""
-        key = (a + 1) << 32 | b
-        known = self.fits.get(key)
+        known = self.joined(b) is not None if a < 0 else self.stay_apart(a, b)
         if known is None:
-            known = self.by_merges(self.text[b]) == [b] if a < 0 else self.by_merges(self.text[a] + self.text[b]) == [a, b]
-            if len(self.fits) >= REMEMBER_PAIRS:
-                self.fits.clear()
-            self.fits[key] = known
+            known = self.by_merges(self.text[a] + self.text[b]) == [a, b]
+        if self.pairs >= REMEMBER_PAIRS:
+            self.pairs = 0
+            for own in self.fits.values():
+                own.clear()
+        self.pairs += 1
+        self.fits[a][b] = known
         return known
 
     def encode_run(self, word: str) -> list[int]:
         """word: characters that pieces have."""
-        n, length, shorter, fits = len(word), self.length, self.shorter, self.fits
-        longest = [-1] * n
+        n, length, shorter, fits, compatible = len(word), self.length, self.shorter, self.fits, self.compatible
+        longest = [self.ids[x] for x in word]
         for end, piece in self.trie.iter(word):  # of one start, the longest piece ends last
             longest[end + 1 - length[piece]] = piece
-        dead = bytearray(n // 8 + 1)
+        dead, any_dead = bytearray(n // 8 + 1), False
         out, at, piece, before = [], 0, longest[0], -1
         while True:
+            get = fits[before].get
             while piece >= 0:
-                to = at + length[piece]
-                if not dead[to >> 3] >> (to & 7) & 1:
-                    fit = fits.get((before + 1) << 32 | piece)
-                    if self.compatible(before, piece) if fit is None else fit:
-                        break
+                fit = get(piece)
+                if (compatible(before, piece) if fit is None else fit) and not (any_dead and dead[(at + length[piece]) >> 3] >> ((at + length[piece]) & 7) & 1):
+                    break
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                at, before = at + length[piece], piece
+                at += length[piece]
                 if at == n:
                     return out
-                piece = longest[at]
+                before, piece = piece, longest[at]
             else:
+                any_dead = True
                 dead[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()  # by the merges there is a way, so there is a piece before
                 before = out[-1] if out else -1
                 at -= length[piece]
                 piece = shorter[piece]
 
-    def word_ids(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
-        whole = self.ids.get(word)
-        if whole is not None and self.compatible(-1, whole):
-            ids = self.packed[whole]
-        else:
+    def word_ids(self, word: str, key: str) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit integers, remembered under the key."""
+        ids = self.older.get(key)
+        if ids is None:
             packed, found = self.packed, []
-            for run in self.runs.findall(word):
-                if run[0] in self.ids:
-                    found += [packed[x] for x in self.encode_run(run)]
-                else:
-                    found.append(self.as_bytes(run))
+            whole = self.ids.get(word)
+            if whole is not None and self.compatible(-1, whole):
+                found.append(packed[whole])
+            else:
+                for run in self.runs(word):
+                    found += [packed[x] for x in self.encode_run(run)] if run[0] in self.chars else [self.as_bytes(run)]
             ids = b"".join(found)
         if len(word) <= REMEMBER_CHARS:
             if len(self.seen) >= REMEMBER_WORDS:
-                self.seen.clear()
-            self.seen[word] = ids
+                self.older, self.seen = self.seen, {}
+            self.seen[key] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, packed."""
-        seen, make = self.seen.get, self.word_ids
-        words = self.cut((self.prefix + text).replace(" ", SPACE)) if text else []
-        return b"".join([self.packed[self.begin], *[seen(word) or make(word) for word in words], self.packed[self.end]])
+        seen, make, out = self.seen.get, self.word_ids, [self.packed[self.begin]]
+        if text and (self.crosses or not self.prefix or text[0] == " " or "  " in text or SPACE in text):
+            out += [seen(word) or make(word, word) for word in self.cut((self.prefix + text).replace(" ", SPACE))]
+        elif text:  # each word but the first of a later line follows one space
+            newline = self.ids.get("\n")
+            for at, line in enumerate(text.split("\n") if newline is None else [text]):
+                words = line.split(" ")
+                if at:
+                    out.append(self.as_bytes("\n"))
+                    if words[0]:
+                        out.append(seen(words[0]) or make(words[0], words[0]))
+                    del words[0]
+                # A key that starts with a space is a word's that follows one.
+                out += [seen(" " + word) or make(SPACE + word, " " + word) for word in words]
+        out.append(self.packed[self.end])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text that packed ids stand for, as the library's decoder gives it."""
-        out, data, start = [], bytearray(), True
-        for i in np.frombuffer(ids, dtype="<u4").tolist():
-            kind = self.kinds[i]
-            if kind == BYTE:
-                data.append(int(self.pieces[i][3:5], 16))
-                continue
-            if data:
-                out.append(data.decode("utf-8", "each_byte"))
-                data, start = bytearray(), False
-            if kind == CONTROL:
-                continue
-            piece = " ⁇ " if kind == UNKNOWN else self.pieces[i]
-            if start and self.prefix and kind == NORMAL:
-                piece = piece.removeprefix(SPACE)
-            start = False
-            out.append(piece.replace(SPACE, " "))
-        out.append(data.decode("utf-8", "each_byte"))
-        return "".join(out)
+        every = np.frombuffer(ids, dtype="<u4").tolist()
+        texts = []
+        for control, run in groupby(every, self.controls.__contains__):  # bytes on both sides of a control piece are apart
+            if not control:
+                texts.append(b"".join(map(self.said.__getitem__, run)).decode("utf-8", "each_byte"))
+        first = next((i for i in every if i not in self.controls), None)
+        drops = first is not None and self.prefix and self.kinds[first] == NORMAL and self.pieces[first].startswith(SPACE)
+        text = "".join(texts)
+        return text[1:] if drops else text
 
 
 def model(path: str) -> Model:
