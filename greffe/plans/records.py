@@ -70,6 +70,18 @@ def mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unionByName(others.select(F.lit("attachment").alias("kind"), text.strip("value").alias("content")))
 
 
+@query("""SELECT o_orderkey, 'first' AS snapshot, o_orderstatus AS statut FROM orders UNION ALL SELECT o_orderkey, 'last', CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 3 > 0""")
+def session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-9, SNK-3, STM-4: a session saved twice, the second time from itself; each snapshot stays as it was."""
+    folder = new_folder(spark, "session")
+    documents.save_session(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("statut")), folder)
+    schema = "o_orderkey long, statut string"
+    first = documents.restore_session(spark, folder, schema)
+    documents.save_session(first.where("o_orderkey % 3 > 0").withColumn("statut", F.expr("IF(o_orderkey % 2 = 0, 'x', statut)")), folder)
+    last = documents.restore_session(spark, folder, schema)
+    return first.withColumn("snapshot", F.lit("first")).unionByName(last.withColumn("snapshot", F.lit("last"))).select("o_orderkey", "snapshot", "statut")
+
+
 @query("SELECT n_nationkey, n_name, CAST(0 AS BIGINT) AS of_none FROM nation")
 def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-9, SNK-3, STM-4: what was saved comes back, and nothing where nothing was saved."""
@@ -402,16 +414,18 @@ def substantive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'Identique' ELSE 'Isolé' END AS statut FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.doc_id % 5 = 0 THEN 'Doublon' WHEN toxic = 1 THEN 'Identique' ELSE 'Isolé' END AS statut,
+ CAST(CASE WHEN l.doc_id % 5 = 0 THEN 3 WHEN l.doc_id IS NOT NULL THEN 2 END AS BIGINT) AS seq FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-1, STM-3, LIM-4: verdict files are merged as they come; of two verdicts on an id the later counts."""
+    """STM-1, STM-3: verdict files are merged as they come, in two runs on one output, the second with a checkpoint of its
+    own; of the verdicts on an id the largest seq counts, whenever it comes."""
     folder = new_folder(spark, "verdicts")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "Identique").otherwise("Isolé").alias("statut"))
-    labels.withColumns({"statut": F.lit("Erreur"), "seq": F.lit(1)}).coalesce(1).write.json(f"{folder}/in")
+    fifth = labels.where("id % 5 = 0").withColumns({"statut": F.lit("Doublon"), "seq": F.lit(3)})
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    fifth.write.json(f"{folder}/in")
+    labels.withColumn("seq", F.lit(2)).write.mode("append").json(f"{folder}/in")
     progress.follow_verdicts(spark, records, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    late = labels.withColumn("seq", F.lit(2)).coalesce(1)
-    late.write.mode("append").json(f"{folder}/in")
-    state = progress.latest_records(spark, f"{folder}/out").select("id")
-    progress.follow_verdicts(spark, state, f"{folder}/in", f"{folder}/later", f"{folder}/checkpoint-later").awaitTermination()
-    return progress.latest_records(spark, f"{folder}/later").select(F.col("id").cast("long").alias("doc_id"), F.col("resultat_ia.statut").alias("statut"))
+    labels.withColumns({"statut": F.lit("Erreur"), "seq": F.lit(1)}).write.json(f"{folder}/late")
+    progress.follow_verdicts(spark, None, f"{folder}/late", f"{folder}/out", f"{folder}/checkpoint-late").awaitTermination()
+    return progress.latest_records(spark, f"{folder}/out").select(F.col("id").cast("long").alias("doc_id"), F.col("resultat_ia.statut").alias("statut"), "seq")

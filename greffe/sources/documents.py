@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import ddl
+from .versions import Versions
+
 
 def entries(document: Column) -> Column:
     """The records of a parsed document as array<variant>; null if it has no known envelope. The first that fits wins."""
@@ -80,18 +82,23 @@ def import_warning(records: DataFrame, bad: DataFrame) -> str | None:
     return None if bad.isEmpty() else "some files are invalid and were skipped"
 
 
-def save_session(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def save_session(df: DataFrame, path: str, keep: int = 10) -> int:
+    """Save df as a new version of the session and return its number. df may read the session itself; a write that ends
+    early leaves the session as it was, and keep versions stay readable."""
+    session = Versions(df.sparkSession, path)
+    version = session.replace(df).version
+    session.expire(keep)
+    return version
 
 
-def restore_session(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The saved rows; none if nothing was saved. What was saved and can't be read is an error."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+def restore_session(spark: SparkSession, path: str, schema, version: int | None = None) -> DataFrame:
+    """The saved rows of a version, or of the last one; none if nothing was saved. What was saved and can't be read is an error."""
+    session = Versions(spark, path)
+    if version is None:
+        version = max(session.versions(), default=None)
+    if version is None:
         return spark.createDataFrame([], schema)
+    return session.read(version).to(ddl(schema) if isinstance(schema, str) else schema)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
