@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import replies, rules, text
-from ..operators import classify, doctrine, groups, merge, quality, ranking, report
+from ..operators import asking, classify, doctrine, groups, merge, quality, ranking, report
 from ..sources import documents, normalize
+from .lineage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -505,6 +506,19 @@ def classify_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_pairs(merge.with_reference(docs, ["lang"], ["auteur", "texte"], "doc_id"), key="doc_id").select("doc_id", "statut")
 
 
+@query(SQL["classify_stub"])
+def cancelled_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-4, STM-3, LLM-6, LLM-8: the same questions, at most four at a time; cancelled after the first slice, then resumed.
+    What was answered before is kept, so the rows are the union of both runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("auteur"), text.norm_text("text").alias("texte"))
+    asks = classify.pair_prompts(merge.with_reference(docs, ["lang"], ["auteur", "texte"], "doc_id"))
+    asks = ranking.ranked(asks, {"w": F.floor(F.col("doc_id") / 1000)}, [F.col("doc_id")])
+    slices = asking.Asking(spark, new_folder(spark, "asking"), "doc_id").prepare(asks, rows=2_000)
+    slices.resume(on_slice=lambda done: slices.cancel())
+    slices.resume()
+    return classify.verdicts(slices.answers(), "doc_id").select("doc_id", "statut")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
