@@ -130,7 +130,7 @@ def pair_prompts(pairs: DataFrame) -> DataFrame:
 
 def batch_prompts(records: DataFrame, within: list[str], rank: str = "rang", most: int = 50) -> DataFrame:
     """batch, n and prompt: a group's rows as JSON in order, most of them in a prompt at most."""
-    dealt = ranked(records, {"w": F.floor(F.col(rank) / 1000)}, [F.col(rank)], "__nth", within={c: F.col(c) for c in within})
+    dealt = ranked(records, [F.col(rank)], "__nth", within={c: F.col(c) for c in within})
     dealt = dealt.withColumn("batch", F.floor((F.col("__nth") - 1) / most).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct(rank, "id", "article", "numero", "texte")))
     return dealt.groupBy(*within, "batch").agg(F.count("*").alias("n"), F.to_json(rows).alias("prompt"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, norm_text, suffix_index
-from .ranking import numbered_by, ranked
+from .ranking import ranked
 
 #: How texts cite codes and laws.
 CODE = r"(?i)\bcode\s+(?:général\s+|de\s+|du\s+|des\s+|d['’]\s*)*([a-zéèàêûîôç' -]{3,40})"
@@ -24,7 +24,7 @@ def same_text(df: DataFrame) -> DataFrame:
     keyed = df.withColumns({"__a": norm_text("article"), "__d": F.nullif(norm_text("dispositif"), F.lit("")), "__who": author_key(F.col("auteurs"))})
     groups = keyed.groupBy("__a", "__d").agg(F.count("*").alias("members"), F.count_distinct("__who").alias("author_sets")).where("members > 1 and __d is not null")
     number = natural_key("numero")
-    copies = ranked(keyed, numbered_by(number, "_pos"), [number, F.col("_pos")], "copy", within={"a": F.col("__a"), "d": F.coalesce("__d", F.lit("")), "who": F.col("__who")})
+    copies = ranked(keyed, [number, F.col("_pos")], "copy", within={"a": F.col("__a"), "d": F.coalesce("__d", F.lit("")), "who": F.col("__who")})
     genre = F.when(F.col("members").isNull(), None).when(F.col("copy") > 1, "doublon").when(F.col("author_sets") > 1, "identiques").when(F.col("members") > 1, "doublon")
     return copies.join(groups, ["__a", "__d"], "left").withColumn("genre", genre).drop("__a", "__d", "__who")
 
@@ -32,7 +32,7 @@ def same_text(df: DataFrame) -> DataFrame:
 def order_of_identiques(df: DataFrame) -> DataFrame:
     """Adds place inside identical texts: the rapporteur first, then by number."""
     number, later = natural_key("numero"), ~F.coalesce("rapporteur", F.lit(False))
-    return ranked(df, {"r": later, **numbered_by(number, "_pos")}, [number, F.col("_pos")], "place", within={"a": norm_text("article"), "d": norm_text("dispositif")})
+    return ranked(df, [later, number, F.col("_pos")], "place", within={"a": norm_text("article"), "d": norm_text("dispositif")})
 
 
 def common_discussions(df: DataFrame) -> DataFrame:

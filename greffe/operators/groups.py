@@ -13,12 +13,12 @@ from .ranking import ranked
 def numbered_groups(df: DataFrame, keys: list[str], order: str, name: str = "groupe_no") -> DataFrame:
     """Adds the number of each row's group of two or more with equal keys, null for rows alone.
 
-    Groups are numbered from 1 in the order of their first member, which order, a number, gives. They are aggregated before
-    they are joined back, so a large group is no window of its own, and numbered a thousand first members at a time.
+    Groups are numbered from 1 in the order of their first member, which order gives. They are aggregated before
+    they are joined back, so a large group is no window of its own.
     Rows with a null key are alone.
     """
     groups = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__first")).where("__n >= 2")
-    numbers = ranked(groups, {"g": F.floor(F.col("__first") / 1000)}, [F.col("__first")], name).select(*keys, name)
+    numbers = ranked(groups, [F.col("__first")], name).select(*keys, name)
     return df.join(numbers, keys, "left")
 
 

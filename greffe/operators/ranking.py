@@ -2,46 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import rule_cascade
-from ..functions.text import LENGTH_DIGITS, legal_key, natural_key, truthy
-
-#: Digits that are dropped from a padded number to form ordered groups of a thousand.
-GROUP_DIGITS = 3
+from ..functions.text import legal_key, natural_key, truthy
+from ..plans.lineage import cut
 
 
-def ranked(df: DataFrame, coarse: dict[str, Column], fine: list[Column], name: str = "rang", within: dict[str, Column] | None = None) -> DataFrame:
-    """Adds the rank, from 1, in the order of (coarse, fine); within gives keys, for ranks among rows that agree in them.
+def ranked(df: DataFrame, keys: list[Column], name: str = "rang", within: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the rank, from 1, in the order of keys; within gives keys, for ranks among rows that agree in them.
 
-    coarse: leading sort keys that cut the rows into ordered groups. Groups are counted and their counts summed up in
-    order; rows are numbered within their group only. So the one window over everything sees a row a group.
+    Rows are dealt to ranges of (within, keys) whose bounds Spark samples, and sorted in each; a range's rows are numbered
+    as they pass, and the ranges' counts are summed up. So no task sees more than a range, however few values the leading
+    keys have; end keys with a position, and equal values split too. Keys are computed once, and the lineage is cut, as
+    counts and rows must come from one and the same deal. A group's own ranks begin at its least rank.
     """
     apart = {f"__in_{k}": c for k, c in (within or {}).items()}
-    keys = [*apart, *(f"__{k}" for k in coarse)]
-    df = df.withColumns(apart | {f"__{k}": c for k, c in coarse.items()})
-    over = Window.partitionBy(*apart).orderBy(*keys[len(apart) :]) if apart else Window.orderBy(*keys)
-    before = F.sum("count").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.groupBy(*keys).count().select(*(F.col(k).alias(f"{k}_s") for k in keys), F.coalesce(before, F.lit(0)).alias("__start"))
-    own = df.withColumn("__own", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine)))
-    same = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"{k}_s"))
-        same = test if same is None else same & test
-    out = own.join(starts, same).withColumn(name, (F.col("__start") + F.col("__own")).cast("int"))
-    return out.drop(*keys, *(f"{k}_s" for k in keys), "__start", "__own")
-
-
-def thousands(key: Column) -> Column:
-    """An ordered group of a natural key: its leading number without the last digits."""
-    digits = F.coalesce(F.substring(key, 1, LENGTH_DIGITS).try_cast("int"), F.lit(0))
-    return key.substr(F.lit(1), F.greatest(digits - GROUP_DIGITS, F.lit(0)) + LENGTH_DIGITS)
-
-
-def numbered_by(number: Column, position: str) -> dict[str, Column]:
-    """Coarse keys of (number, position): thousands of the number, and of the position among rows without one."""
-    return {"n": thousands(number), "w": F.when(number == "", F.floor(F.col(position) / 1000)).otherwise(0)}
+    order = {f"__key_{i}": c for i, c in enumerate(keys)}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumns(apart | order).repartitionByRange(parts, *apart, *order).sortWithinPartitions(*apart, *order)
+    numbered = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).drop(*order))  # the range in the upper bits, the row in the lower 33
+    in_range = F.shiftright("__at", 33)
+    counts = numbered.groupBy(in_range.alias("__range")).count().collect()  # a row a range
+    offsets, seen = [], 0
+    for row in sorted(counts):
+        offsets.append((row["__range"], seen))
+        seen += row["count"]
+    before = df.sparkSession.createDataFrame(offsets, "__range long, __before long")
+    out = numbered.withColumn("__range", in_range).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    if apart:
+        starts = out.groupBy(*apart).agg(F.min(name).alias("__start")).select(*(F.col(k).alias(f"{k}_s") for k in apart), "__start")
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_s")) for k in apart))
+        out = out.join(starts, same).withColumn(name, F.col(name) - F.col("__start") + 1).drop("__start", *(f"{k}_s" for k in apart))
+    return out.withColumn(name, F.col(name).cast("int")).drop("__at", "__range", "__before", *apart)
 
 
 def with_priority(df: DataFrame) -> DataFrame:
@@ -60,26 +56,24 @@ def presort(df: DataFrame, engine: str = "B", position: str = "_pos") -> DataFra
         text = F.col("texte") if "texte" in df.columns else F.lit(None).cast("string")
         df = df.withColumn("__rule", rule_cascade(text)).withColumns({"priorite": F.col("__rule.priority"), "action": F.col("__rule.action")}).drop("__rule")
         numero = F.coalesce("numero", F.lit(""))
-        return ranked(df, {"p": F.col("priorite"), "n": F.substring(numero, 1, 2)}, [numero, F.col(position)])
+        return ranked(df, [F.col("priorite"), numero, F.col(position)])
     df = with_priority(df)
     number = natural_key("numero")
     if engine == "B":
-        return ranked(df, {"a": natural_key("article"), "p": F.col("priorite"), **numbered_by(number, position)}, [number, F.col(position)])
+        return ranked(df, [natural_key("article"), F.col("priorite"), number, F.col(position)])
     alinea = F.col("point_impact.alinea") if "point_impact" in df.columns else F.col("alinea")
     later = ~F.coalesce("rapporteur", F.lit(False))
-    return ranked(df, {"a": legal_key("article"), "l": alinea, "p": F.col("priorite"), "r": later, **numbered_by(number, position)}, [number, F.col(position)])
+    return ranked(df, [legal_key("article"), alinea, F.col("priorite"), later, number, F.col(position)])
 
 
 def running_rank(df: DataFrame, flag: str = "saute_modele", position: str = "_pos", name: str = "rang") -> DataFrame:
     """Adds the rank in which rows are settled: those that the flag marks first, all others after them, each in input order."""
-    return ranked(df, {"later": ~F.coalesce(F.col(flag), F.lit(False)), "w": F.floor(F.col(position) / 1000)}, [F.col(position)], name)
+    return ranked(df, [~F.coalesce(F.col(flag), F.lit(False)), F.col(position)], name)
 
 
 def missing_last(df: DataFrame, rank: Column, position: str, name: str = "final_rank") -> DataFrame:
     """Final positions when rows are put in the order of rank, missing last."""
-    group = F.floor(F.coalesce(rank, F.lit(2147483647)) / 1000)
-    width = F.floor(F.col(position) / 1000)
-    return ranked(df, {"none": rank.isNull(), "g": group, "r": rank, "w": width}, [F.col(position)], name)
+    return ranked(df, [rank.isNull(), rank, F.col(position)], name)
 
 
 def moved(df: DataFrame, source: int, target: int, position: str = "_pos") -> DataFrame:

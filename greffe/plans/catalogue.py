@@ -108,7 +108,7 @@ def sort_engine_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_sort_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-3."""
     brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return ranking.ranked(brands, {"k": F.substring(text.natural_key("p_brand"), 1, 8)}, [text.natural_key("p_brand")])
+    return ranking.ranked(brands, [text.natural_key("p_brand")])
 
 
 SUFFIX = "coalesce(list_position(['bis', 'ter', 'quater', 'quinquies', 'sexies', 'septies', 'octies', 'nonies', 'decies'], regexp_extract({c}, '(bis|ter|quater)', 1)), 0)"
@@ -119,7 +119,7 @@ LEGAL = f"CAST(regexp_extract(article, '([0-9]+)', 1) AS INT), {SUFFIX.format(c=
 def legal_article_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-1."""
     articles = amendments(spark, sf_dir).select("article").distinct()
-    return ranking.ranked(articles, {"k": text.legal_key("article")}, [F.col("article")])
+    return ranking.ranked(articles, [text.legal_key("article"), F.col("article")])
 
 
 @query(f"WITH {AMENDMENTS} SELECT id, CAST(row_number() OVER (ORDER BY {LEGAL}, alinea, {prio('dispositif')}, rapporteur DESC, {nat('numero')}, pos) AS INT) AS rang FROM am")
@@ -425,7 +425,7 @@ def consecutive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.presort(amendments(spark, sf_dir), "B").withColumn("g", F.when(F.col("_pos") % 2 == 0, F.col("article")))
     ordered = doctrine.consecutive(rows, "g", "rang")
     lead, own = F.col("ordre.lead"), F.col("ordre.own")
-    return ranking.ranked(ordered, {"w": F.floor(lead / 1000), "l": lead, "o": F.floor(own / 1000)}, [own], "place").select("id", F.col("place").alias("ordre"))
+    return ranking.ranked(ordered, [lead, own], "place").select("id", F.col("place").alias("ordre"))
 
 
 @query("""WITH t AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS kind, CASE WHEN n_nationkey % 4 = 0 THEN (['commerce', 'travail'])[n_nationkey % 2 + 1] ELSE '' END AS code, CASE WHEN n_nationkey % 4 = 1 THEN 1970 + n_nationkey ELSE 0 END AS year FROM nation)
@@ -435,7 +435,7 @@ def additional_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     body = F.when(k % 4 == 0, F.when(k % 2 == 0, "Le code du commerce").otherwise("Le code du travail")).when(k % 4 == 1, F.concat(F.lit("La loi n° "), (1970 + k).cast("string"), F.lit("-12"))).when(k % 4 == 2, "Un rapport est remis").otherwise("Sans objet")
     rows = table(spark, sf_dir, "nation").select(k.alias("k"), doctrine.additional_key(body, F.lit("1"), F.lit(1)).alias("key"))
-    return ranking.ranked(rows, {"key": F.col("key")}, [F.col("k")]).select("k", "rang")
+    return ranking.ranked(rows, [F.col("key"), F.col("k")]).select("k", "rang")
 
 
 @query(f"""WITH {AMENDMENTS}, k AS (SELECT *, {norm("dispositif")} AS kd, {prio("dispositif")} AS p FROM am), t AS (SELECT *, count(*) OVER (PARTITION BY article, kd) AS n, row_number() OVER (PARTITION BY article, kd, auteur ORDER BY pos) AS c FROM k)
@@ -512,7 +512,7 @@ def cancelled_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     What was answered before is kept, so the rows are the union of both runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("auteur"), text.norm_text("text").alias("texte"))
     asks = classify.pair_prompts(merge.with_reference(docs, ["lang"], ["auteur", "texte"], "doc_id"))
-    asks = ranking.ranked(asks, {"w": F.floor(F.col("doc_id") / 1000)}, [F.col("doc_id")])
+    asks = ranking.ranked(asks, [F.col("doc_id")])
     slices = asking.Asking(spark, new_folder(spark, "asking"), "doc_id").prepare(asks, rows=2_000)
     slices.resume(on_slice=lambda done: slices.cancel())
     slices.resume()
