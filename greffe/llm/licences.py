@@ -2,8 +2,9 @@
 
 A paragraph's number is its line. A multinomial logistic regression on hashed word 1- and 2-grams, trained in numpy, gives
 a piece of text a licence family or none. It learns from the notices below, varied, and from a bounded sample of the
-corpus's own paragraphs as background. A prediction is confirmed by comparing the piece with its family's notices word by
-word. Two kinds of pieces are looked at: windows of each notice's own length that hold enough of its words, anywhere in a
+corpus's own paragraphs as background. A prediction is confirmed by aligning the piece with its family's notices: enough of
+a notice's words must stand there in the notice's order, all of them if it is short, and no word may stand there or beside
+it that makes another licence of it (ShareAlike, Lesser and the like). Two kinds of pieces are looked at: windows of each notice's own length that hold enough of its words, anywhere in a
 run of lines up to a line without words; and then lines, and runs of several lines, cut into pieces of PIECE words that
 overlap by half. Of pieces that overlap, the window that holds most counts, or else the first. A piece of the second kind
 that the model takes for a licence, but with less than the calibrated probability or without a confirming notice, counts
@@ -29,18 +30,24 @@ from .toxicity import PUNCTUATED
 
 #: Notices of licence families.
 NOTICES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This project is licensed under the MIT license.", "SPDX-License-Identifier: MIT"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License version 2."),
-    "lgpl": ("Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal."),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"),
+    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This project is licensed under the MIT license.", "The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GNU General Public License version 2."),
+    "lgpl": ("Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "BSD 3-Clause License", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+    "cc-by": ("Licensed under CC BY 4.0.", "CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("All rights reserved.", "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 }
+#: Words that make another licence of a notice, and their short forms.
+CHANGERS, SHORT_CHANGERS = "sharealike noderivatives noderivs noncommercial lesser affero", "sa nd nc"
 NONE = "none"
 FAMILIES = (NONE, *NOTICES)
 #: Words of a piece at most; bounds of the background sample; buckets; copies of a notice; rounds and rate of training.
@@ -49,6 +56,8 @@ BUCKETS, COPIES, ROUNDS, RATE, SEED = 1 << 16, 60, 4, 0.3, 3
 #: Share of a notice's words that a piece must hold, of a piece's words that the notice must hold, and the share of varied
 #: notices held back that the calibrated probability must let through.
 HELD, FILLED, LET_THROUGH = 0.75, 0.4, 0.98
+#: Words of a notice up to which all must be held; words on both sides of a piece in which a changing word counts.
+SHORT_NOTICE, BESIDE = 8, 2
 #: Parts of the families that are held back in turn, to calibrate what unknown families look like.
 FOLDS = 3
 
@@ -79,21 +88,23 @@ def overlapping(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(hashed: np.ndarray, cuts: np.ndarray) -> list[tuple[float, int, int, int]]:
     """(held, start, end, label) of windows as long as a notice that hold enough of it; of a notice's own none overlap."""
-    vocabulary = np.array(sorted(set().union(*(x for own in NOTICE_SETS.values() for x in own))), dtype=np.uint64)
+    vocabulary = np.array(sorted(set().union(*(x.words for own in TEMPLATES.values() for x in own))), dtype=np.uint64)
     place = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
     at = np.flatnonzero(vocabulary[place] == hashed)  # Words that some notice has; a window starts and ends with one.
     place, high = place[at], cuts[np.searchsorted(cuts, at, side="right")] if len(at) else at
     out = []
     for label, family in enumerate(NOTICES, 1):
-        for notice, marks, many in zip(NOTICE_SETS[family], NOTICE_MARKS[family], NOTICE_LENGTHS[family]):
-            own = np.isin(vocabulary, list(notice))[place]
-            mine, least = at[own], HELD * len(notice)
+        for notice in TEMPLATES[family]:
+            own = np.isin(vocabulary, list(notice.words))[place]
+            mine, many, least = at[own], len(notice.order), HELD * len(notice.words)
             stop = np.searchsorted(mine, np.minimum(mine + many, high[own]))
+            low = cuts[np.searchsorted(cuts, mine, side="right") - 1]
             rows = []
             for i in np.flatnonzero(stop - np.arange(len(mine)) >= least).tolist():
-                both = set(hashed[mine[i : stop[i]]].tolist())
-                if len(both) >= least and (not marks or both & marks):
-                    rows.append((len(both) / len(notice), int(mine[i]), int(mine[stop[i] - 1]) + 1, label))
+                a, b = int(mine[i]), int(mine[stop[i] - 1]) + 1
+                held = notice.held(hashed[a:b].tolist(), hashed[max(int(low[i]), a - BESIDE) : min(int(high[own][i]), b + BESIDE)].tolist())
+                if held:
+                    rows.append((held, a, b, label))
             out += apart_from(rows, np.zeros(len(hashed), dtype=bool))
     return out
 
@@ -149,30 +160,65 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def word_sets(texts: list[str]) -> list[frozenset[int]]:
+def word_lists(texts: list[str]) -> list[list[int]]:
     split = words.split(pa.array(texts, pa.string()), lower=True, gaps=PUNCTUATED)
     hashed = words.hashes(split)
-    return [frozenset(hashed[a:b].tolist()) for a, b in zip(split.docs[:-1].tolist(), split.docs[1:].tolist())]
+    return [hashed[a:b].tolist() for a, b in zip(split.docs[:-1].tolist(), split.docs[1:].tolist())]
 
 
-NOTICE_SETS = {family: word_sets(list(texts)) for family, texts in NOTICES.items()}
-#: Of each notice the words that no other family's notices have; one of them must be there, if there are any.
-NOTICE_MARKS = {family: [x.difference(*(y for other, own in NOTICE_SETS.items() if other != family for y in own)) for x in sets] for family, sets in NOTICE_SETS.items()}
-NOTICE_LENGTHS = {family: np.diff(words.split(pa.array(texts), lower=True, gaps=PUNCTUATED).docs).tolist() for family, texts in NOTICES.items()}
+def word_set(text: str) -> frozenset[int]:
+    return frozenset(word_lists([text])[0])
+
+
+CHANGING, SHORT_CHANGING = word_set(CHANGERS), word_set(SHORT_CHANGERS)
+
+
+@dataclass(frozen=True)
+class Notice:
+    order: tuple[int, ...]  # hashes of its words
+    words: frozenset[int]
+    marks: frozenset[int]  # words that no other family's notices have; one of them must be there, if there are any
+
+    def in_order(self, piece: list[int]) -> int:
+        """The most words of the notice that the piece holds in the notice's order: a longest common subsequence, in bits."""
+        masks: dict[int, int] = {}
+        for i, word in enumerate(self.order):
+            masks[word] = masks.get(word, 0) | 1 << i
+        full = row = (1 << len(self.order)) - 1
+        for word in piece:
+            both = row & masks.get(word, 0)
+            row = ((row + both) | (row - both)) & full
+        return len(self.order) - row.bit_count()
+
+    def held(self, piece: list[int], around: list[int]) -> float:
+        """The share of the notice that the piece holds; 0 if that is too little or the piece is of another licence.
+        around: the piece and the words beside it."""
+        many, own = len(self.order), set(piece)
+        if len(own & self.words) < HELD * len(self.words) or self.marks and not own & self.marks:
+            return 0.0
+        if not (self.words & (CHANGING | SHORT_CHANGING)) <= own or not (CHANGING & set(around) | SHORT_CHANGING & own) <= self.words:
+            return 0.0
+        found = self.in_order(piece)
+        return found / many if found >= (many if many <= SHORT_NOTICE else HELD * many) else 0.0
+
+
+def templates() -> dict[str, list[Notice]]:
+    lists = {family: word_lists(list(texts)) for family, texts in NOTICES.items()}
+    of = {family: frozenset(x for own in every for x in own) for family, every in lists.items()}
+    others = {family: frozenset().union(*(x for other, x in of.items() if other != family)) for family in of}
+    return {family: [Notice(tuple(x), frozenset(x), frozenset(x) - others[family]) for x in every] for family, every in lists.items()}
+
+
+TEMPLATES = templates()
 #: A short piece with one of these words may be a notice of an unknown family: it doesn't teach what no licence is.
-LICENCE_WORDS = word_sets(["license licence licensed licenced spdx copyright"])[0]
+LICENCE_WORDS = word_set("license licence licensed licenced spdx copyright")
 #: Words whose pieces are judged at once.
 AT_ONCE = 200_000
 
 
-def confirmed(piece: frozenset[int], family: str) -> float:
-    """How much of the best notice of the family the piece holds; 0 if too little either way."""
-    best = 0.0
-    for notice, marks in zip(NOTICE_SETS[family], NOTICE_MARKS[family]):
-        both = len(piece & notice)
-        if both >= HELD * len(notice) and both >= FILLED * len(piece) and (not marks or piece & marks):
-            best = max(best, both / len(notice))
-    return best
+def confirmed(piece: list[int], family: str) -> float:
+    """How much of the best notice of the family the piece holds in order; 0 if too little either way."""
+    return max((held for notice in TEMPLATES[family] if (held := notice.held(piece, piece)) and held * len(notice.order) >= FILLED * len(piece)), default=0.0)
 
 
 def varied(background: list[str], rng: np.random.Generator) -> tuple[list[str], list[int]]:
@@ -194,8 +240,8 @@ def varied(background: list[str], rng: np.random.Generator) -> tuple[list[str],
 
 def train(background: list[str]) -> Model:
     rng = np.random.default_rng(SEED)
-    own = zip(background, word_sets(background)) if background else ()
-    clean = [x for x, s in own if not any(confirmed(s, f) for f in NOTICES) and not (len(s) <= PIECE // 2 and s & LICENCE_WORDS)]
+    own = zip(background, word_lists(background)) if background else ()
+    clean = [x for x, s in own if not any(confirmed(s, f) for f in NOTICES) and not (len(set(s)) <= PIECE // 2 and LICENCE_WORDS.intersection(s))]
     texts, labels = varied(clean, rng)
     texts, labels = [*texts, *clean], np.array([*labels, *[0] * len(clean)])
     split = words.split(pa.array(texts, pa.string()), lower=True, gaps=PUNCTUATED)
@@ -303,13 +349,13 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
             for cuts in (by_line, by_run):
                 starts, ends = overlapping(cuts)
                 chance = model.of_ranges(hashed, starts, ends)
-                for i in np.flatnonzero(chance[:, 0] < 0.5).tolist():
+                for i in np.flatnonzero((chance[:, 0] < 0.5) & (chance.argmax(axis=1) > 0)).tolist():  # a family is likelier than none
                     a, b = int(starts[i]), int(ends[i])
                     if taken[a:b].any():
                         continue
                     taken[a:b] = True
                     label = 1 + int(chance[i, 1:].argmax())
-                    held = confirmed(frozenset(hashed[a:b].tolist()), FAMILIES[label])
+                    held = confirmed(hashed[a:b].tolist(), FAMILIES[label])
                     known = held > 0 and chance[i, label] >= model.least
                     add(a, FAMILIES[label] if known else "unknown", chance[i, label], held)
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("held", pa.float64())]))
