@@ -87,6 +87,20 @@ def write_json(df: DataFrame, path: str, position: str = "_pos") -> None:
     json_lines(df, position).orderBy(position).select("json").write.text(path)
 
 
+def write_json_document(df: DataFrame, path: str, position: str = "_pos", name: str = "amendements") -> None:
+    """Write {"amendements": [...]} as one document of any size: its files in the order of their names, one after the other.
+
+    Rows are range-sorted by position; head and foot are the rows before and after all, and each record but the first,
+    whose position is the least, follows a comma.
+    """
+    least = df.agg(F.min(position).alias("__least"))
+    record = F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")]))
+    lines = df.select(F.lit(1).alias("block"), F.col(position).alias("position"), record.alias("record")).crossJoin(least)  # one row
+    lines = lines.select("block", "position", F.concat(F.when(F.col("position") == F.col("__least"), "").otherwise(","), "record").alias("line"))
+    edge = lambda block, line: df.sparkSession.range(1).select(F.lit(block).alias("block"), F.lit(None).cast(df.schema[position].dataType).alias("position"), F.lit(line).alias("line"))
+    lines.unionByName(edge(0, f'{{"{name}": [')).unionByName(edge(2, "]}")).orderBy("block", "position").select("line").write.text(path)
+
+
 def json_document(df: DataFrame, position: str = "_pos") -> DataFrame:
     """{"amendements": [...]} of one batch that fits in a row, indented by two spaces, and its file name; see write_json() for more."""
     kept = F.struct(*[c for c in df.columns if not c.startswith("_")])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import replies, rules, text
 from ..operators import classify, doctrine, groups, merge, quality, ranking, report
 from ..schema import VERDICT_DDL, ddl
-from ..sources import documents, normalize
+from ..sources import documents, large, normalize
 from ..streaming import progress
 from .catalogue import AMENDMENTS, RANKED, STATUS, amendments, envelopes, norm, prio, query, reply_of, statuses, table
 from .lineage import cut, new_folder
@@ -45,6 +45,16 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.provenance(records).select("label", F.lit(documents.import_warning(records, bad)).alias("warning"))
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS idx, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || ', "' || o_orderpriority || '" [\\{' AS texte FROM orders""")
+def document_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1, SRC-2, SNK-1: one document of all orders, written by many tasks and read again by ranges."""
+    folder = new_folder(spark, "document")
+    status = F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('" [\\{'))
+    report.write_json_document(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_pos"), F.col("o_orderkey").cast("string").alias("id"), status.alias("texte")), folder)
+    found, _ = large.read_large_documents(spark, folder, "part-*", joined=True)
+    return found.select(F.col("_index").alias("idx"), *(F.try_variant_get("raw", f"$.{c}", "string").alias(c) for c in ("id", "texte")))
+
+
 @query("SELECT CAST(0 AS INT) AS idx, 'U' || n_nationkey AS id, CAST(n_nationkey AS VARCHAR) AS numero FROM nation WHERE n_nationkey = 3")
 def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-5: one file."""

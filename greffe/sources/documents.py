@@ -44,13 +44,13 @@ def unwrap(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Every file is one document; unreadable ones go to the quarantine and the others load."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    texts = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return unwrap(texts.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
 def read_mixed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, attachments) of a folder: JSON files as documents, where what is no list is one record; all other files as whole texts."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     is_json = F.lower("file").endswith(".json")
     parsed = texts.where(is_json).withColumn("doc", F.try_parse_json("value"))
     many = F.when(F.coalesce(F.schema_of_variant("doc"), F.lit("")).startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>")).when(F.col("doc").isNotNull(), F.array("doc"))
@@ -103,4 +103,4 @@ def restore_session(spark: SparkSession, path: str, schema, version: int | None
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """The rules' text, one row a file."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)

@@ -28,6 +28,16 @@ def test_envelopes(spark, tmp_path):
     assert documents.provenance(records).first().label == "10 fichiers JSON"
 
 
+def test_documents_of_several_lines(spark, tmp_path):
+    """A file is a document, however many lines it has; so are attachments and rules."""
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "a"}, {"id": "b"}], indent=2))
+    (tmp_path / "r.md").write_text("one\ntwo\n")
+    assert documents.read_json_documents(spark, str(tmp_path))[0].count() == 2
+    records, attachments = documents.read_mixed(spark, str(tmp_path))
+    assert records.count() == 2 and [r.value for r in attachments.collect()] == ["one\ntwo\n"]
+    assert [r.value for r in documents.read_rules(spark, str(tmp_path / "r.md")).collect()] == ["one\ntwo\n"]
+
+
 def flat(spark, record, tags=False):
     df = spark.createDataFrame([(0, json.dumps(record))], "_pos long, value string").select("_pos", F.try_parse_json("value").alias("raw"))
     return normalize.normalize(df, tags=tags).first()
