@@ -52,7 +52,7 @@ NONE = "none"
 FAMILIES = (NONE, *NOTICES)
 #: Words of a piece at most; bounds of the background sample; buckets; copies of a notice; rounds and rate of training.
 PIECE, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_PIECES = 48, 1_000, 16_384, 8_000
-BUCKETS, COPIES, ROUNDS, RATE, SEED = 1 << 16, 60, 4, 0.3, 3
+BUCKETS, COPIES, ROUNDS, RATE, SEED = 1 << 16, 30, 4, 0.3, 3
 #: Share of a notice's words that a piece must hold, of a piece's words that the notice must hold, and the share of varied
 #: notices held back that the calibrated probability must let through.
 HELD, FILLED, LET_THROUGH = 0.75, 0.4, 0.98
@@ -88,24 +88,31 @@ def overlapping(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(hashed: np.ndarray, cuts: np.ndarray) -> list[tuple[float, int, int, int]]:
     """(held, start, end, label) of windows as long as a notice that hold enough of it; of a notice's own none overlap."""
-    vocabulary = np.array(sorted(set().union(*(x.words for own in TEMPLATES.values() for x in own))), dtype=np.uint64)
-    place = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
-    at = np.flatnonzero(vocabulary[place] == hashed)  # Words that some notice has; a window starts and ends with one.
-    place, high = place[at], cuts[np.searchsorted(cuts, at, side="right")] if len(at) else at
-    out = []
+    place = np.minimum(np.searchsorted(VOCABULARY, hashed), len(VOCABULARY) - 1)
+    at = np.flatnonzero(VOCABULARY[place] == hashed)  # Words that some notice has; a window starts and ends with one.
+    place = place[at]
+    seen, out = np.bincount(place, minlength=len(VOCABULARY)) > 0, []
     for label, family in enumerate(NOTICES, 1):
         for notice in TEMPLATES[family]:
-            own = np.isin(vocabulary, list(notice.words))[place]
-            mine, many, least = at[own], len(notice.order), HELD * len(notice.words)
-            stop = np.searchsorted(mine, np.minimum(mine + many, high[own]))
-            low = cuts[np.searchsorted(cuts, mine, side="right") - 1]
+            if not (seen & ANCHORED[notice]).any():
+                continue
+            # A window that holds enough of the notice holds one of its anchors.
+            hits = at[ANCHORED[notice][place]]
+            many, least = len(notice.order), HELD * len(notice.words)
+            mine = at[HAS[notice][place]]
+            mine = mine[np.searchsorted(hits, mine + many) > np.searchsorted(hits, mine)]
+            run = np.searchsorted(cuts, mine, side="right")
+            high, low = cuts[run], cuts[run - 1]
+            every = at[HAS[notice][place]]
+            first = np.searchsorted(every, mine)
+            stop = np.searchsorted(every, np.minimum(mine + many, high))
             rows = []
-            for i in np.flatnonzero(stop - np.arange(len(mine)) >= least).tolist():
-                a, b = int(mine[i]), int(mine[stop[i] - 1]) + 1
-                held = notice.held(hashed[a:b].tolist(), hashed[max(int(low[i]), a - BESIDE) : min(int(high[own][i]), b + BESIDE)].tolist())
+            for i in np.flatnonzero(stop - first >= least).tolist():
+                a, b = int(mine[i]), int(every[stop[i] - 1]) + 1
+                held = notice.held(hashed[a:b].tolist(), hashed[max(int(low[i]), a - BESIDE) : min(int(high[i]), b + BESIDE)].tolist())
                 if held:
                     rows.append((held, a, b, label))
-            out += apart_from(rows, np.zeros(len(hashed), dtype=bool))
+            out += apart_from(rows, np.zeros(len(hashed), dtype=bool)) if rows else []
     return out
 
 
@@ -210,6 +217,25 @@ def templates() -> dict[str, list[Notice]]:
 
 
 TEMPLATES = templates()
+VOCABULARY = np.array(sorted(set().union(*(x.words for own in TEMPLATES.values() for x in own))), dtype=np.uint64)
+HAS = {x: np.isin(VOCABULARY, list(x.words)) for own in TEMPLATES.values() for x in own}
+
+
+def anchors() -> dict[Notice, np.ndarray]:
+    """For each notice its longest words, of which a window that holds enough of it must hold one: all words are needed of a
+    short notice, so one does; of others so many words may be missing, and one more."""
+    out = {}
+    for family, every in TEMPLATES.items():
+        for notice, text in zip(every, NOTICES[family]):
+            split = words.split(pa.array([text]), lower=True, gaps=PUNCTUATED)
+            sizes = dict(zip(notice.order, (split.ends - split.starts).tolist()))
+            rare = sorted(notice.words, key=lambda x: (-sizes[x], x))
+            missing = 0 if len(notice.order) <= SHORT_NOTICE else int((1 - HELD) * len(notice.words))
+            out[notice] = np.isin(VOCABULARY, rare[: missing + 1])
+    return out
+
+
+ANCHORED = anchors()
 #: A short piece with one of these words may be a notice of an unknown family: it doesn't teach what no licence is.
 LICENCE_WORDS = word_set("license licence licensed licenced spdx copyright")
 #: Words whose pieces are judged at once.
@@ -218,7 +244,9 @@ AT_ONCE = 200_000
 
 def confirmed(piece: list[int], family: str) -> float:
     """How much of the best notice of the family the piece holds in order; 0 if too little either way."""
-    return max((held for notice in TEMPLATES[family] if (held := notice.held(piece, piece)) and held * len(notice.order) >= FILLED * len(piece)), default=0.0)
+    own = set(piece)
+    near = (x for x in TEMPLATES[family] if len(own & x.words) >= HELD * len(x.words))
+    return max((held for notice in near if (held := notice.held(piece, piece)) and held * len(notice.order) >= FILLED * len(piece)), default=0.0)
 
 
 def varied(background: list[str], rng: np.random.Generator) -> tuple[list[str], list[int]]:
