@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, norm_text, suffix_index
@@ -99,6 +101,65 @@ def fallen_pairs(df: DataFrame) -> DataFrame:
     return causes.join(df, "article").where(applies & (F.col("id") != F.col("cause"))).select("cause", F.col("id").alias("fallen"))
 
 
+#: How texts name one alinéa or several.
+ALINEAS = r"(?i)alin[ée]as?\s+([0-9]{1,9})(?:er)?(?:\s*(?:à|et|-)\s*(?:l['’]alin[ée]a\s+)?([0-9]{1,9}))?"
+
+
+def impact_range(text: Column, alinea: Column | None = None) -> Column:
+    """Struct(first, last) of the alinéas that a text is about, or else of the one given; null if there is none."""
+    first, last = (F.regexp_extract(text, ALINEAS, i).try_cast("int") for i in (1, 2))
+    other = F.coalesce(last, first)
+    found = F.when(first.isNotNull(), F.struct(F.least(first, other).alias("first"), F.greatest(first, other).alias("last")))
+    return found if alinea is None else F.coalesce(found, F.when(alinea.isNotNull(), F.struct(alinea.cast("int").alias("first"), alinea.cast("int").alias("last"))))
+
+
+def range_discussions(df: DataFrame, impact: str = "impact") -> DataFrame:
+    """Adds overlaps, how many other rows of the article have a range that meets the row's own, and groupe_id of rows whose
+    ranges hang together in a chain of such, two rows at least.
+
+    Rows are counted by article and range first, and an article has as many starts and ends of ranges as alinéas at most,
+    however many rows it has. Those that meet a range are all but those that end before it or start after it, so running
+    counts of ends and starts give overlaps without pairs. A chain ends where all ranges so far have ended.
+    """
+    first, last = F.col(f"{impact}.first"), F.col(f"{impact}.last")
+    counted = df.where(F.col(impact).isNotNull()).groupBy("article", first.alias("first"), last.alias("last")).agg(F.count("*").alias("n"))
+    points = counted.select("article", F.explode(F.array(F.struct(F.col("first").alias("point"), F.col("n").alias("starts"), F.lit(0).cast("long").alias("ends"), F.col("last").alias("upto")), F.struct(F.col("last").alias("point"), F.lit(0).cast("long").alias("starts"), F.col("n").alias("ends"), F.lit(None).cast("int").alias("upto")))).alias("x"))
+    points = points.groupBy("article", "x.point").agg(F.sum("x.starts").alias("starts"), F.sum("x.ends").alias("ends"), F.max("x.upto").alias("upto"))
+    up = Window.partitionBy("article").orderBy("point")
+    before, down = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("article").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("point") > F.max("upto").over(before), F.lit(True)) & (F.col("starts") > 0)
+    points = points.select("article", "point", "starts", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("ended"), F.coalesce(F.sum("starts").over(down), F.lit(0)).alias("later"), new.cast("int").alias("new"), "upto")
+    points = points.withColumn("chain", F.sum("new").over(up))
+    chains = points.groupBy("article", "chain").agg(F.min("point").alias("from"), F.max("upto").alias("to"), F.sum("starts").alias("members"))
+    left = points.join(chains, ["article", "chain"]).select("article", F.col("point").alias("first"), "ended", "from", "to", "members")
+    right = points.select("article", F.col("point").alias("last"), "later")
+    of_range = counted.join(left, ["article", "first"]).join(right, ["article", "last"])
+    total = counted.groupBy("article").agg(F.sum("n").alias("whole"))
+    name = F.concat(group_name("discussion-commune", F.col("article"), F.col("from")), F.when(F.col("to") > F.col("from"), F.concat(F.lit("-"), F.col("to").cast("string"))).otherwise(""))
+    of_range = of_range.join(total, "article").select("article", F.struct("first", "last").alias(impact), (F.col("whole") - F.col("ended") - F.col("later") - 1).alias("overlaps"), F.when(F.col("members") > 1, name).alias("groupe_id"))
+    return df.drop("overlaps", "groupe_id").join(of_range, ["article", impact], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
+
+
+def falls_in_order(df: DataFrame, rank: str = "rang") -> DataFrame:
+    """id, cause and kind of the rows that fall when all are put to the vote in the order of rank and whatever has not
+    fallen is adopted: a fallen row makes nothing fall.
+
+    An article's first suppression fells all later rows of it; an alinéa's first suppression, if it has not fallen, all
+    later rows on it; an alinéa's first rewriting, if it has not fallen, the later ones of lower rank on it. Only first ones
+    matter, as what comes later has fallen or changes nothing. The first cause fells. Least ranks are aggregated and joined
+    back, so no pairs are formed and no window sees an article.
+    """
+    first = lambda priority, name: F.min(F.when(F.col("priorite") == priority, F.struct(F.col(rank).alias("at"), F.col("id").alias("cause")))).alias(name)
+    articles = df.groupBy("article").agg(first(1, "whole"))
+    alineas = df.where("alinea is not null").groupBy("article", "alinea").agg(first(3, "gone"), first(4, "anew"))
+    rows = df.join(articles, "article", "left").join(alineas, ["article", "alinea"], "left")
+    stands = lambda cause, *others: F.when(reduce(Column.__and__, (F.coalesce(F.col(f"{cause}.at") < F.col(f"{o}.at"), F.lit(True)) for o in others)), F.col(cause))
+    rows = rows.withColumn("gone", stands("gone", "whole")).withColumn("anew", stands("anew", "whole", "gone"))
+    hit = lambda cause, kind, more=F.lit(True): F.when((F.col(rank) > F.col(f"{cause}.at")) & more, F.struct(F.col(f"{cause}.at").alias("at"), F.col(f"{cause}.cause").alias("cause"), F.lit(kind).alias("kind")))
+    fell = F.array_min(F.array_compact(F.array(hit("whole", "article"), hit("gone", "alinea"), hit("anew", "redaction", F.col("priorite") == 5))))
+    return rows.select("id", fell.alias("fell")).where("fell is not null").select("id", "fell.cause", "fell.kind")
+
+
 def additional_key(text: Column, article: Column, rank: Column) -> Column:
     """Struct that sorts additional articles: by code, then law (oldest first), then the rest, then reports."""
     code = F.lower(F.trim(F.regexp_extract(text, CODE, 1)))

@@ -421,6 +421,31 @@ def substantive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_pairs(pairs, key="id").select("id", "statut")
 
 
+@query(f"""WITH {AMENDMENTS}, t AS (SELECT id, article, CAST(regexp_extract(numero, '([0-9]+)$', 1) AS BIGINT) AS k FROM am), r AS (SELECT id, article, CAST(k % 47 * 3 AS INT) AS a, CAST(k % 47 * 3 + k % 3 AS INT) AS b FROM t WHERE k % 5 > 0),
+ o AS (SELECT x.id, count(y.id) AS n FROM r x LEFT JOIN r y ON x.article = y.article AND x.id <> y.id AND x.a <= y.b AND y.a <= x.b GROUP BY x.id),
+ i AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY article ORDER BY a, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY article ORDER BY a, id) AS chain FROM i), g AS (SELECT article, chain, min(a) AS f, max(b) AS l, count(*) AS m FROM c GROUP BY article, chain)
+ SELECT t.id, r.a AS first, r.b AS last, coalesce(o.n, 0) AS overlaps, CASE WHEN m > 1 THEN 'discussion-commune-art' || replace(t.article, ' ', '') || '-al' || f || CASE WHEN l > f THEN '-' || l ELSE '' END END AS groupe_id
+ FROM t LEFT JOIN r ON r.id = t.id LEFT JOIN o ON o.id = t.id LEFT JOIN c ON c.id = t.id LEFT JOIN g ON g.article = c.article AND g.chain = c.chain""")
+def impact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-4, RUL-1: ranges of alinéas that a text names, and the discussions of an article whose ranges meet."""
+    k = F.col("_pos")
+    a = (k % 47 * 3).cast("string")
+    body = F.when(k % 5 == 0, "Supprimer cet article").when(k % 3 == 0, F.concat(F.lit("Rédiger ainsi l'alinéa "), a)).when(k % 3 == 1, F.concat(F.lit("Supprimer les alinéas "), a, F.lit(" et "), (k % 47 * 3 + 1).cast("string"))).otherwise(F.concat(F.lit("Supprimer les alinéas "), a, F.lit(" à "), (k % 47 * 3 + 2).cast("string"), F.lit(" de l'article 9")))
+    rows = amendments(spark, sf_dir).withColumn("impact", doctrine.impact_range(body))
+    return doctrine.range_discussions(rows).select("id", "impact.first", "impact.last", "overlaps", "groupe_id")
+
+
+@query(f"""WITH RECURSIVE {RANKED.replace("WITH ", "")}, n AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY rang) AS k FROM r),
+ s AS (SELECT article, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS cause, CAST(NULL AS VARCHAR) AS kind, CAST([] AS STRUCT(r INT, al INT, kind VARCHAR, cause VARCHAR)[]) AS seen FROM (SELECT DISTINCT article FROM n)
+  UNION ALL SELECT article, k, id, hit.cause, hit.kind, CASE WHEN hit IS NULL AND p IN (1, 3, 4) THEN list_append(seen, struct_pack(r := rang, al := alinea, kind := (['article', '', 'alinea', 'redaction'])[p], cause := id)) ELSE seen END
+  FROM (SELECT n.article, n.k, n.id, n.p, n.rang, n.alinea, s.seen, list_sort(list_filter(s.seen, lambda x: x.kind = 'article' OR x.al = n.alinea AND (x.kind = 'alinea' OR n.p = 5)))[1] AS hit FROM s JOIN n ON n.article = s.article AND n.k = s.k + 1))
+ SELECT id, cause, kind FROM s WHERE cause IS NOT NULL""")
+def falls_by_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-9: what falls when amendments are voted in order, where what has fallen makes nothing fall."""
+    return doctrine.falls_in_order(ranking.presort(amendments(spark, sf_dir), "B"))
+
+
 # Streaming
 
 
