@@ -149,6 +149,12 @@ class Model:
         sums = np.add.reduceat(self.weights[one] + self.weights[two], starts[:-1], axis=0)
         return softmax(sums / np.sqrt(np.diff(starts))[:, None] + self.bias)
 
+    def holds_once(self, piece: np.ndarray) -> bool:
+        """Whether some family is likelier than none, and none less than even, if each word and pair of the piece counts once:
+        what is repeated over and over must not add up to a licence."""
+        one, two = (np.unique(x) for x in grams(piece, np.array([0, len(piece)])))
+        chance = softmax(((self.weights[one].sum(axis=0) + self.weights[two].sum(axis=0)) / np.sqrt(len(one)) + self.bias)[None])[0]
+        return chance[0] < 0.5 and chance.argmax() > 0
 
     def of_ranges(self, hashed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Probabilities of pieces that may overlap, none of them empty."""
@@ -379,7 +385,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
                 chance = model.of_ranges(hashed, starts, ends)
                 for i in np.flatnonzero((chance[:, 0] < 0.5) & (chance.argmax(axis=1) > 0)).tolist():  # a family is likelier than none
                     a, b = int(starts[i]), int(ends[i])
-                    if taken[a:b].any():
+                    if taken[a:b].any() or not model.holds_once(hashed[a:b]):
                         continue
                     taken[a:b] = True
                     label = 1 + int(chance[i, 1:].argmax())
