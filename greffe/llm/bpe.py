@@ -156,6 +156,10 @@ class Coder:
             self.seen[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Free what was remembered: a Python worker goes on to other work, and keeps its coder."""
+        self.seen, self.fits = {}, {}
+
     def encode(self, text: str) -> bytes:
         seen, make = self.seen.get, self.word_ids
         return b"".join([seen(word) or make(word) for word in self.find(text)])
@@ -222,5 +226,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 every.append(ids if with_ids else b"")
             found = [pa.array(many, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(every, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found[: len(added)]], schema.names)
+        code.forget()
 
     return chosen.mapInArrow(run, schema)
