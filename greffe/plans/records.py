@@ -45,6 +45,26 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.provenance(records).select("label", F.lit(documents.import_warning(records, bad)).alias("warning"))
 
 
+@query("""WITH o AS (SELECT *, CAST(o_custkey % 97 AS VARCHAR) AS file, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderkey) - 1 AS i FROM orders), f AS (SELECT file, count(*) AS n FROM o WHERE CAST(file AS INT) % 9 < 7 GROUP BY file),
+ s AS (SELECT file, coalesce(sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+ SELECT file, CAST(s.before + i AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason FROM o JOIN s USING (file)
+ UNION ALL SELECT DISTINCT file, CAST(NULL AS BIGINT), NULL, CASE CAST(file AS INT) % 9 WHEN 7 THEN 'not JSON' ELSE 'no known envelope' END FROM o WHERE CAST(file AS INT) % 9 >= 7""")
+def folder_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1, SRC-2, SRC-3, SET-2, NRM-11: all orders as files of several lines, two kinds of nine unreadable, numbered over all files."""
+    folder, file = new_folder(spark, "orders"), (F.col("o_custkey") % 97).cast("string")
+    records = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey"))), lambda x: F.struct(x["o_orderkey"].cast("string").alias("uid")))
+    texts = table(spark, sf_dir, "orders").groupBy(file.alias("file")).agg(records.alias("r")).withColumn("kind", F.col("file").cast("int") % 9)
+    listed = F.to_json("r", {"pretty": "true"})
+    named = lambda *names: F.concat(*(F.lit(f'{{\n  "{n}": ') for n in names), listed, F.lit("}" * len(names)))
+    kinds = {0: listed, 1: named("amendments"), 2: named("amendements"), 3: named("amendements", "amendement"), 4: named("amendement"), 7: F.concat(F.lit("["), listed), 8: named("others")}
+    body = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in kinds.items()), listed)
+    texts.select("file", body.alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    found, bad = documents.read_json_documents(spark, folder, "*.txt")  # a folder a file
+    own = F.regexp_extract("file", "file=([^/]*)/", 1).alias("file")
+    found = documents.positions(cut(found)).select(own, F.col("_pos").cast("long").alias("pos"), F.try_variant_get("raw", "$.uid", "string").alias("id"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(bad.select(own, F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("id"), "reason"))
+
+
 @query("""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS idx, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || ', "' || o_orderpriority || '" [\\{' AS texte FROM orders""")
 def document_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-1, SRC-2, SNK-1: one document of all orders, written by many tasks and read again by ranges."""
