@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,27 @@ def identiques(df: DataFrame, rank: str = "rang") -> DataFrame:
     return named.withColumns({"groupe": group, "saute_modele": F.col("__no").isNotNull()}).drop("__a", "__d", "__k", "__no")
 
 
-def before_range(df: DataFrame, value: str, order: str) -> DataFrame:
+def before_range(df: DataFrame, value: str, order: str, within: list[str] | None = None) -> DataFrame:
     """Adds __range (a thousand positions), __seen (rows before it) and __last, the value of the last row before it, as struct(v).
 
-    The one window over everything sees a row a range.
+    The one window over everything, or over all rows that agree in within, sees a row a range.
     """
+    keys = [*(within or []), "__range"]
     df = df.withColumn("__range", F.floor(F.col(order) / 1000))
-    ranges = df.groupBy("__range").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__end"), F.count("*").alias("__many"))
-    w = Window.orderBy("__range")
+    ranges = df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__end"), F.count("*").alias("__many"))
+    w = Window.partitionBy(*within).orderBy("__range") if within else Window.orderBy("__range")
     seen = F.coalesce(F.sum("__many").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(ranges.select("__range", F.lag("__end").over(w).alias("__last"), seen.alias("__seen")), "__range")
+    ranges = ranges.select(*(F.col(k).alias(f"{k}_r") for k in keys), F.lag("__end").over(w).alias("__last"), seen.alias("__seen"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys))
+    return df.join(ranges, same).drop(*(f"{k}_r" for k in keys))
 
 
-def previous(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
-    """Adds the value of the row before, as struct(v), null for the first; order is a number, of one document as long as may be."""
-    w = Window.partitionBy("__range").orderBy(order)
+def previous(df: DataFrame, value: str, order: str, name: str, within: list[str] | None = None) -> DataFrame:
+    """Adds the value of the row before, as struct(v), null for the first; order is a number, of one document as long as may
+    be, or of one for each value of within."""
+    w = Window.partitionBy(*(within or []), "__range").orderBy(order)
     own = F.lag(F.struct(F.col(value).alias("v"))).over(w)
-    return before_range(df, value, order).withColumn(name, F.coalesce(own, "__last"))
+    return before_range(df, value, order, within).withColumn(name, F.coalesce(own, "__last"))
 
 
 def document_islands(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -96,11 +102,8 @@ def decorated(df: DataFrame, order: str = "_pos", within: list[str] | None = Non
 def with_headers(df: DataFrame, order: str = "_pos", within: list[str] | None = None) -> DataFrame:
     """Adds header and new_section: whether the header differs from the row before."""
     df = df.withColumn("header", section_header("article"))
-    if not within:
-        new = F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col("header"))
-        return previous(df, "header", order, "__before").withColumn("new_section", new).select(*df.columns, "new_section")
-    w = Window.partitionBy(*within).orderBy(order)
-    return df.withColumn("new_section", ~F.col("header").eqNullSafe(F.lag("header").over(w)))
+    new = F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col("header"))
+    return previous(df, "header", order, "__before", within).withColumn("new_section", new).select(*df.columns, "new_section")
 
 
 def client_group(status: Column) -> Column:

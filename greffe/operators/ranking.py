@@ -86,6 +86,55 @@ def moved(df: DataFrame, source: int, target: int, position: str = "_pos") -> Da
     return df.withColumn(position, now.cast(df.schema[position].dataType))
 
 
+def folded(moves: list[tuple[int, int]], rows: int) -> list[tuple[int, int, int]]:
+    """What a log of moves comes to: (position, anchor, place) of each row that it moved. The row goes behind the unmoved row
+    at anchor (-1: before all), place-th of those that do; positions are those before the first move."""
+    segments = [[0, rows]]  # of first positions in their present order: start and length
+
+    def cut_at(at: int) -> int:
+        """The number of the segment that begins at a present position."""
+        for i, (start, many) in enumerate(segments):
+            if at <= 0:
+                return i
+            if at < many:
+                segments[i : i + 1] = [[start, at], [start + at, many - at]]
+                return i + 1
+            at -= many
+        return len(segments)
+
+    gone = set()
+    for source, target in moves:
+        if not 0 <= source < rows:
+            raise ValueError(f"no row at {source}")
+        i = cut_at(source)
+        cut_at(source + 1)
+        own = segments.pop(i)
+        gone.add(own[0])
+        segments.insert(cut_at(target), own)
+    out, anchor, place = [], -1, 0
+    for start, many in segments:
+        if many == 1 and start in gone:
+            place += 1
+            out.append((start, anchor, place))
+        elif many:
+            anchor, place = start + many - 1, 0
+    return out
+
+
+def moved_many(df: DataFrame, moves: list[tuple[int, int]], position: str = "_pos") -> DataFrame:
+    """df with the positions, from 0 without gaps, after all moves (source, target), each of the list that the ones before left.
+
+    The log is folded first: only rows that it moved get a key of their own, between two neighbours; the others are ordered
+    by the position that they have. So the work is one order of all rows, however many moves there are. The table of moved
+    rows is as long as the log, which the caller holds.
+    """
+    kind = df.schema[position].dataType
+    own = df.sparkSession.createDataFrame(folded(moves, df.count()), "__was long, __anchor long, __place int")
+    keyed = df.join(F.broadcast(own), F.col(position).cast("long") == F.col("__was"), "left")
+    out = ranked(keyed, [F.coalesce("__anchor", F.col(position).cast("long")), F.coalesce("__place", F.lit(0))], "__now")
+    return out.withColumn(position, (F.col("__now") - 1).cast(kind)).drop("__was", "__anchor", "__place", "__now")
+
+
 def without_id(df: DataFrame, value, name: str = "id") -> DataFrame:
     """All rows but those with the id."""
     return df.where(~F.col(name).eqNullSafe(F.lit(value)))

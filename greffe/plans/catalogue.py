@@ -332,6 +332,19 @@ def reorder_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.moved(table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("_pos")), 3, 9)
 
 
+#: Moves of rows of the list of orders: from a position to another, one after the other.
+MOVES = [(7 * k % 1500, (k * k + 3) % 1400) for k in range(25)]
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT unnest(range(1, {len(MOVES)} + 1)) AS k, unnest({[a for a, _ in MOVES]}) AS a, unnest({[b for _, b in MOVES]}) AS b),
+ s AS (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS k FROM orders UNION ALL SELECT o_orderkey, CASE WHEN pos = a THEN b WHEN a < b AND pos > a AND pos <= b THEN pos - 1 WHEN b < a AND pos >= b AND pos < a THEN pos + 1 ELSE pos END, m.k FROM s JOIN m ON m.k = s.k + 1)
+ SELECT o_orderkey, CAST(pos AS INT) AS pos FROM s WHERE k = {len(MOVES)}""")
+def reorder_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-6: a log of moves, folded and applied at once."""
+    rows = ranking.ranked(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], "pos").withColumn("pos", F.col("pos") - 1)
+    return ranking.moved_many(rows, MOVES, "pos")
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IS DISTINCT FROM 7")
 def delete_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-2."""

@@ -48,8 +48,6 @@ def normalize(records: DataFrame, raw: str = "raw", position: str = "_pos", tags
     inner = piece(source, "$.amendement")
     df = records.withColumn("__inner", inner).select("*", F.when(kind(F.col("__inner")).startswith("OBJECT"), F.col("__inner")).otherwise(source).alias("__am"))
     am = F.col("__am")
-    taken = [piece(am, path).alias(f"__v_{name}") for name, path in {**LEAVES, **PARTS}.items()]
-    flats = [F.try_variant_get(am, f"$.{name}", "string").alias(f"__f_{name}") for name in FLAT]
     every = {**LEAVES, **PARTS}
     # As arrays: one expression serves all leaves, which keeps the generated code small.
     parts = F.array(*[piece(am, path) for path in every.values()])

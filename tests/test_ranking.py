@@ -40,3 +40,34 @@ def test_no_task_gets_the_hot_key(spark):
 def test_none(spark):
     assert ranking.ranked(table(spark, []), [F.col("_pos")]).collect() == []
     assert ranking.ranked(table(spark, []), [F.col("_pos")], within={"g": F.col("g")}).columns == ["_pos", "k", "g", "rang"]
+
+
+@pytest.mark.parametrize("many", [0, 1, 100])
+def test_many_moves_are_as_many_splices(spark, many):
+    rng = random.Random(many)
+    moves = [(rng.randrange(60), rng.randrange(60)) for _ in range(many)]
+    plain = [f"k{i}" for i in range(60)]
+    for source, target in moves:
+        plain.insert(target, plain.pop(source))
+    df = spark.createDataFrame([(i, f"k{i}") for i in range(60)], "_pos int, k string").repartition(3)
+    found = ranking.moved_many(df, moves)
+    assert [(r._pos, r.k) for r in found.orderBy("_pos").collect()] == list(enumerate(plain)) and found.dtypes == df.dtypes
+    assert len(ranking.folded(moves, 60)) <= many
+
+
+def test_moves_of_a_list_of_any_length():
+    """Folding looks at the moves alone."""
+    assert ranking.folded([(10**12 - 1, 0), (0, 10**12 - 1)], 10**12) == [(10**12 - 1, 10**12 - 2, 1)]
+    with pytest.raises(ValueError):
+        ranking.folded([(5, 0)], 5)
+
+
+def test_headers_within_a_hot_key(spark):
+    """Sections of lists by key, of which one is much longer than a range, with a key that is null."""
+    rows = [(i, ["hot", "hot", "b", None][i % 4], f"{i // 700}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "_pos long, g string, article string").repartition(4)
+    last, want = {}, {}
+    for i, g, article in rows:
+        want[i] = last.get(g) != article
+        last[g] = article
+    assert {r._pos: r.new_section for r in groups.with_headers(df, "_pos", ["g"]).collect()} == want
