@@ -1,4 +1,11 @@
-"""A corpus pipeline over `documents`: each stage works on all that the one before it kept."""
+"""A corpus pipeline over `documents`: each stage works on all that the one before it kept.
+
+Null and empty texts are judged like others by the classifier, link with nothing, hold nothing to cut, are cells of no
+tokens in mixing and have no ids. A null doc_id is never a near duplicate, and nothing is cut from its text. Rows that
+repeat a doc_id stay or go together as near duplicates and in mixing; toxicity and repeats judge each row's own text.
+Null languages and sources are categories of their own. Columns beyond those of documents are left out before the first
+stage, so no name can clash. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
