@@ -13,13 +13,17 @@ mined rules. Further columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import work
+
 #: Listed rules: verdict, and host followed by path prefix.
 LISTED = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Items of a basket at most, and of a rule's antecedent.
+#: Items of a basket up to which FP-growth mines it (larger ones are counted by lengths), and of a rule's antecedent.
 MOST_ITEMS, LONGEST = 12, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,10 +65,10 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 
 def baskets_of(labelled: DataFrame, least: Column, tokens: str = "tokens") -> DataFrame:
-    """tokens, items of each distinct token set: the items that rules are made of.
+    """tokens, items of each distinct token set: the items that rules are made of, the most frequent first.
 
-    Tokens in fewer than least labelled URLs are left out, tokens that always occur together count as one item (the first
-    in order), and of the items the MOST_ITEMS most frequent make a basket. So a basket has 2 ^ MOST_ITEMS subsets at most.
+    Tokens in fewer than least labelled URLs are left out, and tokens that always occur together count as one item (the
+    first in order).
     """
     sets = labelled.groupBy(tokens).agg(F.count("*").alias("n"))
     each = sets.select(tokens, "n", F.xxhash64(tokens).alias("h"), F.explode(tokens).alias("token"))
@@ -72,7 +76,29 @@ def baskets_of(labelled: DataFrame, least: Column, tokens: str = "tokens") -> Da
     together = ["freq", "sets", "sign"]
     named = stats.join(stats.groupBy(*together).agg(F.min("token").alias("item")), together).select("token", "item", "freq")
     kept = each.join(named, "token").groupBy(tokens).agg(F.array_sort(F.collect_set(F.struct((-F.col("freq")).alias("f"), "item"))).alias("x"))
-    return kept.select(tokens, F.slice("x.item", 1, MOST_ITEMS).alias("items"))
+    return kept.select(tokens, F.col("x.item").alias("items"))
+
+
+def of_large_baskets(sets: DataFrame, least: int, tables: work.WorkTables) -> DataFrame:
+    """antecedent, label, hits, whole: every antecedent of LONGEST items at most that a large basket holds and that occurs
+    least times or more with some label; counted over all sets(id, label, n, items), large ones and small ones.
+
+    Length by length: an antecedent is counted only if those without its first and without its last item were kept.
+    """
+    rows = sets.select("id", "label", "n", (F.size("items") > MOST_ITEMS).alias("large"), F.explode("items").alias("item"))
+    rows, found, items, by = rows.withColumn("antecedent", F.array("item")), None, None, "antecedent"
+    for length in range(1, LONGEST + 1):
+        hits = rows.groupBy(by, "label").agg(F.sum("n").alias("hits"), F.bool_or("large").alias("large"))
+        whole = hits.groupBy(by).agg(F.sum("hits").alias("whole"), F.max("hits").alias("most"), F.bool_or("large").alias("large"), F.collect_list(F.struct("label", "hits")).alias("x"))  # an entry a label
+        often = tables.keep(whole.where(F.col("large") & (F.col("most") >= least)).select(by, "whole", "x"), f"antecedents-{length}")
+        own = often.select(by, "whole", F.explode("x").alias("x")).select(by, "x.label", "x.hits", "whole")
+        found = own if found is None else found.unionByName(own)
+        if length == LONGEST:
+            return found
+        rows = rows.join(often.select(by), by, "left_semi")
+        items = rows.select("id", F.col("item").alias("next")) if items is None else items
+        grown = rows.join(items, "id").where("next > item").withColumns({by: F.array_append(by, F.col("next")), "item": F.col("next")}).drop("next")
+        rows = grown.join(often.select(F.col(by).alias("rest")), F.slice(by, 2, length) == F.col("rest"), "left_semi")
 
 
 def mine(labelled: DataFrame, tokens: str = "tokens", label: str = "label", min_support: float = 0.01, min_confidence: float = 0.8, min_lift: float = 1.2) -> DataFrame:
@@ -81,17 +107,31 @@ def mine(labelled: DataFrame, tokens: str = "tokens", label: str = "label", min_
     A combination must occur in min_support of the labelled URLs with the label, its share of the label be min_confidence
     and min_lift times the label's own share. Antecedents have LONGEST items at most, so that the rules are few whatever
     URLs have in common.
+
+    FP-growth lists subsets of every length, 2 ^ items of them at worst, so it gets baskets of up to MOST_ITEMS. What
+    larger ones hold is counted up to LONGEST items only, over all baskets, and stands for what FP-growth says of it.
     """
-    known = labelled.where(F.col(label).isNotNull() & (F.size(tokens) > 0)).select(tokens, label)
+    tables = work.WorkTables(labelled.sparkSession, "urls")
+    known = labelled.where(F.col(label).isNotNull() & (F.size(tokens) > 0)).select(F.col(tokens).alias("tokens"), F.col(label).alias("label"))
     many = known.count()
-    chosen = baskets_of(known, F.lit(min_support * many), tokens)
-    mark = F.concat(F.lit("verdict="), F.col(label))
+    chosen = tables.keep(baskets_of(known, F.lit(min_support * many)), "baskets")
+    mark = F.concat(F.lit("verdict="), F.col("label"))
     # A label alone is a basket too: supports are shares of all labelled URLs.
-    items = F.array_append(F.coalesce("items", F.array().cast("array<string>")), mark)
-    grown = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(known.join(chosen, tokens, "left").select(items.alias("items")))
+    items = F.array_append(F.coalesce(F.when(F.size("items") <= MOST_ITEMS, F.col("items")), F.array().cast("array<string>")), mark)
+    grown = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(known.join(chosen, "tokens", "left").select(items.alias("items")))
     rules = grown.associationRules.where(F.col("lift") >= min_lift).where(F.startswith(F.col("consequent")[0], F.lit("verdict="))).where(F.size("antecedent") <= LONGEST)
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence", "support")
     often = grown.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    if not chosen.where(F.size("items") > MOST_ITEMS).isEmpty():
+        counts = known.groupBy("tokens", "label").agg(F.count("*").alias("n")).join(chosen, "tokens").groupBy("items", "label").agg(F.sum("n").alias("n"))
+        sets = tables.keep(counts.withColumn("id", F.monotonically_increasing_id()), "sets")
+        counted = tables.keep(of_large_baskets(sets, math.ceil(min_support * many), tables), "counted")
+        shares = known.groupBy("label").agg((F.count("*") / F.lit(many)).alias("share"))
+        confidence = F.col("hits") / F.col("whole")
+        good = counted.join(shares, "label").where((F.col("hits") >= math.ceil(min_support * many)) & (confidence >= min_confidence) & (confidence / F.col("share") >= min_lift))
+        good = good.select("antecedent", F.col("label").alias("verdict"), confidence.alias("confidence"), (F.col("hits") / F.lit(many)).alias("support"))
+        rules = rules.join(counted.select("antecedent").distinct(), "antecedent", "left_anti").unionByName(good)
+        often = sets.select("n", F.explode("items").alias("token")).groupBy("token").agg(F.sum("n").alias("freq"))
     rarest = rules.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("token")).join(often, "token")
     return rarest.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
 
