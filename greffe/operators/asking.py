@@ -14,6 +14,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
@@ -37,21 +38,28 @@ class Asking:
         self._stop = threading.Event()
 
     def _has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def prepare(self, prompts: DataFrame, rank: str = "rang", rows: int = 50) -> "Asking":
         """Write prompts (key, prompt, and a rank from 1) in slices of so many ranks, unless they are there already.
         Keys are distinct and not null."""
-        if not self._has("prompts"):
+        if not self._has("prompts/_SUCCESS"):
             dealt = prompts.select(self.key, "prompt", F.col(rank).cast("long").alias("rank"), F.floor((F.col(rank) - 1) / rows).cast("long").alias("slice"))
             dealt.select(self.key).limit(0).write.mode("overwrite").parquet(f"{self.folder}/key")
             dealt.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/prompts")
         return self
 
+    @cached_property
+    def _kind(self) -> str:
+        return self.spark.read.parquet(f"{self.folder}/key").schema[self.key].dataType.simpleString()
+
     def _read(self, name: str, columns: str) -> DataFrame:
-        kind = self.spark.read.parquet(f"{self.folder}/key").schema[self.key].dataType.simpleString()
-        return self.spark.read.schema(f"{self.key} {kind}, {columns}, slice long").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(f"{self.key} {self._kind}, {columns}, slice long").parquet(f"{self.folder}/{name}")
+
+    def _own(self, name: str, number: int, columns: str) -> DataFrame:
+        """Of one slice, whose folder alone is listed: a listing of all, once a slice, would grow with the square of the rows."""
+        return self.spark.read.schema(f"{self.key} {self._kind}, {columns}").option("recursiveFileLookup", True).parquet(f"{self.folder}/{name}/slice={number}")
 
     def _prompts(self) -> DataFrame:
         return self._read("prompts", "prompt string, rank long")
@@ -71,7 +79,8 @@ class Asking:
 
     def pending(self) -> DataFrame:
         """The prompts that have no answer yet."""
-        return self._prompts().join(self._answers().select("slice", self.key), ["slice", self.key], "left_anti")
+        had = self._answers().select("slice", self.key).hint("merge")  # as many as rows: not through the driver
+        return self._prompts().join(had, ["slice", self.key], "left_anti")
 
     def cancel(self, now: bool = False) -> None:
         """Take no more slices. now: those under way are interrupted and lose their answers; otherwise they are finished."""
@@ -81,9 +90,10 @@ class Asking:
 
     def _ask(self, number: int, classifier: Classifier, options: Options) -> bool:
         """Ask what is left of a slice. False if rows were left out after too many failures."""
-        here = F.col("slice") == number
-        had = self._answers().where(here).select(self.key)
-        left = self._prompts().where(here).join(had, self.key, "left_anti").coalesce(1).sortWithinPartitions("rank")
+        left = self._own("prompts", number, "prompt string, rank long")
+        if self._has(f"answers/slice={number}"):
+            left = left.join(self._own("answers", number, "reply string, erreur string").select(self.key).hint("merge"), self.key, "left_anti")
+        left = left.coalesce(1).sortWithinPartitions("rank")
         skipped = Observation()
         found = call(left, classifier, options, self.key).observe(skipped, F.count_if(F.col("erreur") == "interrupted").alias("n"))
         found.where("erreur is null or erreur <> 'interrupted'").write.parquet(f"{self.folder}/answers/slice={number}/{uuid.uuid4().hex}")

@@ -92,3 +92,14 @@ def test_nothing_to_ask_and_errors(spark, tmp_path):
     lost = asking.Asking(spark, str(tmp_path / "none"))
     with pytest.raises(Exception):
         lost.resume()
+
+
+def test_a_slice_lists_its_own_folder(spark, tmp_path, monkeypatch):
+    """Else every slice lists all slices, whose number grows with the rows."""
+    ask = asking.Asking(spark, str(tmp_path / "a")).prepare(prompts(spark, 12), rows=3)
+    read, paths = type(spark.read).parquet, []
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, **o: (paths.extend(p), read(self, *p, **o))[1])
+    assert ask.resume(lanes=1).state == "done"
+    whole = [p for p in paths if p.endswith(("/prompts", "/answers"))]
+    assert sum("/slice=" in p for p in paths) == 4 and len(whole) == 6  # pending before (no answers yet) and after, and the count of answers: not once a slice
+    assert ask.answers().count() == 12
