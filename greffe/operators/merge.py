@@ -91,9 +91,13 @@ def first_against_rest(df: DataFrame, columns: list[str], position: str = "_pos"
 
 
 def with_reference(df: DataFrame, within: list[str], columns: list[str], position: str = "_pos") -> DataFrame:
-    """Each row with the first row's columns of its own group, for batches by key."""
+    """Each row with the first row's columns of its own group, for batches by key. Groups are dealt to parts, each of which
+    gets the reference, so that no task reads a group whole."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = df.groupBy(*within).agg(F.min_by(F.struct(*columns), position).alias("__ref"))
-    return df.join(first, within).select(*df.columns, *(F.col(f"__ref.{c}").alias(f"ref_{c}") for c in columns))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(position), F.lit(parts)).cast("int"))
+    each = dealt.select(*within, "__part").distinct().join(first, within)
+    return dealt.join(each, [*within, "__part"]).select(*df.columns, *(F.col(f"__ref.{c}").alias(f"ref_{c}") for c in columns))
 
 
 def fill_errors(df: DataFrame, name: str = "statut") -> DataFrame:

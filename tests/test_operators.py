@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -189,3 +190,20 @@ def test_counts_and_exports(spark, tmp_path):
     assert json.loads(document)["amendements"][0] == {"id": "a", "statut": "Identique"}
     report.write_json(df, str(tmp_path / "j"))
     assert [json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ["a", "b", "c"]
+
+
+def test_a_group_with_its_reference_is_no_single_task(spark):
+    """Most rows may share a key, as documents share a language."""
+    rows = spark.range(4_000).selectExpr("id as _pos", "if(id < 3990, 'fr', null) as lang", "concat('t', id) as texte").union(spark.createDataFrame([(None, "de", "x")], "_pos long, lang string, texte string"))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        found = merge.with_reference(rows, ["lang"], ["texte"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r._pos, r.texte, r.ref_texte) for r in found if r.lang == "fr") == sorted((i, f"t{i}", "t0") for i in range(3_990))
+    assert [(r._pos, r.ref_texte) for r in found if r.lang != "fr"] == [(None, None)]
+    assert max(Counter(r.task for r in found).values()) < 3_000
