@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -74,30 +74,36 @@ def numbered(df: DataFrame, *keys: str, name: str = "node") -> DataFrame:
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
 
 
+def ends(one: tuple[Column, Column], other: tuple[Column, Column], names: tuple[str, str]) -> Column:
+    """Both of two pairs as rows: explode it and take its fields."""
+    return F.explode(F.array(*(F.struct(x.alias(names[0]), y.alias(names[1])) for x, y in (one, other)))).alias("x")
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether every component of distinct edges(lo, hi) is a star already: each hi has its one edge and is no lo."""
+    roles = edges.select(ends((F.col("lo"), F.lit(0)), (F.col("hi"), F.lit(1)), ("node", "up"))).groupBy("x.node").agg(F.sum("x.up").alias("up"), F.count("*").alias("many"))
+    return not roles.agg(F.max((F.col("up") > 0) & (F.col("many") > 1))).first()[0]
+
+
 def components(edges: DataFrame, tables: WorkTables, name: str = "components", most_rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b) as (node, component): the smallest node reachable.
 
-    Alternating large-star and small-star steps. A node's smallest neighbour is aggregated on the map side first
-    and joined back, so a node with very many neighbours never meets in one group. Edges of a node with itself and
-    null ends are ignored; nodes without edges are not returned. Each round is written to the shared folder.
+    Alternating large-star and small-star steps, until all components are stars. A node's smallest neighbour is aggregated
+    on the map side first and joined back, so a node with very many neighbours never meets in one group. Edges of a node
+    with itself and null ends are ignored; nodes without edges are not returned. Each round is written to the shared folder.
     """
     edges = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
     edges = tables.keep(edges, f"{name}-0")
-    signature = None
     for turn in range(1, most_rounds + 1):
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        if settled(edges):
+            break
+        both = edges.select(ends((F.col("lo"), F.col("hi")), (F.col("hi"), F.col("lo")), ("u", "v"))).select("x.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(small, "hi")
-        stars = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(joined.select(F.col("m").alias("lo"), "hi"))
-        after = tables.keep(stars.where("lo < hi").distinct(), f"{name}-{turn}")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        stars = large.join(small, "hi").select(ends((F.col("m"), F.col("lo")), (F.col("m"), F.col("hi")), ("lo", "hi"))).select("x.*")
+        edges = tables.keep(stars.where("lo < hi").distinct(), f"{name}-{turn}")
         tables.drop(f"{name}-{turn - 1}")
-        edges = after
-        if tuple(now) == signature:
-            break
-        signature = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     members = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

@@ -381,3 +381,12 @@ def test_licences_in_wrapped_and_long_paragraphs(spark, documents):
     got = {r.doc_id: r.families for r in licences.scan(docs)[1].collect()}
     assert [got[5000 + i] for i in range(len(texts))] == [f for f, _ in texts]
     assert not any(got[i] for i, _ in documents)
+
+
+def test_stars_take_no_round(spark):
+    """Each round is several jobs and broadcasts of the driver; components that are stars need none."""
+    tables = work.WorkTables(spark, "t")
+    edges = spark.createDataFrame([(1, 2), (3, 1), (9, 8), (2, 1), (5, 5), (None, 4)], "a long, b long")
+    found = {r.node: r.component for r in work.components(edges, tables).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and tables.names == {"components-0"}
+    assert work.components(edges.limit(0), work.WorkTables(spark, "t")).collect() == []
