@@ -103,3 +103,34 @@ def test_written_document_is_one(spark, tmp_path):
     assert bad.isEmpty() and sorted((r.file, r._index, r.raw) for r in parts.select("file", "_index", F.to_json("raw").alias("raw")).collect()) == sorted((str(tmp_path / "out"), r._index, r.raw) for r in records.select("_index", F.to_json("raw").alias("raw")).collect())
     report.write_json_document(df.where("false"), str(tmp_path / "none"))
     assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part-*")))) == {"amendements": []}
+
+
+@pytest.mark.parametrize("test", ["envelopes", "cut"])
+def test_units_of_four_pieces(spark, tmp_path, small_ranges, monkeypatch, test):
+    monkeypatch.setattr(large, "UNIT", 2)
+    monkeypatch.setattr(large, "TASK", 2000)
+    if test == "cut":
+        test_a_document_cut_anywhere(spark, tmp_path, None, 7)
+    else:
+        test_envelopes_over_ranges(spark, tmp_path, None)
+
+
+def test_a_text_is_shuffled_twice(spark, tmp_path, monkeypatch):
+    """Once by unit, once by record: what is shuffled is less than four times the document, which hardly compresses."""
+    monkeypatch.setattr(large, "TASK", 20_000, raising=False)
+    rng = random.Random(3)
+    text = json.dumps({"amendements": [{"id": f"{i}", "t": f'{rng.getrandbits(64):x}, "{rng.getrandbits(64):x}'} for i in range(30_000)]})
+    third = len(text) // 3
+    for k in range(3):
+        (tmp_path / f"part-{k}").write_text(text[k * third : (k + 1) * third if k < 2 else None])
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    records, _ = large.read_large_documents(spark, str(tmp_path), "part-*", joined=True)
+    assert records.select(F.count_distinct("_index")).first()[0] == 30_000
+    ratio = (shuffled() - before) / len(text)
+    print("shuffled, times the document:", ratio)
+    assert ratio < 4
